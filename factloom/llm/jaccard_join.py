@@ -192,6 +192,28 @@ def _regions(keyed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(runs, "region long, id long").distinct()
 
 
+class _Union:
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while (x := self.up[self.up]).tobytes() != self.up.tobytes():
+            self.up = x
+        return self.up
+
+    def join(self, a: int, others: np.ndarray) -> list[int]:
+        """Members of ``others`` that joining really connected something for."""
+        up, made = self.roots(), []
+        seen = {int(up[a])}
+        for x in others.tolist():
+            if int(up[x]) not in seen:
+                seen.add(int(up[x]))
+                made.append(x)
+        if len(seen) > 1:
+            self.up[np.isin(up, list(seen))] = min(seen)
+        return made
+
+
 def _fold(cells: np.ndarray, width: int) -> np.ndarray:
     return cells.reshape(width, -1).sum(axis=1) if len(cells) > width else cells
 
@@ -217,6 +239,7 @@ def candidate_links(ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes], r
         cells = np.array([_fold(x, width) for x in raw[a:b]], np.int32)
         size = sizes[a:b]
         free = np.ones(b - a, bool)
+        union = _Union(b - a)
         pivots: list[int] = []
         while free.any():
             p = int(np.argmax(free))
@@ -225,14 +248,11 @@ def candidate_links(ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes], r
             bound = share * (size + size[p])
             fits = (size >= ratio * size[p]) & (size[p] >= ratio * size) & (gap <= bound)
             fits[p] = False
-            links += [(int(ids[a + p]), int(ids[a + x])) for x in np.flatnonzero(fits & free)]
-            # members of other pivots within reach, and pivots whose members may touch
-            if pivots:
+            if pivots:  # pivots whose members may touch this one's
                 q = np.array(pivots)
-                near = gap[q] <= share * (size[q] + size[p]) * (1 + 2 / ratio)
-                links += [(int(ids[a + p]), int(ids[a + x])) for x in q[near]]
-            taken = fits & ~free
-            links += [(int(ids[a + p]), int(ids[a + x])) for x in np.flatnonzero(taken)]
+                fits[q[gap[q] <= share * (size[q] + size[p]) * (1 + 2 / ratio)]] = True
+            # only links that connect something: a forest, whatever the number of pairs
+            links += [(int(ids[a + p]), int(ids[a + x])) for x in union.join(p, np.flatnonzero(fits))]
             free &= ~fits
             pivots.append(p)
     return links
@@ -266,28 +286,6 @@ def _cluster_links(regions: DataFrame, staged: DataFrame, r: Fraction) -> DataFr
 # -- clusters -------------------------------------------------------------------------------------
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self) -> np.ndarray:
-        while (x := self.up[self.up]).tobytes() != self.up.tobytes():
-            self.up = x
-        return self.up
-
-    def join(self, a: int, others: np.ndarray) -> list[int]:
-        """Members of ``others`` that joining really connected something for."""
-        up, made = self.roots(), []
-        seen = {int(up[a])}
-        for x in others.tolist():
-            if int(up[x]) not in seen:
-                seen.add(int(up[x]))
-                made.append(x)
-        if len(seen) > 1:
-            self.up[np.isin(up, list(seen))] = min(seen)
-        return made
-
-
 def exact_links(sets: list[np.ndarray], r: Fraction, *, pivots: int = 32) -> list[tuple[int, int]]:
     """A spanning forest of the exact links (distance at most r) among ``sets``.
 
