@@ -1,33 +1,57 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each written and read again before the next.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir), docs being all that its
+predecessor kept, and returns what it keeps. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.common import Scratch
+from factloom.llm.decontam import leaks
 from factloom.llm.jaccard_join import jaccard_components
+from factloom.llm.langid import identify
 from factloom.llm.packing import pack
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Predictions below this share are rejected; on held-out documents none of the right ones are.
+LEAST_SCORE = 0.4
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates: of each component of the n-gram Jaccard join the smallest doc_id stays.
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go: those without a letter, and those no language is likely for.
 
-    Documents without a doc_id take no part in links and stay.
+    Rows without doc_id, which a decision cannot be tied to, stay.
     """
-    found = jaccard_components(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rejected = identify(spark, docs).where(f"lang_pred = 'und' OR score < {LEAST_SCORE}").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of the n-gram Jaccard join the document with the smallest doc_id stays.
+
+    Of rows that repeat a doc_id one stays. Rows without doc_id take no part in links and stay.
+    """
+    first = jaccard_components(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exactly or edited, go."""
+    bad = leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents, packed: one row for each piece."""
     return pack(spark, docs)
 
 
-STAGES = [("jaccard_join", one_of_each_group), ("packing", packed)]
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: Tokenizing and learned language identification have no SQL form.
+#: Learned language identification and tokenizing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
