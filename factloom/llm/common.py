@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,24 +178,30 @@ class ByteBPE:
     the library whole. Either way the ids are those of ``encode(text, add_special_tokens=False)``.
     """
 
-    KEEP = 500_000
+    KEEP = 800_000
+    #: The pattern's character classes within the characters that are not ``odd``.
+    _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+    _PIECES = rf" ?[{_LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
 
     def __init__(self, name: str):
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.odd = regex.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]").search
+        self.pieces = re.compile(self._PIECES).findall
+        self.odd = re.compile(f"[^\t\n\r\x20-\x7e{self._LETTERS}]").search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if sys.byteorder == "little" and array("I").itemsize == 4:
+            return [array("I", e.ids).tobytes() for e in found]
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -201,13 +209,16 @@ class ByteBPE:
         if self.odd(text) or any(s in text for s in self.special):
             return self._encode([text])[0]
         pieces = self.pieces(text)
-        new = list(set(pieces).difference(self.known))
-        if new:
-            if len(self.known) > self.KEEP:
-                self.known.clear()
-                new = list(set(pieces))
-            self.known.update(zip(new, self._encode(new), strict=True))
-        return b"".join(map(self.known.__getitem__, pieces))
+        known = self.known
+        new = list(set(pieces).difference(known))
+        if not new:
+            return b"".join(map(known.__getitem__, pieces))
+        known.update(zip(new, self._encode(new), strict=True))
+        ids = b"".join(map(known.__getitem__, pieces))
+        if len(known) > self.KEEP:  # full: what came first, and so is frequent, stays
+            for piece in new:
+                del known[piece]
+        return ids
 
 
 _BPE: dict[str, ByteBPE] = {}
