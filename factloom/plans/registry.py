@@ -4,14 +4,613 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import jw_match, normalize
+from ..functions.versions import canon_language, lower_bound, parse_dotted, text
+from ..model.vocabulary import kind_closure, kinds_frame, with_descendants
+from ..operators import fold, graph, identity, matching, temporal, validation
+from ..sources import codeowners, kubernetes
+from . import questions
+from .driver_model import model, oracle
+from .written import Written
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
+
+AT = "1998-07-01 00:00:00"
+NOW = "2024-02-01 00:00:00"
+_INF = "TIMESTAMP '9999-12-31 23:59:59.999999'"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLE[f.__name__] = oracle(sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+# -- facts at a time ----------------------------------------------------------------------------------
+
+_LIFTED = "SELECT f.*, s.cluster_id AS subject_cluster, o.cluster_id AS object_cluster FROM fact f JOIN cluster s ON s.record_id = f.subject_id LEFT JOIN cluster o ON o.record_id = f.object_id"
+_NOW = "status = 'asserted' AND valid_to IS NULL AND (object_cluster IS NULL OR object_cluster <> subject_cluster)"
+_THEN = f"status = 'asserted' AND valid_from <= TIMESTAMP '{AT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AT}')"
+
+
+def lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.lift(model(spark, sf_dir, "fact"), model(spark, sf_dir, "cluster"))
+
+
+@query(f"WITH l AS ({_LIFTED}) SELECT id, subject_cluster, predicate, object_cluster, valid_from FROM l WHERE {_NOW}")
+def facts_current(spark, sf_dir):
+    return temporal.facts_where(lifted(spark, sf_dir)).select("id", "subject_cluster", "predicate", "object_cluster", "valid_from")
+
+
+@query(f"WITH l AS ({_LIFTED}) SELECT id, subject_cluster, predicate, object_cluster, valid_from, valid_to FROM l WHERE {_THEN}")
+def facts_as_of(spark, sf_dir):
+    return temporal.facts_where(lifted(spark, sf_dir), at=AT).select("id", "subject_cluster", "predicate", "object_cluster", "valid_from", "valid_to")
+
+
+@query(f"WITH l AS ({_LIFTED}) SELECT id, subject_cluster, status, confidence FROM l WHERE {_THEN.replace(chr(39) + 'asserted' + chr(39), 'status')} AND object_cluster = 'supp/7' AND predicate = 'owned_by'")
+def facts_by_object(spark, sf_dir):
+    return temporal.facts_where(lifted(spark, sf_dir), obj="supp/7", predicate="owned_by", at=AT, with_proposed=True).select("id", "subject_cluster", "status", "confidence")
+
+
+@query("""
+    WITH refs AS (SELECT concat('part/', CAST(p_partkey AS STRING)) AS ref FROM part UNION ALL SELECT concat('app:user/', CAST(c_custkey AS STRING)) FROM customer),
+    c2 AS (SELECT record_id, cluster_id FROM cluster UNION ALL SELECT DISTINCT entity_id, entity_id FROM alias)
+    SELECT r.ref, coalesce(a.cluster_id, k.cluster_id) AS cluster_id FROM refs r LEFT JOIN c2 a ON a.record_id = r.ref
+    LEFT JOIN (SELECT x.key, c2.cluster_id FROM alias x JOIN c2 ON c2.record_id = x.entity_id) k ON k.key = r.ref""")
+def resolve_references(spark, sf_dir):
+    from .driver_model import table
+
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("ref"))
+    users = table(spark, sf_dir, "customer").select(F.concat(F.lit("app:user/"), F.col("c_custkey").cast("string")).alias("ref"))
+    alias = model(spark, sf_dir, "alias")
+    own = alias.select(F.col("entity_id").alias("record_id"), F.col("entity_id").alias("cluster_id")).distinct()
+    return temporal.resolve(parts.unionByName(users), model(spark, sf_dir, "cluster").unionByName(own), alias)
+
+
+# -- provenance and merging ---------------------------------------------------------------------------
+
+_EDGES_OF_SOURCES = """
+    SELECT fact_id, source, min(observed_at) AS first_at, max(observed_at) AS last_at, min_by(observation_id, (observed_at, observation_id)) AS first_id,
+           max_by(observation_id, (observed_at, observation_id)) AS last_id, CAST(sum(count(*)) OVER (PARTITION BY fact_id) AS BIGINT) AS source_count
+    FROM support GROUP BY fact_id, source"""
+
+
+def _sources(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    s = model(spark, sf_dir, "support")
+    return s.select("fact_id", "observation_id"), s.select(F.col("observation_id").alias("id"), "source", "observed_at")
+
+
+@query("""
+    SELECT fact_id, source, first_id, first_at, last_id, last_at, source_count FROM (
+      SELECT fact_id, source, first_value(observation_id) OVER a AS first_id, first_value(observed_at) OVER a AS first_at, first_value(observation_id) OVER d AS last_id,
+             first_value(observed_at) OVER d AS last_at, count(*) OVER (PARTITION BY fact_id) AS source_count, row_number() OVER a AS n
+      FROM support WINDOW a AS (PARTITION BY fact_id, source ORDER BY observed_at, observation_id), d AS (PARTITION BY fact_id, source ORDER BY observed_at DESC, observation_id DESC)) WHERE n = 1""")
+def fact_sources_first_last(spark, sf_dir):
+    s = model(spark, sf_dir, "support")
+    # the model has each support row once, so facts and observations are one frame here
+    per = s.groupBy("fact_id", "source").agg(F.min(F.struct("observed_at", "observation_id")).alias("a"), F.max(F.struct("observed_at", "observation_id")).alias("z"), F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("fact_id"))
+    return per.select("fact_id", "source", F.col("a.observation_id").alias("first_id"), F.col("a.observed_at").alias("first_at"), F.col("z.observation_id").alias("last_id"), F.col("z.observed_at").alias("last_at"), total.alias("source_count"))
+
+
+_SUPPORT = "SELECT fact_id, count(*) AS source_count, max(observed_at) AS last_observed FROM support GROUP BY fact_id"
+
+
+def _merge_sql(rows: str, keys: str) -> str:
+    return f"""
+    WITH l AS ({_LIFTED}), sup AS ({_SUPPORT}), held AS ({rows}),
+    x AS (SELECT *, coalesce(valid_to, {_INF}) AS e FROM held),
+    y AS (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY valid_from, valid_to NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM x),
+    z AS (SELECT *, sum(CASE WHEN b IS NULL OR valid_from > b THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY valid_from, valid_to NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS island FROM y)
+    SELECT {keys}, min(valid_from) AS valid_from, CASE WHEN max(e) = {_INF} THEN NULL ELSE max(e) END AS valid_to, round(max(confidence), 9) AS confidence,
+           arg_max(qualifiers, (last_observed, id)) AS qualifiers, CAST(sum(source_count) AS BIGINT) AS source_count, count(*) AS merged
+    FROM z GROUP BY {keys}, island"""
+
+
+def _held_support(spark, sf_dir):
+    return model(spark, sf_dir, "support").groupBy("fact_id").agg(F.count("*").alias("source_count"), F.max("observed_at").alias("last_observed"))
+
+
+@query(_merge_sql("SELECT l.*, source_count, last_observed FROM l JOIN sup ON sup.fact_id = l.id WHERE status = 'asserted'", "subject_cluster, predicate, object_cluster"))
+def merge_statements(spark, sf_dir):
+    rows = lifted(spark, sf_dir).where("status = 'asserted'").join(_held_support(spark, sf_dir), F.col("id") == F.col("fact_id"))
+    return temporal.merge_statements(rows, ["subject_cluster", "predicate", "object_cluster"]).withColumn("confidence", F.round("confidence", 9))
+
+
+_OWNERS = f"""SELECT * FROM (SELECT l.*, coalesce(source_count, 0) AS source_count, last_observed, max(CASE WHEN predicate = 'owned_by' THEN 1 ELSE 0 END) OVER (PARTITION BY subject_cluster) AS has
+    FROM l LEFT JOIN sup ON sup.fact_id = l.id WHERE {_THEN}) WHERE predicate = 'owned_by' OR has = 0"""
+
+
+@query(_merge_sql(_OWNERS, "subject_cluster, predicate, object_cluster"))
+def owners_with_fallback(spark, sf_dir):
+    return questions.owners(model(spark, sf_dir, "fact"), model(spark, sf_dir, "cluster"), _held_support(spark, sf_dir), AT).withColumn("confidence", F.round("confidence", 9))
+
+
+@query("""SELECT team, person, role, position, truncated FROM (SELECT team, person, role, position, max(position) OVER (PARTITION BY team) > 5 AS truncated FROM (
+    SELECT team, person, role, row_number() OVER (PARTITION BY team ORDER BY CASE WHEN role = 'maintainer' THEN 0 WHEN role IS NOT NULL THEN 1 ELSE 2 END, name, person) AS position FROM member)) WHERE position <= 5""")
+def owner_members(spark, sf_dir):
+    return questions.members(model(spark, sf_dir, "member"), limit=5).select("team", "person", "role", "position", "truncated")
+
+
+@query("SELECT team, arg_max(role, (balance, person)) FILTER (WHERE role IS NOT NULL) AS role, count(*) AS n FROM member GROUP BY team")
+def member_role_latest(spark, sf_dir):
+    return model(spark, sf_dir, "member").groupBy("team").agg(F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("balance", "person"))).alias("role"), F.count("*").alias("n"))
+
+
+@query(f"""WITH l AS ({_LIFTED}), f AS (SELECT subject_cluster, count(*) AS n_facts, count(DISTINCT object_cluster) AS n_objects FROM l WHERE {_NOW} GROUP BY subject_cluster),
+    e AS (SELECT c.cluster_id, arg_min(name, (created_seq, id)) AS name, max(kind) AS kind, count(*) AS n_records FROM entity JOIN cluster c ON c.record_id = id GROUP BY c.cluster_id)
+    SELECT e.cluster_id, e.name, e.kind, e.n_records, coalesce(n_facts, 0) AS n_facts, coalesce(n_objects, 0) AS n_objects FROM e LEFT JOIN f ON f.subject_cluster = e.cluster_id""")
+def get_entity_profile(spark, sf_dir):
+    facts = temporal.facts_where(lifted(spark, sf_dir)).groupBy("subject_cluster").agg(F.count("*").alias("n_facts"), F.countDistinct("object_cluster").alias("n_objects"))
+    e = model(spark, sf_dir, "entity").join(model(spark, sf_dir, "cluster"), F.col("id") == F.col("record_id"))
+    e = e.groupBy("cluster_id").agg(F.min_by("name", F.struct("created_seq", "id")).alias("name"), F.max("kind").alias("kind"), F.count("*").alias("n_records"))
+    return e.join(facts, e.cluster_id == facts.subject_cluster, "left").select("cluster_id", "name", "kind", "n_records", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), F.coalesce("n_objects", F.lit(0)).alias("n_objects"))
+
+
+# -- changes -----------------------------------------------------------------------------------------
+
+SINCE, UNTIL = "1998-06-01 00:00:00", "1998-07-01 00:00:00"
+_CHANGES = f"""SELECT id, 'opened' AS change, valid_from AS at, subject_cluster, object_cluster, predicate FROM l WHERE status = 'asserted' AND valid_from >= TIMESTAMP '{SINCE}' AND valid_from < TIMESTAMP '{UNTIL}'
+    UNION ALL SELECT id, 'closed', valid_to, subject_cluster, object_cluster, predicate FROM l WHERE status = 'asserted' AND valid_to >= TIMESTAMP '{SINCE}' AND valid_to < TIMESTAMP '{UNTIL}'"""
+
+
+@query(f"WITH l AS ({_LIFTED}) SELECT id, change, at, subject_cluster, predicate FROM ({_CHANGES}) ORDER BY at DESC, id, change LIMIT 1000")
+def changes_window(spark, sf_dir):
+    return temporal.changes(lifted(spark, sf_dir), SINCE, UNTIL, limit=1000).select("id", "change", "at", "subject_cluster", "predicate")
+
+
+@query(f"WITH l AS ({_LIFTED}) SELECT id, change, at, predicate FROM ({_CHANGES}) WHERE subject_cluster = 'supp/3' OR object_cluster = 'supp/3'")
+def changes_about_entity(spark, sf_dir):
+    return temporal.changes(lifted(spark, sf_dir), SINCE, UNTIL, about="supp/3").select("id", "change", "at", "predicate")
+
+
+# -- walks ---------------------------------------------------------------------------------------------
+
+
+def _walk_sql(a: str, b: str, where: str = "TRUE") -> str:
+    return f"""WITH RECURSIVE w AS (
+      SELECT id, {b} AS node, 1 AS depth, [ 'part/1', {b} ] AS path FROM edge WHERE {a} = 'part/1' AND {where}
+      UNION ALL SELECT e.id, e.{b}, w.depth + 1, list_append(w.path, e.{b}) FROM w JOIN edge e ON e.{a} = w.node AND {where.replace('size', 'e.size')} WHERE w.depth < 4 AND NOT list_contains(w.path, e.{b}))
+    SELECT id, CAST(min(depth) AS INT) AS depth FROM w GROUP BY id"""
+
+
+@query(_walk_sql("src", "dst"))
+def related_out_depth(spark, sf_dir):
+    return graph.walk(model(spark, sf_dir, "edge"), "part/1", depth=4, written=Written(spark, "walk"))
+
+
+@query(_walk_sql("dst", "src"))
+def related_in_depth(spark, sf_dir):
+    return graph.walk(model(spark, sf_dir, "edge"), "part/1", inward=True, depth=4, written=Written(spark, "walk"))
+
+
+@query(_walk_sql("src", "dst", "size < 30"))
+def walk_filtered(spark, sf_dir):
+    return graph.walk(model(spark, sf_dir, "edge").where("size < 30"), "part/1", depth=4, written=Written(spark, "walk"))
+
+
+@query("SELECT id, 1 AS depth, 0 AS hops, concat(src, '>', dst) AS path FROM edge WHERE src IN ('part/1', 'part/2') AND dst <> src")
+def evidence_claims_depth1(spark, sf_dir):
+    return _evidence(spark, sf_dir, 1).select("id", "depth", "hops", F.array_join("ids", ">").alias("path"))
+
+
+@query()
+def evidence_paths(spark, sf_dir):
+    return _evidence(spark, sf_dir, 4).select("id", "depth", "hops", F.array_join("ids", ">").alias("path"))
+
+
+def _evidence(spark, sf_dir, depth):
+    written = Written(spark, "evidence")
+    facts = model(spark, sf_dir, "edge").select("id", F.col("src").alias("subject_id"), F.col("dst").alias("object_id"))
+    clusters = model(spark, sf_dir, "cluster").select("record_id", F.col("record_id").alias("cluster_id"))
+    own = clusters.select(F.col("record_id").alias("a"), F.col("record_id").alias("b"), F.lit(0).alias("hops"), F.array("record_id").alias("chain"))
+    starts = spark.createDataFrame([("part/1",), ("part/2",)], "record_id string")
+    return graph.evidence(facts, clusters, own, starts, depth=depth, written=written)
+
+
+@query("""WITH pairs AS (SELECT DISTINCT least(a, b) AS x, greatest(a, b) AS y FROM link WHERE nth % 2 = 0), r AS (
+      SELECT least(a, b) AS x, greatest(a, b) AS y, CASE WHEN kind = 'distinct_from' AND status = 'asserted' THEN 3 WHEN status = 'asserted' AND kind = 'same_as' THEN 2 ELSE 1 END AS k FROM link)
+    SELECT x, y, CASE max(k) WHEN 3 THEN 'distinct' WHEN 2 THEN 'asserted_not_joined' ELSE 'proposed' END AS relation, count(*) AS n_links FROM r JOIN pairs USING (x, y) GROUP BY x, y""")
+def evidence_relations(spark, sf_dir):
+    link = model(spark, sf_dir, "link")
+    ids = link.select(F.col("a").alias("record_id")).unionByName(link.select(F.col("b").alias("record_id"))).distinct()
+    pairs = link.where("nth % 2 = 0").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    return graph.relations(link.withColumn("valid_to", F.lit(None).cast("timestamp_ntz")), ids.withColumn("cluster_id", F.col("record_id")), pairs)
+
+
+# -- find, runtimes, scalars ---------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT id AS cluster_id, name AS t FROM entity UNION ALL SELECT id, id FROM entity),
+    s AS (SELECT cluster_id, lower(t) AS t, jaro_winkler_similarity(lower(t), 'red widget') AS jw FROM c),
+    k AS (SELECT cluster_id, CASE WHEN t = 'red widget' THEN 0 WHEN contains(t, 'red widget') THEN 1 WHEN jw > 0.8 THEN 2 END AS tier, jw FROM s)
+    SELECT cluster_id, min(tier) AS tier, round(max(CASE tier WHEN 0 THEN 1.0 WHEN 1 THEN greatest(0.9, jw) ELSE jw END), 9) AS score FROM k WHERE tier IS NOT NULL
+    GROUP BY cluster_id ORDER BY min(tier), max(CASE tier WHEN 0 THEN 1.0 WHEN 1 THEN greatest(0.9, jw) ELSE jw END) DESC, cluster_id LIMIT 100""")
+def find_ranked(spark, sf_dir):
+    e = model(spark, sf_dir, "entity")
+    names = e.select(F.col("id").alias("cluster_id"), F.col("name").alias("text")).unionByName(e.select(F.col("id").alias("cluster_id"), F.col("id").alias("text")))
+    return questions.find(names, "Red Widget", limit=100).withColumn("score", F.round("score", 9))
+
+
+KINDS = {"org.Unit": "Team", "org.Squad": "org.Unit", "app.Service": "Component"}
+_CLOSURE = """SELECT * FROM (VALUES ('org.Unit', 'org.Unit', 0), ('org.Unit', 'Team', 1), ('org.Squad', 'org.Squad', 0), ('org.Squad', 'org.Unit', 1), ('org.Squad', 'Team', 2),
+    ('app.Service', 'app.Service', 0), ('app.Service', 'Component', 1), ('Person', 'Person', 0), ('Team', 'Team', 0), ('Repository', 'Repository', 0), ('Component', 'Component', 0), ('Package', 'Package', 0),
+    ('Environment', 'Environment', 0), ('CloudResource', 'CloudResource', 0), ('Change', 'Change', 0), ('Incident', 'Incident', 0), ('Schedule', 'Schedule', 0), ('Document', 'Document', 0)) v(descendant, ancestor, depth)"""
+
+
+@query(_CLOSURE)
+def kind_closure_table(spark, sf_dir):
+    return kind_closure(kinds_frame(spark, KINDS))
+
+
+@query(f"WITH k AS ({_CLOSURE}) SELECT id, kind, name FROM entity WHERE kind IN (SELECT descendant FROM k WHERE ancestor = 'Team')")
+def find_kind_descendants(spark, sf_dir):
+    return with_descendants(model(spark, sf_dir, "entity"), kind_closure(kinds_frame(spark, KINDS)), ["Team"]).select("id", "kind", "name")
+
+
+# the oracle reads a version range with DuckDB's own list functions
+_DOTTED = r"(CASE WHEN len({v}) > 0 AND len(list_filter({v}, lambda q: NOT regexp_full_match(q, '[0-9]{{1,9}}'))) = 0 THEN list_transform({v}, lambda q: CAST(q AS INT)) END)"
+_BARE = r"regexp_replace(split_part(trim({s}), '+', 1), '^[vV]', '')"
+_BOUNDS = rf"""
+    alt AS (SELECT id, unnest(string_split(version, '||')) AS a FROM runtime),
+    alt2 AS (SELECT id, row_number() OVER () AS k, a FROM alt),
+    term AS (SELECT id, k, unnest(list_filter(string_split_regex(regexp_replace(trim(a), '([<>=!~^]+)\s+', '\1', 'g'), '[\s,]+'), lambda t: t <> '' AND NOT regexp_matches(t, '^(<|!=)'))) AS t FROM alt2),
+    bare AS (SELECT id, k, t, string_split({_BARE.format(s="regexp_replace(t, '^(\\^|~>|~=|~|===|==|=|>=|>)', '')")}, '.') AS p FROM term),
+    cut AS (SELECT id, k, list_filter(p, lambda q, i: NOT list_has_any(p[1:i], ['x', 'X', '*'])) AS v FROM bare),
+    num AS (SELECT id, k, {_DOTTED.format(v="v")} AS n FROM cut),
+    pad AS (SELECT id, k, n, list_resize(n, 16, 0) AS w FROM num),
+    one AS (SELECT a.id, a.k, CASE WHEN count(p.k) > 0 AND count(p.n) = count(p.k) THEN arg_max(p.n, p.w) END AS n FROM alt2 a LEFT JOIN pad p ON p.k = a.k GROUP BY a.id, a.k),
+    bound AS (SELECT id, CASE WHEN count(n) = count(*) THEN arg_min(n, list_resize(n, 16, 0)) END AS n FROM one GROUP BY id)"""
+
+
+@query(f"WITH {_BOUNDS.strip()} SELECT id, version, array_to_string(n, '.') AS bound FROM bound JOIN runtime USING (id)")
+def version_lower_bound(spark, sf_dir):
+    return model(spark, sf_dir, "runtime").select("id", "version", text(lower_bound(F.col("version"))).alias("bound"))
+
+
+@query(f"""WITH {_BOUNDS.strip()} SELECT id, name, CASE WHEN n IS NULL THEN 'unknown' WHEN list_resize(n, 16, 0) < list_resize([1, 22], 16, 0) THEN 'below' ELSE 'at_or_above' END AS grp, 1 AS n_declared,
+    array_to_string(n, '.') AS bound FROM bound JOIN runtime USING (id) WHERE CASE lower(trim(language)) WHEN 'golang' THEN 'go' ELSE lower(trim(language)) END = 'go'""")
+def runtimes_below(spark, sf_dir):
+    return questions.runtimes(model(spark, sf_dir, "runtime"), "go", "1.22")
+
+
+@query("SELECT CASE lower(trim(language)) WHEN 'golang' THEN 'go' WHEN 'nodejs' THEN 'node' ELSE lower(trim(language)) END AS language, version, count(*) AS n FROM runtime GROUP BY 1, 2")
+def runtimes_inventory(spark, sf_dir):
+    return model(spark, sf_dir, "runtime").groupBy(canon_language(F.col("language")).alias("language"), "version").agg(F.count("*").alias("n"))
+
+
+# -- the fold ------------------------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT source, key, seq, observed_at AS at, CASE WHEN deleted THEN NULL ELSE value END AS v FROM observation),
+    x AS (SELECT *, lag(v) OVER w AS p, row_number() OVER w AS n FROM o WINDOW w AS (PARTITION BY source, key ORDER BY seq)),
+    y AS (SELECT *, sum(CASE WHEN n = 1 OR v IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY source, key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM x),
+    z AS (SELECT source, key, run, max(v) AS value, min(at) AS valid_from, max(at) AS last_at, count(*) AS n_support FROM y GROUP BY source, key, run),
+    t AS (SELECT *, lead(valid_from) OVER (PARTITION BY source, key ORDER BY run) AS valid_to FROM z)
+    SELECT source, key, value, valid_from, valid_to, n_support, last_at FROM t WHERE value IS NOT NULL""")
+def fold_one_value(spark, sf_dir):
+    o = model(spark, sf_dir, "observation").select("source", "key", "seq", F.col("observed_at").alias("at"), F.when(F.col("deleted"), "close").otherwise("assert").alias("op"), "value")
+    return fold.one_value_islands(o, ["source", "key"], "value", ["seq"])
+
+
+@query("""WITH o AS (SELECT source, key, seq, observed_at AS at, member, CASE WHEN value = 'click' THEN 'close' ELSE 'assert' END AS op FROM observation),
+    x AS (SELECT *, coalesce(sum(CASE WHEN op = 'close' THEN 1 ELSE 0 END) OVER (PARTITION BY source, key, member ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM o)
+    SELECT source, key, member, min(at) FILTER (WHERE op = 'assert') AS valid_from, min(at) FILTER (WHERE op = 'close') AS valid_to, count(*) FILTER (WHERE op = 'assert') AS n_support,
+           max(at) FILTER (WHERE op = 'assert') AS last_at FROM x GROUP BY source, key, member, run HAVING min(at) FILTER (WHERE op = 'assert') IS NOT NULL""")
+def fold_many_relations(spark, sf_dir):
+    o = model(spark, sf_dir, "observation").select("source", "key", "member", "seq", F.col("observed_at").alias("at"), F.when(F.col("value") == "click", "close").otherwise("assert").alias("op"))
+    return fold.many_islands(o, ["source", "key", "member"], ["seq"])
+
+
+@query("""WITH o AS (SELECT source, key, CAST(member AS STRING) AS member, seq, observed_at AS at FROM observation), s AS (SELECT DISTINCT source, key, seq, at FROM o WHERE seq % 3 = 0),
+    j AS (SELECT o.*, (SELECT min(s.seq) FROM s WHERE s.source = o.source AND s.key = o.key AND s.seq > o.seq) AS nxt FROM o),
+    g AS (SELECT source, key, member, nxt, lead(seq) OVER (PARTITION BY source, key, member ORDER BY seq) AS again FROM j)
+    SELECT g.source, g.key, g.member, g.nxt AS seq, s.at, 'close' AS op FROM g JOIN s ON s.source = g.source AND s.key = g.key AND s.seq = g.nxt WHERE again IS NULL OR again > g.nxt""")
+def fold_snapshot_close(spark, sf_dir):
+    o = model(spark, sf_dir, "observation").select("source", "key", F.col("member").cast("string").alias("member"), "seq", F.col("observed_at").alias("at"))
+    return fold.snapshot_closes(o, o.where("seq % 3 = 0").select("source", "key", "seq", "at"), ["source", "key", "member"], ["source", "key"])
+
+
+@query("""WITH o AS (SELECT source, key, observed_at AS at, seq, deleted FROM observation), d AS (SELECT source, key, max(at) AS at FROM o WHERE deleted GROUP BY source, key),
+    f AS (SELECT source, key, min(at) AS valid_from, max(at) AS newest, count(*) AS n FROM o WHERE NOT deleted GROUP BY source, key)
+    SELECT f.source, f.key, f.valid_from, CASE WHEN d.at >= f.newest THEN d.at END AS valid_to, f.n FROM f LEFT JOIN d ON d.source = f.source AND d.key = f.key""")
+def fold_deletion(spark, sf_dir):
+    """A deletion closes a record's facts unless a newer observation supports them."""
+    o = model(spark, sf_dir, "observation")
+    gone = F.max(F.when(F.col("deleted"), F.col("observed_at")))
+    newest = F.max(F.when(~F.col("deleted"), F.col("observed_at")))
+    per = o.groupBy("source", "key").agg(F.min(F.when(~F.col("deleted"), F.col("observed_at"))).alias("valid_from"), gone.alias("gone"), newest.alias("newest"), F.sum((~F.col("deleted")).cast("long")).alias("n"))
+    return per.where("n > 0").select("source", "key", "valid_from", F.when(F.col("gone") >= F.col("newest"), F.col("gone")).alias("valid_to"), "n")
+
+
+@query("SELECT source, key, max(observed_at) AS newest FROM observation GROUP BY source, key HAVING max(observed_at) < TIMESTAMP '2024-01-30 00:00:00'")
+def fold_complete_sync(spark, sf_dir):
+    return fold.vanished(model(spark, sf_dir, "observation"), "2024-01-30 00:00:00", keys=["source", "key"])
+
+
+@query()
+def fold_facts(spark, sf_dir):
+    """The whole fold: each key by windows where its log is in order, by the state machine where not."""
+    o = model(spark, sf_dir, "observation")
+    t, s, none = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string"), F.lit(None).cast("double")
+    late = F.when(F.col("seq") % 501 == 0, F.col("observed_at") - F.expr("INTERVAL '2' DAY")).otherwise(F.col("observed_at"))
+    claims = o.select(
+        "source", "seq", F.lit(1).alias("phase"), F.lit(0).alias("pos"), F.col("key").alias("subject"), F.lit("status").alias("predicate"), s.alias("object"),
+        F.when(~F.col("deleted"), F.col("value")).alias("value"), F.when(F.col("deleted"), "close").otherwise("assert").alias("op"), late.alias("observed_at"),
+        t.alias("vf"), t.alias("vt"), F.coalesce(none, F.lit(1.0)).alias("conf"), s.alias("quals"), F.col("id").alias("obs_id"),
+    )
+    return fold.fold(claims, ["status"])
+
+
+@query("""WITH twice AS (SELECT * FROM observation UNION ALL SELECT * FROM observation WHERE seq % 4 = 0)
+    SELECT key, count(*) AS sent, count(DISTINCT id) AS kept FROM twice GROUP BY key""")
+def dedupe_observations(spark, sf_dir):
+    o = model(spark, sf_dir, "observation")
+    twice = o.unionByName(o.where("seq % 4 = 0"))
+    kept = fold.dedupe(twice).groupBy("key").agg(F.count("*").alias("kept"))
+    return twice.groupBy("key").agg(F.count("*").alias("sent")).join(kept, "key")
+
+
+# -- identity ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT a.entity_id AS record_id, count(DISTINCT a.key) AS n_keys, count(DISTINCT o.source) AS n_sources,
+    CASE WHEN arg_max(o.deleted, (o.observed_at, o.deleted)) THEN NULL ELSE max(o.observed_at) END AS last_seen FROM alias a JOIN observation o ON o.key = a.key GROUP BY a.entity_id""")
+def record_last_seen(spark, sf_dir):
+    return identity.record_last_seen(model(spark, sf_dir, "alias"), model(spark, sf_dir, "observation"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT a, b FROM link WHERE kind = 'same_as' AND status = 'asserted'), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+    r AS (SELECT x, y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON u.x = r.y) SELECT x AS record_id, min(y) AS component FROM r GROUP BY x""")
+def cluster_components(spark, sf_dir):
+    return identity.components(model(spark, sf_dir, "link").where("kind = 'same_as' AND status = 'asserted'"), Written(spark, "components"))
+
+
+def _clusters(spark, sf_dir):
+    t = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    links = model(spark, sf_dir, "link").withColumn("valid_from", t).withColumn("valid_to", F.lit(None).cast("timestamp_ntz"))
+    people = model(spark, sf_dir, "entity").where("kind = 'Person'")
+    return people, identity.clusters(people, links, kind_closure(kinds_frame(spark)), Written(spark, "clusters"))
+
+
+@query()
+def cluster_constrained(spark, sf_dir):
+    return _clusters(spark, sf_dir)[1]
+
+
+@query("""WITH t AS (SELECT * FROM (VALUES ('same_as'), ('distinct_from')) k(kind), (VALUES (true), (false)) c(closing), (VALUES (true), (false)) b(before), (VALUES (true), (false)) a(after))
+    SELECT kind, closing, before, after, CASE WHEN kind = 'same_as' AND NOT closing THEN CASE WHEN NOT before AND after THEN 'joined' WHEN NOT before THEN 'refused' ELSE 'none' END
+      WHEN kind = 'same_as' THEN CASE WHEN before AND NOT after THEN 'split' ELSE 'none' END WHEN NOT closing THEN CASE WHEN before AND NOT after THEN 'split' WHEN before THEN 'refused' ELSE 'none' END
+      ELSE CASE WHEN NOT before AND after THEN 'joined' ELSE 'none' END END AS effect FROM t""")
+def link_effects(spark, sf_dir):
+    flags = [(k, c, b, a) for k in ("same_as", "distinct_from") for c in (True, False) for b in (True, False) for a in (True, False)]
+    t = spark.createDataFrame(flags, "kind string, closing boolean, before boolean, after boolean")
+    return t.withColumn("effect", identity.link_effect(F.col("kind"), F.col("closing"), F.col("before"), F.col("after")))
+
+
+@query("""WITH c AS (SELECT id AS record_id, concat('cust/', CAST(CAST(split_part(id, '/', 2) AS BIGINT) // 3 AS STRING)) AS cluster_id FROM entity WHERE kind = 'Person')
+    SELECT cluster_id, max(kind) AS kind, arg_min(name, (created_seq, id)) AS name, count(*) AS n_records FROM entity JOIN c ON c.record_id = id GROUP BY cluster_id""")
+def entity_display(spark, sf_dir):
+    people = model(spark, sf_dir, "entity").where("kind = 'Person'")
+    n = F.floor(F.substring_index("id", "/", -1).cast("long") / 3).cast("string")
+    c = people.select(F.col("id").alias("record_id"), F.concat(F.lit("cust/"), n).alias("cluster_id"))
+    return identity.display(people, c, spark.createDataFrame([], "key string, entity_id string"), kind_closure(kinds_frame(spark))).drop("keys")
+
+
+@query("""WITH m AS (SELECT concat('k', CAST(member AS STRING), '-', CAST(seq % 11 AS STRING)) AS key, key AS record, seq, value = 'signup' AS is_primary FROM observation),
+    p AS (SELECT key, record, min(seq) AS seq, bool_or(is_primary) AS own FROM m GROUP BY key, record),
+    q AS (SELECT *, first_value(record) OVER (PARTITION BY key ORDER BY seq, record) AS owner, bool_or(own) OVER (PARTITION BY key) AS asserted FROM p)
+    SELECT least(record, owner) AS a, greatest(record, owner) AS b, CASE WHEN bool_or(asserted) THEN 'asserted' ELSE 'proposed' END AS status FROM q WHERE record <> owner GROUP BY 1, 2""")
+def shared_key_links(spark, sf_dir):
+    o = model(spark, sf_dir, "observation")
+    m = o.select(F.concat(F.lit("k"), F.col("member").cast("string"), F.lit("-"), (F.col("seq") % 11).cast("string")).alias("key"), F.col("key").alias("record"), "seq", (F.col("value") == "signup").alias("is_primary"))
+    return identity.shared_keys(m)
+
+
+@query("""WITH f AS (SELECT a, b, kind, first_value(id) OVER w AS fid, first_value(at) OVER w AS fat, first_value(status) OVER w AS fst, status, id, at FROM proposal WINDOW w AS (PARTITION BY a, b, kind ORDER BY at, id)),
+    g AS (SELECT a, b, kind, fid, fat, arg_min(id, (at, id)) FILTER (WHERE status = 'asserted') AS hid, min(at) FILTER (WHERE status = 'asserted') AS hat, count(*) AS deposits FROM f GROUP BY a, b, kind, fid, fat)
+    SELECT a, b, kind, fid AS id, CASE WHEN hid = fid THEN 'asserted' ELSE 'proposed' END AS status, fat AS valid_from, CASE WHEN hid <> fid THEN hat END AS valid_to, CAST(NULL AS STRING) AS promoted_from, deposits FROM g
+    UNION ALL SELECT a, b, kind, hid, 'asserted', hat, NULL, fid, deposits FROM g WHERE hid <> fid""")
+def link_promotion(spark, sf_dir):
+    return identity.promotions(model(spark, sf_dir, "proposal"))
+
+
+@query()
+def deposit_throttle(spark, sf_dir):
+    p = model(spark, sf_dir, "proposal").select("a", "b", F.col("status").alias("source"), "at")
+    return identity.throttle(p, 86_400)
+
+
+# -- matching ------------------------------------------------------------------------------------------
+
+
+@query("""WITH k AS (SELECT key, entity_id FROM alias), p AS (SELECT concat('crm:person/', CAST(c_custkey AS STRING), '-x') AS key, concat('cust/', CAST(c_custkey AS STRING)) AS id FROM customer)
+    SELECT DISTINCT least(k.entity_id, p.id) AS a, greatest(k.entity_id, p.id) AS b, substr(k.key, 10) AS captured FROM k JOIN p ON substr(p.key, 12, length(p.key) - 13) = substr(k.key, 10)""")
+def match_key_rules(spark, sf_dir):
+    from .driver_model import table
+
+    left = model(spark, sf_dir, "alias").select("key", F.col("entity_id").alias("cluster_id"))
+    n = F.col("c_custkey").cast("string")
+    right = table(spark, sf_dir, "customer").select(F.concat(F.lit("crm:person/"), n, F.lit("-x")).alias("key"), F.concat(F.lit("cust/"), n).alias("cluster_id"))
+    return matching.key_rule_pairs(left, "app:user/{name}", right, "crm:person/{name}-x")
+
+
+_MEMBERS = "SELECT DISTINCT concat('u', CAST(user_id AS STRING)) AS c, CAST(regexp_extract(props, '[0-9]+') AS INT) * 10 + event_id % 10 AS m FROM events"
+
+
+def _members(spark, sf_dir):
+    from .driver_model import table
+
+    k = F.get_json_object("props", "$.k").cast("int") * 10 + F.col("event_id") % 10
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("cluster_id"), k.alias("member"))
+
+
+@query(f"WITH m AS ({_MEMBERS}) SELECT x.c AS a, y.c AS b, count(*) AS shared FROM m x JOIN m y ON x.m = y.m AND x.c < y.c GROUP BY x.c, y.c")
+def match_member_overlap(spark, sf_dir):
+    return matching.member_overlap(_members(spark, sf_dir)).select("a", "b", "shared")
+
+
+@query(f"""WITH m AS ({_MEMBERS}), n AS (SELECT c, count(*) AS n FROM m GROUP BY c), s AS (SELECT x.c AS a, y.c AS b, count(*) AS k FROM m x JOIN m y ON x.m = y.m AND x.c < y.c GROUP BY x.c, y.c)
+    SELECT a, b, round(k / CAST(na.n + nb.n - k AS DOUBLE), 9) AS jaccard FROM s JOIN n na ON na.c = a JOIN n nb ON nb.c = b""")
+def match_jaccard(spark, sf_dir):
+    return matching.member_overlap(_members(spark, sf_dir)).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query()
+def match_name_candidates(spark, sf_dir):
+    return matching.name_pairs(model(spark, sf_dir, "entity").where("kind = 'Component'"))
+
+
+@query()
+def match_transparent_score(spark, sf_dir):
+    e = model(spark, sf_dir, "entity").where("kind = 'Component'")
+    pairs = matching.name_pairs(e)
+    return pairs.select("x", "y", F.round(matching.transparent_score(jw_match(F.col("x"), F.col("y")), F.lit(0.0), F.lit(False)), 9).alias("score"))
+
+
+@query("SELECT DISTINCT kind, trim(regexp_replace(lower(name), '[-_ ]+', ' ', 'g')) AS normalized FROM entity")
+def names_normalized(spark, sf_dir):
+    return model(spark, sf_dir, "entity").select("kind", normalize(F.col("name")).alias("normalized")).distinct()
+
+
+_LEFT = f"weight * pow(2.0, -(epoch_us(TIMESTAMP '{NOW}') - epoch_us(at)) / 86400000000.0 / 30.0)"
+_STRENGTH = f"""SELECT a, b, sum(CASE WHEN NOT against THEN {_LEFT} ELSE 0 END) AS support, sum(CASE WHEN against THEN {_LEFT} ELSE 0 END) AS contrary, max(at) AS newest, concat(a, '-', b) AS id FROM proposal GROUP BY a, b"""
+
+
+def _strengths(spark, sf_dir):
+    d = model(spark, sf_dir, "proposal").select("a", "b", F.col("at").alias("deposited_at"), "weight", "against")
+    return matching.decayed(d, NOW, key=["a", "b"]).withColumn("id", F.concat_ws("-", "a", "b"))
+
+
+@query(f"WITH s AS ({_STRENGTH}) SELECT a, b, round(support, 6) AS support, round(contrary, 6) AS contrary, round(greatest(support - contrary, 0), 6) AS strength, newest FROM s")
+def decay_strength(spark, sf_dir):
+    s = _strengths(spark, sf_dir)
+    return s.select("a", "b", F.round("support", 6).alias("support"), F.round("contrary", 6).alias("contrary"), F.round("strength", 6).alias("strength"), "newest")
+
+
+@query(f"""WITH s AS ({_STRENGTH}), t AS (SELECT *, greatest(support - contrary, 0) AS strength FROM s ORDER BY newest DESC NULLS LAST, id LIMIT 5000)
+    SELECT id, round(strength, 6) AS strength FROM t WHERE strength >= 0.3 ORDER BY t.strength DESC, id LIMIT 100""")
+def review_queue(spark, sf_dir):
+    return matching.review(_strengths(spark, sf_dir)).select("id", F.round("strength", 6).alias("strength"))
+
+
+@query(f"WITH s AS ({_STRENGTH}) SELECT id FROM s WHERE greatest(support - contrary, 0) < 0.1")
+def proposals_to_close(spark, sf_dir):
+    return matching.to_close(_strengths(spark, sf_dir)).select("id")
+
+
+@query("""WITH c AS (SELECT a, b, nth % 3 <> 0 AS same FROM link), f AS (SELECT a, b FROM link WHERE status = 'asserted')
+    SELECT tp, fp, fn, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(tp + fn AS DOUBLE) AS recall FROM (
+      SELECT count(*) FILTER (WHERE same AND f.a IS NOT NULL) AS tp, count(*) FILTER (WHERE NOT same AND f.a IS NOT NULL) AS fp, count(*) FILTER (WHERE same AND f.a IS NULL) AS fn
+      FROM c LEFT JOIN f ON f.a = c.a AND f.b = c.b)""")
+def precision_recall(spark, sf_dir):
+    link = model(spark, sf_dir, "link")
+    return matching.precision_recall(link.select("a", "b", (F.col("nth") % 3 != 0).alias("same")), link.where("status = 'asserted'").select("a", "b"))
+
+
+# -- validation ----------------------------------------------------------------------------------------
+
+
+@query("""WITH k AS (SELECT key FROM observation UNION SELECT id FROM entity UNION SELECT concat(key, ' ') FROM observation)
+    SELECT key, regexp_full_match(key, '[a-z][a-z0-9-]*:[a-z][a-z0-9_-]*/\\S+') AS ok, CASE WHEN regexp_full_match(key, '[a-z][a-z0-9-]*:[a-z][a-z0-9_-]*/\\S+') THEN regexp_extract(key, '/(.*)$', 1) END AS external_id FROM k""")
+def validate_keys(spark, sf_dir):
+    o, e = model(spark, sf_dir, "observation"), model(spark, sf_dir, "entity")
+    keys = o.select("key").unionByName(e.select(F.col("id").alias("key"))).unionByName(o.select(F.concat("key", F.lit(" ")).alias("key"))).distinct()
+    _, _, external = validation.key_parts(F.col("key"))
+    return keys.select("key", F.col("key").rlike(validation.KEY_PATTERN).alias("ok"), external.alias("external_id"))
+
+
+@query(f"""SELECT DISTINCT x.subject_id FROM fact x JOIN fact y ON x.subject_id = y.subject_id AND x.source = y.source AND x.object_id <> y.object_id
+    AND x.valid_from < coalesce(y.valid_to, {_INF}) AND y.valid_from < coalesce(x.valid_to, {_INF}) WHERE x.valid_to IS NOT NULL AND y.valid_to IS NOT NULL AND x.source = 'crm'""")
+def validate_overlap_one(spark, sf_dir):
+    f = model(spark, sf_dir, "fact").where("valid_to IS NOT NULL AND source = 'crm'").select("subject_id", "object_id", F.col("valid_from").alias("vf"), F.col("valid_to").alias("vt"))
+    return validation.overlapping_one(f, ["subject_id"], "object_id")
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES ('owned_by', 'Component', 'Team'), ('approves_changes', 'Repository', 'Person')) v(predicate, dom, ran))
+    SELECT f.id, CASE WHEN s.kind <> p.dom THEN 'domain_mismatch' WHEN o.kind <> p.ran THEN 'range_mismatch' END AS code FROM fact f JOIN entity s ON s.id = f.subject_id JOIN entity o ON o.id = f.object_id JOIN p USING (predicate)
+    WHERE s.kind <> p.dom OR o.kind <> p.ran""")
+def validate_domain_range(spark, sf_dir):
+    registry = spark.createDataFrame([("owned_by", ["Component"], ["Team"]), ("approves_changes", ["Repository"], ["Person"])], "predicate string, domain array<string>, range array<string>")
+    e = model(spark, sf_dir, "entity").select("id", F.array("kind").alias("kinds"))
+    f = model(spark, sf_dir, "fact").select("id", "subject_id", "predicate", "object_id")
+    j = f.join(e.toDF("subject_id", "subject_kinds"), "subject_id").join(e.toDF("object_id", "object_kinds"), "object_id").join(F.broadcast(registry), "predicate")
+    none = F.lit(None)
+    j = j.withColumns({"registered": F.lit(True), "core_only": F.lit(False), "is_relation": F.lit(True), "used_as_relation": F.lit(True), "vf": none, "vt": none, "confidence_ppm": none.cast("int")})
+    codes = validation.problems(validation.claim_checks())
+    return j.select("id", F.get(codes, 0).alias("code")).where("code IS NOT NULL")
+
+
+# -- log -----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT part, off, id FROM (SELECT part, off, id, sum(bytes) OVER w AS total, row_number() OVER w AS n FROM log WHERE off > 5 WINDOW w AS (PARTITION BY part ORDER BY off ROWS UNBOUNDED PRECEDING))
+    WHERE n = 1 OR (n <= 100 AND total <= 600)""")
+def log_read_budget(spark, sf_dir):
+    from ..streaming.log import read_page
+
+    return read_page(model(spark, sf_dir, "log"), after=5, limit=100, most_bytes=600).select("part", "off", "id")
+
+
+@query("SELECT part, max(off) AS head, count(*) FILTER (WHERE retain) AS retained, min(at) AS oldest FROM log GROUP BY part")
+def log_heads(spark, sf_dir):
+    from ..streaming.log import heads
+
+    return heads(model(spark, sf_dir, "log"))
+
+
+@query("""WITH g AS (SELECT part, grp, max(off) AS off FROM (SELECT part, 'a' AS grp, off FROM log WHERE at < TIMESTAMP '2024-01-20 00:00:00' UNION ALL SELECT part, 'b', off FROM log WHERE at < TIMESTAMP '2024-01-12 00:00:00') GROUP BY part, grp),
+    m AS (SELECT part, min(off) AS off FROM g GROUP BY part HAVING count(*) = 2)
+    SELECT l.part, l.off, l.id FROM log l JOIN m ON m.part = l.part AND l.off <= m.off WHERE NOT retain AND at < TIMESTAMP '2024-01-15 00:00:00'""")
+def log_trim_candidates(spark, sf_dir):
+    from ..streaming.log import trimmable
+
+    log = model(spark, sf_dir, "log")
+    commits = [log.where(F.col("at") < F.lit(t).cast("timestamp_ntz")).groupBy("part").agg(F.max("off").alias("off")).withColumn("grp", F.lit(g)) for g, t in (("a", "2024-01-20 00:00:00"), ("b", "2024-01-12 00:00:00"))]
+    return trimmable(log, commits[0].unionByName(commits[1]), ["a", "b"], "2024-01-15 00:00:00").select("part", "off", "id")
+
+
+# -- mappers, over literal inputs ----------------------------------------------------------------------
+
+
+@query("""SELECT * FROM (VALUES ('r1', 1, '*', 'github:team/acme/core', false), ('r1', 3, '/docs/', 'github:user/alice', false), ('r1', 3, '/docs/', 'github:team/acme/docs', false), ('r1', 4, 'free.txt', NULL, true),
+    ('r2', 2, '*.go', 'github:user/bob', false)) v(repo, line, pattern, owner_key, unowned)""")
+def codeowners_rules(spark, sf_dir):
+    texts = [("r1", "* @acme/core # all\n# note\n/docs/ @alice @acme/docs me@x.org\nfree.txt\n"), ("r2", "[Section]\n*.go @bob\n")]
+    return codeowners.owner_rules(spark.createDataFrame(texts, "repo string, text string"), ["repo"])
+
+
+@query("""SELECT * FROM (VALUES ('a', 'ledger', NULL, 8080, 'http'), ('b', 'ledger', 'pay', NULL, 'https'), ('c', 'db', 'data', 5432, NULL), ('d', NULL, NULL, NULL, NULL), ('e', 'cache', 'infra', 6379, 'redis'))
+    v(name, service, namespace, port, scheme)""")
+def env_references(spark, sf_dir):
+    rows = [("a", "http://ledger:8080/x"), ("b", "https://ledger.pay/path"), ("c", "db.data.svc.cluster.local:5432"), ("d", "ledger"), ("e", "redis://cache.infra.svc:6379")]
+    return kubernetes.references(spark.createDataFrame(rows, "name string, value string"), "value").select("name", "service", "namespace", "port", "scheme")
+
+
+@query("SELECT * FROM (VALUES ('s1', 'w1'), ('s1', 'w2'), ('s2', 'w1')) v(service, workload)")
+def service_selector_match(spark, sf_dir):
+    s = spark.createDataFrame([("s1", "n", {"app": "x"}), ("s2", "n", {"app": "x", "tier": "web"}), ("s3", "m", {"app": "x"}), ("s4", "n", {})], "service string, namespace string, selector map<string,string>")
+    w = spark.createDataFrame([("w1", "n", {"app": "x", "tier": "web"}), ("w2", "n", {"app": "x", "tier": "db"})], "workload string, namespace string, labels map<string,string>")
+    return kubernetes.select_workloads(s, w)
+
+
+@query("SELECT id, version, regexp_full_match(version, '[vV]?[0-9]+(\\.[0-9]+)*(\\.[xX*].*)?(\\+.*)?') AS ok FROM runtime")
+def version_is_dotted(spark, sf_dir):
+    return model(spark, sf_dir, "runtime").select("id", "version", parse_dotted(F.col("version")).isNotNull().alias("ok"))
