@@ -156,7 +156,10 @@ def _search(index: DataFrame, books: np.ndarray, ids: np.ndarray, queries: np.nd
                     score += np.take(unit[q] @ books[m].T, c[:, m], axis=1)
                 score *= (norm / norm.max()).astype(np.float32)
                 near = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(len(x)), (q.stop - a, 1))
-                exact = np.einsum("qd,qnd->qn", queries[q].astype(np.float64), x[near])
+                # summed from the first component on, so that a score does not depend on blocks
+                exact = np.zeros(near.shape)
+                for d in range(dimension):
+                    exact += queries[q, d, None].astype(np.float64) * x[near, d]
                 cand = own[near].reshape(q.stop - a, -1)
                 value = np.repeat(exact, width, axis=1)
                 value = np.where((cand < 0) | (cand == ids[q, None]), -np.inf, value)

@@ -106,10 +106,10 @@ def judge(spark: SparkSession, pages: DataFrame, outcomes: DataFrame, *, rules:
     known = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     labelled = rows.join(known, "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad"))
-    found = reputations(hosts, deviations=deviations).select("host", F.round("posterior", 9).alias("posterior"), F.round("low", 9).alias("low"))
+    found = reputations(hosts, deviations=deviations).select("host", "posterior", "low")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("low") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(found, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "posterior", "low")
+    return rows.join(found, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("posterior", 6).alias("posterior"), F.round("low", 6).alias("low"))
 
 
 def labels_of(labels: DataFrame) -> DataFrame:
