@@ -161,8 +161,9 @@ def jcs(text: Column) -> Column:
 
 def clip_utf8(s: Column, most: int) -> Column:
     """At most ``most`` bytes of UTF-8, never a part of a character."""
-    cut = F.substring(F.encode(s, "UTF-8"), 1, most)
-    return F.when(F.octet_length(s) <= most, s).otherwise(F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", ""))
+    # a character has at most four bytes, so one of four cuts is whole
+    cuts = [F.try_validate_utf8(F.substring(F.encode(s, "UTF-8"), 1, n).cast("string")) for n in range(most, max(-1, most - 4), -1)]
+    return F.when(F.octet_length(s) <= most, s).otherwise(F.coalesce(*cuts))
 
 
 def visible(s: Column) -> Column:
