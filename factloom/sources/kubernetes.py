@@ -83,3 +83,33 @@ def repository_hint(annotation: Column, images: Column) -> tuple[Column, Column]
 
 def environments(namespaces: DataFrame, excluded: list[str]) -> DataFrame:
     return namespaces.where(~F.col("namespace").isin(excluded)).select(F.concat(F.lit("k8s:namespace/"), "namespace").alias("key"), F.lit("Environment").alias("kind"), F.col("namespace").alias("name"))
+
+
+def service_index(services: DataFrame) -> DataFrame:
+    """Services that select pods: with a selector, and not mere names for outside hosts."""
+    return services.where((F.size(F.coalesce("selector", F.create_map().cast("map<string,string>"))) > 0) & (F.coalesce("type", F.lit("ClusterIP")) != "ExternalName"))
+
+
+def workloads(w: DataFrame, team_label: str = "team") -> DataFrame:
+    """Component claims: deployed_to its namespace, owned_by its team label, defined_in its repository.
+
+    ``w(workload, namespace, labels, annotation, images)``; one row per claim with its confidence, and the
+    predicates that the OUT snapshot covers.
+    """
+    slug, sure = repository_hint(F.col("annotation"), F.col("images"))
+    team = F.nullif(F.try_element_at("labels", F.lit(team_label)), F.lit(""))
+    claim = lambda p, obj, conf: F.struct(F.lit(p).alias("predicate"), obj.alias("object"), conf.cast("double").alias("confidence"))
+    all_ = F.array(
+        claim("deployed_to", F.concat(F.lit("k8s:namespace/"), "namespace"), F.lit(1.0)), claim("owned_by", F.concat(F.lit("k8s:team/"), team), F.lit(OWNED_CONFIDENCE)),
+        claim("defined_in", F.concat(F.lit("github:name/"), F.lower(F.nullif(slug, F.lit("")))), sure),
+    )
+    kept = F.filter(all_, lambda c: c["object"].isNotNull())
+    scope = F.array(*map(F.lit, ("deployed_to", "owned_by", "defined_in", "depends_on")))
+    rows = w.select(F.concat_ws("/", F.lit("k8s:workload"), "namespace", "workload").alias("subject"), F.explode(kept).alias("c"), scope.alias("snapshot_out"))
+    return rows.select("subject", "c.*", "snapshot_out")
+
+
+def team_records(w: DataFrame, team_label: str = "team") -> DataFrame:
+    """A bare Team record for each value of the label."""
+    team = F.nullif(F.try_element_at("labels", F.lit(team_label)), F.lit(""))
+    return w.select(team.alias("name")).where("name IS NOT NULL").distinct().select(F.concat(F.lit("k8s:team/"), "name").alias("key"), F.lit("Team").alias("kind"), "name")
