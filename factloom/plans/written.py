@@ -11,25 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 
 
+def _own_root(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="factloom-")
+    return _OWN[app]
+
+
 class Written:
-    """Tables under the shared folder of ``spark.checkpoint.dir``; a folder of this process where that is unset."""
+    """Tables under the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that setting is missing (tests, a local session) a folder of this process is used.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            app = spark.sparkContext.applicationId
-            root = _OWN.setdefault(app, "") or _OWN.__setitem__(app, "file://" + tempfile.mkdtemp(prefix="factloom-")) or _OWN[app]
-        self.spark, self.root = spark, f"{root.rstrip('/')}/factloom-{name}-{uuid.uuid4().hex}"
+        root = spark.conf.get("spark.checkpoint.dir", None) or _own_root(spark)
+        self.spark = spark
+        self.root = f"{root.rstrip('/')}/factloom-{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.mode("errorifexists").parquet(path)
+        return self.read(name, df)
+
+    def read(self, name: str, like: DataFrame) -> DataFrame:
+        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self) -> None:
+    def drop(self, name: str | None = None) -> None:
+        """Delete one table, or all of them; called at exit for what a result still reads."""
         try:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        except Exception:  # the session is gone, and its local folder with it
+        except Exception:  # the session may be gone already; then so is the need
             pass
