@@ -14,11 +14,11 @@ however large the benchmark is; documents are never shuffled.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM, U64, Words, slices, texts_of
@@ -130,45 +130,82 @@ def _counts(docs: DataFrame, items: _Items) -> np.ndarray:
     return out
 
 
+def _found(own: _Items, column: pa.Array, threshold: float) -> Iterator[tuple]:
+    """(row, item_id, score, first word, end word, seeds) of every item that a text of ``column`` holds."""
+    raw, offsets = texts_of(column)
+    for a, b in slices(offsets, RUN_BYTES):
+        w = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
+        h, at = w.grams(SEED_WORDS)
+        k = np.minimum(np.searchsorted(own.distinct, h), len(own.distinct) - 1)
+        hit = np.flatnonzero(own.distinct[k] == h)
+        diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for p, seed in zip(at[hit].tolist(), h[hit], strict=True):
+            for j in range(np.searchsorted(own.seed, seed), np.searchsorted(own.seed, seed, "right")):
+                diagonals[int(w.doc[p]), int(own.item[j])].append(p - int(own.place[j]))
+        for (d, item), where in diagonals.items():
+            words, n = own.words[item], len(own.words[item])
+            low, high, best = int(w.first[d]), int(w.first[d + 1]), (0, 0, 0)
+            where.sort()
+            cuts = [0, *(i for i in range(1, len(where)) if where[i] - where[i - 1] > n), len(where)]
+            for i, j in zip(cuts, cuts[1:]):
+                first, last = max(low, where[i] - n // 2), min(high, where[j - 1] + n + n // 2)
+                window = w.hash[first:last]
+                # no alignment matches more words than the window has of the item
+                if 2 * np.isin(words, window).sum() >= threshold * 2 * n:
+                    score, s, e = align(words, window)
+                    best = max(best, (score, -(first - low + s), first - low + e))
+            if best[0] >= threshold * 2 * n:
+                yield a + d, own.ids[item], best[0] / (2 * n), -best[1], best[2], len(where)
+
+
 def _matches(docs: DataFrame, items: _Items, threshold: float) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
         for batch in batches:
-            raw, offsets = texts_of(batch.column(1))
-            for a, b in slices(offsets, RUN_BYTES):
-                w = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
-                h, at = w.grams(SEED_WORDS)
-                k = np.minimum(np.searchsorted(own.distinct, h), len(own.distinct) - 1)
-                hit = np.flatnonzero(own.distinct[k] == h)
-                diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for p, seed in zip(at[hit].tolist(), h[hit], strict=True):
-                    for j in range(np.searchsorted(own.seed, seed), np.searchsorted(own.seed, seed, "right")):
-                        diagonals[int(w.doc[p]), int(own.item[j])].append(p - int(own.place[j]))
-                rows: list[tuple] = []
-                for (d, item), where in diagonals.items():
-                    words, n = own.words[item], len(own.words[item])
-                    low, high, best = int(w.first[d]), int(w.first[d + 1]), (0, 0, 0)
-                    where.sort()
-                    cuts = [0, *(i for i in range(1, len(where)) if where[i] - where[i - 1] > n), len(where)]
-                    for i, j in zip(cuts, cuts[1:]):
-                        first, last = max(low, where[i] - n // 2), min(high, where[j - 1] + n + n // 2)
-                        window = w.hash[first:last]
-                        # no alignment matches more words than the window has of the item
-                        if 2 * np.isin(words, window).sum() >= threshold * 2 * n:
-                            score, s, e = align(words, window)
-                            best = max(best, (score, -(first - low + s), first - low + e))
-                    if best[0] >= threshold * 2 * n:
-                        rows.append((d, own.ids[item], best[0] / (2 * n), -best[1], best[2], len(where)))
-                if rows:
-                    d, *cols = zip(*rows, strict=True)
-                    ids = batch.column(0).slice(a, b - a).take(pa.array(d))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"])
+            rows = list(_found(held.value, batch.column(1), threshold))
+            if rows:
+                d, *cols = zip(*rows, strict=True)
+                ids = batch.column(0).take(pa.array(d))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"])
 
     return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, score double, first_word long, end_word long, n_seeds long")
 
 
+def _clean(docs: DataFrame, items: _Items, threshold: float) -> Callable[[Column], Column]:
+    held = docs.sparkSession.sparkContext.broadcast(items)
+
+    def clean(texts: pa.Array) -> pa.Array:
+        out = np.ones(len(texts), bool)
+        out[[row for row, *_ in _found(held.value, texts, threshold)]] = False
+        return pa.array(out)
+
+    return F.arrow_udf(clean, "boolean")
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_words: int) -> Iterator[_Items]:
+    """Blocks of items, each with its rarer seeds by the counts of ``docs``."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // (2 * block_words)))  # a word has two characters at least, with its gap
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
+        own = _Items([(r.item_id, r.text) for r in rows])
+        if own.ids:
+            own.keep_rare(_counts(docs, own))
+            yield own
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark item (see :func:`leaks`).
+
+    Texts alone go to Python; nothing is joined or shuffled.
+    """
+    for own in _blocks(docs, benchmark, block_words):
+        docs = docs.where(_clean(docs, own, threshold)(F.col("text")))
+    return docs
+
+
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, exactly or edited.
 
@@ -177,16 +214,8 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, thresho
     and match nothing. Null or empty document text: no match. Repeated documents: each its own rows; an
     item_id with several texts: a row for each that matches. Empty tables: no rows. Extra columns are not read.
     """
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // (2 * block_words)))  # a word has two characters at least, with its gap
     out = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        own = _Items([(r.item_id, r.text) for r in rows])
-        if not own.ids:
-            continue
-        own.keep_rare(_counts(docs, own))
+    for own in _blocks(docs, benchmark, block_words):
         found = _matches(docs, own, threshold)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long, n_seeds long")

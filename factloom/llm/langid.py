@@ -11,12 +11,12 @@ shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import texts_of
@@ -165,6 +165,24 @@ def learn(docs: DataFrame, *, folds: int = 5, sample: int = SAMPLE) -> dict | No
     return fit(x, [r["lang"] for r in rows])
 
 
+def language_of(model: dict | None) -> Callable[[Column], Column]:
+    """A column function: struct of lang_pred and score of a text. Other columns of a row stay in the JVM."""
+
+    def label(texts: pa.Array) -> pa.Array:
+        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        if model is not None:
+            raw, offsets = texts_of(texts)
+            known = np.flatnonzero([has_letter(t) for t in texts.to_pylist()])
+            for a in range(0, len(known), 512):
+                at = known[a : a + 512]
+                found, scores[at] = predict(model, np.array([features(raw[offsets[k] : offsets[k + 1]]) for k in at]))
+                for k, f in zip(at.tolist(), found, strict=True):
+                    langs[k] = f
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang_pred", "score"])
+
+    return F.arrow_udf(label, "struct<lang_pred: string, score: double>")
+
+
 def identify(spark: SparkSession, docs: DataFrame, *, folds: int = 5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of every row of ``docs(doc_id, text, lang)``.
 
@@ -173,22 +191,12 @@ def identify(spark: SparkSession, docs: DataFrame, *, folds: int = 5, sample: in
     row if nothing could be learned. Null doc_id: predicted, not learned from, not held out. Repeated
     rows: each its own row. Extra columns are not read.
     """
-    model = learn(docs, folds=folds, sample=sample)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
+    found = docs.select("doc_id", held.alias("held_out"), language_of(learn(docs, folds=folds, sample=sample))(F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                known = [model is not None and has_letter(t) for t in part.column(2).to_pylist()]
-                langs, scores = ["und"] * len(known), np.zeros(len(known))
-                if any(known):
-                    at = np.flatnonzero(known)
-                    x = np.array([features(raw) for k, raw in _rows(part, 2) if known[k]])
-                    found, s = predict(model, x)
-                    scores[at] = s
-                    for k, f in zip(at.tolist(), found, strict=True):
-                        langs[k] = f
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
+def in_some_language(spark: SparkSession, docs: DataFrame, *, least_score: float, folds: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are in a known language with at least ``least_score``."""
+    p = language_of(learn(docs, folds=folds))(F.col("text"))
+    return docs.withColumn("_p", p).where((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least_score)).drop("_p")
