@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.common import Scratch
-from factloom.llm.decontam import leaks
+from factloom.llm.decontam import without_leaks
 from factloom.llm.jaccard_join import jaccard_components
-from factloom.llm.langid import identify
+from factloom.llm.langid import in_some_language
 from factloom.llm.packing import pack
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,12 +20,8 @@ LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go: those without a letter, and those no language is likely for.
-
-    Rows without doc_id, which a decision cannot be tied to, stay.
-    """
-    rejected = identify(spark, docs).where(f"lang_pred = 'und' OR score < {LEAST_SCORE}").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents in no known language go: those without a letter, and those no language is likely for."""
+    return in_some_language(spark, docs.select(*COLUMNS), least_score=LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, exactly or edited, go."""
-    bad = leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    return without_leaks(spark, docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
