@@ -49,6 +49,7 @@ def ingest(spark: SparkSession, inbox: str, log: str, *, checkpoint: str, reject
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def lag_seconds(progress: dict) -> float:
-    """Age of the backlog that a query's last progress reports: 0 when it read all there was."""
-    return max((float(s.get("metrics", {}).get("numFilesOutstanding", 0) or 0) for s in progress.get("sources", [])), default=0.0)
+def completions(kept: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(source, started) of complete reads: the earliest time that was kept, unless anything of the source was rejected."""
+    whole = kept.groupBy("source").agg(F.min("observed_at").alias("started"))
+    return whole.join(rejected.select("source").distinct(), "source", "left_anti")

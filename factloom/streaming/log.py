@@ -115,3 +115,11 @@ def follow(spark: SparkSession, path: str, schema: str, apply: Callable[[DataFra
 
 def dead_letter_count(spark: SparkSession, dead_letters: str) -> int:
     return spark.read.parquet(dead_letters).count()
+
+
+def lag(log: DataFrame, commits: DataFrame, group: str, now: str) -> DataFrame:
+    """part, unapplied, oldest, lag_seconds of what a group has not committed yet."""
+    own = commits.where(F.col("grp") == group).select("part", F.col("off").alias("done"))
+    rest = log.join(own, "part", "left").where(F.col("off") > F.coalesce("done", F.lit(0)))
+    age = F.unix_micros(F.lit(now).cast("timestamp_ntz").cast("timestamp")) - F.unix_micros(F.min("at").cast("timestamp"))
+    return rest.groupBy("part").agg(F.count("*").alias("unapplied"), F.min("at").alias("oldest"), (age / 1e6).alias("lag_seconds"))

@@ -322,3 +322,45 @@ def test_stream_applies_once_and_keeps_what_fails(spark, tmp_path):
     assert dead.where("reason = 'contract'").count() == 3 and dead.where("reason LIKE 'cannot%'").count() == 1
     go()  # nothing new, nothing applied again
     assert len(calls) == 3 and spark.read.parquet(str(out)).count() == 2
+
+
+def test_lag_and_completions(spark):
+    from factloom.streaming.ingest import completions
+
+    rows = spark.createDataFrame([("p", 1, day(0)), ("p", 2, day(1)), ("q", 1, day(2))], "part string, off long, at timestamp_ntz")
+    done = spark.createDataFrame([("g", "p", 1)], "grp string, part string, off long")
+    got = {r.part: (r.unapplied, r.lag_seconds) for r in log.lag(rows, done, "g", str(day(3))).collect()}
+    assert got == {"p": (1, 2 * 86_400.0), "q": (1, 86_400.0)}
+    kept = spark.createDataFrame([("a", day(1)), ("a", day(0)), ("b", day(0))], "source string, observed_at timestamp_ntz")
+    assert [(r.source, r.started) for r in completions(kept, spark.createDataFrame([("b",)], "source string")).collect()] == [("a", day(0))]
+
+
+def test_stale_lag_and_flapping(spark):
+    rows = [("p", day(7 * k), k < 4, k < 13) for k in range(16)] + [("q", day(7 * k), True, True) for k in range(16)] + [("r", day(7 * k), k < 4, True) for k in range(16)]
+    df = spark.createDataFrame(rows, "k string, at timestamp_ntz, same boolean, proposed boolean")
+    assert {r.k: r.lag_days for r in matching.stale_lag(df, ["k"]).collect()} == {"p": 63.0, "r": None}
+    flaps = matching.flapping(df.withColumnRenamed("at", "round"), ["k"])
+    assert {r.k: r.changes for r in flaps.collect()} == {"p": 1, "q": 0, "r": 0}
+
+
+def test_decision_log():
+    book = identity.IdentityBook([{"id": f"r{k}", "kind": "Person", "created_seq": k} for k in (1, 2)], {("Person", "Person"): "Person"})
+    d = lambda i, what, at: {"id": i, "what": what, "a": "r1", "b": "r2", "at": day(at)}
+    out = identity.apply_decisions(book, [d("1", "accept", 0), d("2", "join", 1), d("2", "join", 1), d("3", "split", 2)])
+    assert [(x["effect"], x["refused"] is None) for x in out] == [("none", False), ("joined", True), ("replay", True), ("split", True)]
+
+
+def test_linked_ids(spark):
+    o = spark.createDataFrame([("r1", "s", ["k1", "k2", "none"], day(0))], "record string, source string, linked array<string>, at timestamp_ntz")
+    a = spark.createDataFrame([("k1", "r1"), ("k2", "r0")], "key string, record string")
+    assert [(r.a, r.b, r.linked) for r in identity.linked_ids(o, a).collect()] == [("r0", "r1", "k2")]
+
+
+def test_times():
+    from factloom.functions.times import canonical, parse_when
+
+    now = dt.datetime(2026, 3, 10, 12)
+    assert parse_when("72h", now) == dt.datetime(2026, 3, 7, 12) and parse_when("7d", now) == dt.datetime(2026, 3, 3, 12) and parse_when("2026-01-02", now) == dt.datetime(2026, 1, 2)
+    assert parse_when("2026-01-02T03:04:05+02:00", now) == dt.datetime(2026, 1, 2, 1, 4, 5) and canonical(dt.datetime(2026, 1, 2)) == "2026-01-02T00:00:00.000000Z"
+    with pytest.raises(ValueError):
+        parse_when("soon", now)
