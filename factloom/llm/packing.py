@@ -128,7 +128,8 @@ def pack(spark: SparkSession, docs: DataFrame, *, vocabulary: str = "byte_bpe_50
     )
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["shard", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
+    # bases grow with the number of tasks, so they are never broadcast
+    ranked = pieces.join(bases.hint("merge"), ["shard", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
     # the patterns number at most twice `size`, whatever the corpus: their slots are a bounded table
     placed = ranked.join(F.broadcast(slots), (ranked.length == slots.length) & (ranked.rank >= slots.rank_from) & (ranked.rank < slots.rank_to))
     nth = F.col("rank") - F.col("rank_from")
