@@ -155,7 +155,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     sums = sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
     own = Window.partitionBy("shard").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("shard", "file_no", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("in_shard"))
-    starts = starts.join(sums, "shard").select("shard", "file_no", (F.col("shard_start") + F.col("in_shard")).alias("file_start"))
+    starts = starts.join(sums.hint("merge"), "shard").select("shard", "file_no", (F.col("shard_start") + F.col("in_shard")).alias("file_start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +175,8 @@ def read_ids(files: DataFrame) -> DataFrame:
     read = files.select("shard", "file_no", "doc_ids", "data").mapInArrow(
         decode, "shard long, file_no long, doc_id long, in_file long, n_tokens long, ids_crc32 long"
     )
-    return read.join(starts, ["shard", "file_no"]).select(
+    # starts have a row for each file, so they are never broadcast
+    return read.join(starts.hint("merge"), ["shard", "file_no"]).select(
         "doc_id", (F.col("file_start") + F.col("in_file")).alias("start"), "n_tokens", "ids_crc32",
         F.concat_ws("-", F.col("shard").cast("string"), F.col("file_no").cast("string")).alias("file"),
     )
