@@ -111,7 +111,7 @@ def reply_order(spark: SparkSession, messages: DataFrame) -> DataFrame:
     # paths of branches: a branch hangs on the branch of its parent; as many rounds as branches nest
     starts = tree.where("branches").select("conv_id", F.col("turn").alias("branch"), "parent_turn")
     above = tree.select("conv_id", F.col("turn").alias("parent_turn"), F.col("branch").alias("up"))
-    open_ = scratch.write(starts.join(above, ["conv_id", "parent_turn"]).select("conv_id", "branch", "parent_turn", "up"), "open-0")
+    open_ = scratch.write(starts.join(above.hint("merge"), ["conv_id", "parent_turn"]).select("conv_id", "branch", "parent_turn", "up"), "open-0")
     path = lambda up: F.concat_ws("/", up, digits("parent_turn"), digits("branch"))
     paths = scratch.write(open_.where("up IS NULL").select("conv_id", "branch", path(F.lit(None).cast("string")).alias("path"), F.lit(1).alias("depth")), "paths-0")
     ready, k = paths, 0
@@ -122,11 +122,12 @@ def reply_order(spark: SparkSession, messages: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         ready, paths = new, paths.unionByName(new)
-    shape = tree.join(paths, ["conv_id", "branch"], "left").select(
+    shape = tree.join(paths.hint("merge"), ["conv_id", "branch"], "left").select(
         "conv_id", "turn", "parent_turn", F.col("quoted_turn").isNotNull().alias("quoted"), F.coalesce("n_linked_levels", F.lit(0)).alias("n_linked_levels"),
         F.coalesce("depth", F.lit(0)).alias("branch_depth"), F.concat_ws("/", "path", digits("turn")).alias("reply_order"),
     )
-    out = parsed.join(shape, ["conv_id", "turn"], "left")
+    # the written tables are small files of many rows: their size says little about that in memory
+    out = parsed.join(shape.hint("merge"), ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", F.col("body").alias("text"), F.size("passages").alias("n_passages"), F.coalesce("n_linked_levels", F.lit(0)).alias("n_linked_levels"),
         "parent_turn", F.coalesce("quoted", F.lit(False)).alias("quoted"), F.coalesce("branch_depth", F.lit(0)).alias("branch_depth"), F.coalesce("reply_order", F.lit("")).alias("reply_order"),
