@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 
 #: Vectors that the codebooks are fitted on, at most about so many whatever the table.
 SAMPLE = 8_192
@@ -219,7 +219,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, *, every: int = 20, top: in
     no rows. Extra columns are not read.
     """
     schema = "query_id long, rank int, vec_id long, score double"
-    scratch = Scratch(spark, "nearest")
+    scratch = Scratch(small_batches(spark), "nearest")
     sizes = vectors.where("embedding IS NOT NULL AND size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], schema)

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_bpe
+from .common import Scratch, byte_bpe, small_batches
 
 BLOCK_IDS = 65_536
 FILE_IDS = 1 << 20
+#: Encoded words that a worker keeps (about 130 MB).
+KEEP = 800_000
 LEVEL = 3
 _HEAD = struct.Struct("<4sHHIQII")
 _CHUNK = struct.Struct("<IIIQI")  # ids, planes kept (a mask), crc32, offset of the body, frames
@@ -117,7 +119,7 @@ def write_ids(docs: DataFrame, scratch: Scratch, *, vocabulary: str, end_id: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of = byte_bpe(vocabulary)
+        ids_of = byte_bpe(vocabulary, KEEP)
         end = np.array([end_id], "<u4").tobytes()
         shard, file_no, held, names, size = TaskContext.get().partitionId(), 0, [], [], 0
 
@@ -187,4 +189,5 @@ def token_planes(spark: SparkSession, docs: DataFrame, *, vocabulary: str = "byt
 
     Empty table: no file, no row. Null or empty text: the end id alone. Repeated rows: each is kept.
     """
+    small_batches(spark)
     return read_ids(write_ids(docs, Scratch(spark, "planes"), vocabulary=vocabulary, end_id=end_id, bits=bits))

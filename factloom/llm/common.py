@@ -1,65 +1,33 @@
-"""What the operators of this subpackage share: written intermediates, text hashing, tokenizing."""
+"""What the operators of this subpackage share: text hashing, tokenizing, Arrow helpers."""
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
-import uuid
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-U64 = np.uint64
-
-
-# -- written intermediates ----------------------------------------------------------------------
-
-
-class Scratch:
-    """Tables written under the shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    A written table cuts lineage and survives a lost executor. Only where the setting is
-    missing (tests, a local session) a folder of this process is used.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = _own_root(spark)
-        self.spark = spark
-        self.root = f"{root.rstrip('/')}/factloom-{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+from ..plans.written import Written as Scratch  # noqa: F401  written intermediates
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("errorifexists").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str | None = None) -> None:
-        """Delete one table, or all of them; called at exit for what a result still reads."""
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        except Exception:  # the session may be gone already; then so is the need
-            pass
+U64 = np.uint64
 
 
-_OWN: dict[str, str] = {}
+# -- Arrow helpers ------------------------------------------------------------------------------
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def _own_root(spark: SparkSession) -> str:
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="factloom-")
-    return _OWN[app]
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches of texts hold 8 MB instead of the default 64 MB, unless the session has its own setting.
 
-# -- Arrow helpers ------------------------------------------------------------------------------
+    A batch stands in the JVM and in the Python worker of every running task at once.
+    """
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
+    return spark
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +79,19 @@ _BASE = U64(0xD6E8FEB86659FD93)  # odd, so it has an inverse modulo 2**64
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 
 
+_KEPT: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, U64)
-    if n:
+    """base**0 ... base**(n - 1) modulo 2**64; those of usual runs are kept."""
+    held = _KEPT.get(int(base))
+    if held is None or len(held) < n:
+        out = np.full(max(n, 1 << 19), base, U64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        held = np.multiply.accumulate(out)
+        if n <= 1 << 21:
+            _KEPT[int(base)] = held
+    return held[:n]
 
 
 #: ``[^\x20\x09-\x0D]+`` and ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` as sets of UTF-8 bytes, after A-Z.
@@ -178,7 +154,7 @@ class ByteBPE:
     the library whole. Either way the ids are those of ``encode(text, add_special_tokens=False)``.
     """
 
-    KEEP = 800_000
+    KEEP = 400_000
     #: The pattern's character classes within the characters that are not ``odd``.
     _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
     _PIECES = rf" ?[{_LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
@@ -224,8 +200,12 @@ class ByteBPE:
 _BPE: dict[str, ByteBPE] = {}
 
 
-def byte_bpe(name: str) -> ByteBPE:
-    """One per Python worker."""
+def byte_bpe(name: str, keep: int = ByteBPE.KEEP) -> ByteBPE:
+    """One per Python worker, keeping at most ``keep`` pieces."""
     if name not in _BPE:
         _BPE[name] = ByteBPE(name)
-    return _BPE[name]
+    bpe = _BPE[name]
+    bpe.KEEP = keep
+    if len(bpe.known) > keep:
+        bpe.known.clear()
+    return bpe

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, Words, slices, texts_of
+from .common import ALNUM, U64, Words, slices, small_batches, texts_of
 
 SEED_WORDS, LEAST_WORDS = 3, 5
 THRESHOLD = 0.6
 #: Words of items that the driver and each task hold at a time.
 BLOCK_WORDS = 1 << 20
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 
 
 class _Items:
@@ -185,6 +185,7 @@ def _clean(docs: DataFrame, items: _Items, threshold: float) -> Callable[[Column
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, block_words: int) -> Iterator[_Items]:
     """Blocks of items, each with its rarer seeds by the counts of ``docs``."""
+    small_batches(docs.sparkSession)
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // (2 * block_words)))  # a word has two characters at least, with its gap

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Pages that the classifier is fitted on, about so many at most whatever the table.
 SAMPLE = 600
 
@@ -339,6 +341,7 @@ def extract(spark: SparkSession, pages: DataFrame, *, sample: int = SAMPLE) -> D
     Null or empty html, and pages without content: empty text, 0 characters. Null page_id or url is kept.
     Repeated rows: each its own row. Long pages are read to their end. Extra columns are not read.
     """
+    small_batches(spark)
     weights = learn(pages, sample=sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

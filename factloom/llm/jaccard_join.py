@@ -38,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U64, Scratch, Words, binaries, mix, slices, texts_of
+from .common import NOT_SPACE, U64, Scratch, Words, binaries, mix, slices, small_batches, texts_of
 from .components import connected_components
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: Members of a cluster that one task joins; larger clusters are dealt out in blocks.
 CLUSTER = 4_000
 #: Bits of the filter that tells which documents the last step reads again (1 MB, whatever the corpus).
@@ -456,7 +456,7 @@ def jaccard_components(
     if leaf < 1:
         raise ValueError("similarity must be above 2/3")
     spare = (1 - r * (leaf + 1)) / 2
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(small_batches(spark), "jaccard")
     staged = scratch.write(_stage(docs, words, leaf, spare), "staged")
     some = staged.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("n_shingles", "mark_a", "mark_b").agg(F.min("doc_id").alias("rep"))

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import small_batches, texts_of
 
 #: Documents that the classifier is fitted on, at most about so many whatever the corpus.
-SAMPLE = 4_000
+SAMPLE = 3_000
 #: Languages that are learned: the most frequent ones.
 LANGUAGES = 200
 BITS = 12
@@ -78,16 +78,13 @@ def has_letter(text: str | None) -> bool:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, *, cost: float = 20.0, rounds: int = 60) -> np.ndarray:
-    """Weights (with a bias as the last one) of squared-hinge linear machines.
+    """Weights of squared-hinge linear machines on unit rows whose last column is 1, for the bias.
 
     ``y`` holds a column of -1 and 1 for each machine. Accelerated gradient steps on the primal problem.
     """
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros((x.shape[1], y.shape[1]), x.dtype)
-    v, step = w.copy(), 1.0 / (1.0 + 2 * cost * 2.0)  # rows have squared length 2
-    scale = cost / max(1, len(x))
-    step = 1.0 / (1.0 + 2 * scale * float((x**2).sum()))
-    step = max(step, 1.0 / (1.0 + 2 * scale * len(x) * 2.0))
+    v, scale = w.copy(), cost / max(1, len(x))
+    step = 1.0 / (1.0 + 2 * scale * len(x) * 2.0)  # rows have squared length 2
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
         new = v - step * (v * x.dtype.type(1e-3) - 2 * scale * (x.T @ (y * slack)))
@@ -98,6 +95,7 @@ def linear_svm(x: np.ndarray, y: np.ndarray, *, cost: float = 20.0, rounds: int
 
 def fit(x: np.ndarray, langs: list[str]) -> dict:
     """The model of a sample: families, their machines, and the pairs' machines."""
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     names = sorted(set(langs))
     family = {n: _FAMILY.get(n.lower().split("-")[0].split("_")[0], n) for n in names}
     families = sorted(set(family.values()))
@@ -144,6 +142,7 @@ def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]
 
 def learn(docs: DataFrame, *, folds: int = 5, sample: int = SAMPLE) -> dict | None:
     """Fit on text and lang of the documents outside fold 0; None where no language is to be learned."""
+    small_batches(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
@@ -157,12 +156,12 @@ def learn(docs: DataFrame, *, folds: int = 5, sample: int = SAMPLE) -> dict | No
             x = [features(raw).astype(np.float16).tobytes() if len(raw) else b"" for _, raw in _rows(batch, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
-    rows = some.select("doc_id", "lang", "text").mapInArrow(vectors, "doc_id long, lang string, x binary").toArrow().to_pylist()
-    rows = sorted((r for r in rows if r["x"] and any(r["x"])), key=lambda r: (r["doc_id"], r["lang"], r["x"]))
+    got = some.select("doc_id", "lang", "text").mapInArrow(vectors, "doc_id long, lang string, x binary").toArrow()
+    rows = sorted((i, lang, x) for i, lang, x in zip(*(c.to_pylist() for c in got.columns), strict=True) if any(x))
     if not rows:
         return None
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float16).reshape(len(rows), FEATURES).astype(np.float32)
-    return fit(x, [r["lang"] for r in rows])
+    x = np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(len(rows), FEATURES).astype(np.float32)
+    return fit(x, [r[1] for r in rows])
 
 
 def language_of(model: dict | None) -> Callable[[Column], Column]:
@@ -199,4 +198,4 @@ def identify(spark: SparkSession, docs: DataFrame, *, folds: int = 5, sample: in
 def in_some_language(spark: SparkSession, docs: DataFrame, *, least_score: float, folds: int = 5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are in a known language with at least ``least_score``."""
     p = language_of(learn(docs, folds=folds))(F.col("text"))
-    return docs.withColumn("_p", p).where((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least_score)).drop("_p")
+    return docs.where((p["lang_pred"] != "und") & (p["score"] >= least_score))

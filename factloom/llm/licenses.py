@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, Words, slices, texts_of
+from .common import ALNUM, U64, Words, slices, small_batches, texts_of
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -51,7 +51,7 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part may be reproduced without permission"),
 )
 CONTAINMENT = Fraction(9, 10)
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -111,6 +111,7 @@ def scan(spark: SparkSession, docs: DataFrame, *, phrases: dict[str, str] | None
     template's words that a line holds, if found, and 1 with a phrase; else 0. Null or empty text: no words,
     empty labels, score 0. Null doc_id and repeated rows: each its own row. Extra columns are not read.
     """
+    small_batches(spark)
     phrases = PHRASES if phrases is None else phrases
     known = _Templates(templates, containment, vocabulary_counts(docs, templates))
     spelled = [(_hashes(p), label) for p, label in phrases.items()]

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_bpe
+from .common import Scratch, byte_bpe, small_batches
 
 SIZE = 1024
+#: Encoded words that a worker keeps: few, as other operators share the worker.
+KEEP = 150_000
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -84,7 +86,7 @@ def pieces_of(docs: DataFrame, *, vocabulary: str, end_id: int, size: int) -> Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, end = byte_bpe(vocabulary), np.array([end_id], "<u4").tobytes()
+        ids_of, end = byte_bpe(vocabulary, KEEP), np.array([end_id], "<u4").tobytes()
         shard, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
@@ -111,7 +113,7 @@ def pack(spark: SparkSession, docs: DataFrame, *, vocabulary: str = "byte_bpe_50
     the sequence holds in all). Null text: empty, so one piece with the end id. Null doc_id and repeated
     rows: packed like any other. Empty table: no rows. Other columns are not read.
     """
-    scratch = Scratch(spark, "packing")
+    scratch = Scratch(small_batches(spark), "packing")
     pieces = scratch.write(pieces_of(docs, vocabulary=vocabulary, end_id=end_id, size=size), "pieces")
     counts = scratch.write(pieces.groupBy("shard", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
