@@ -22,7 +22,7 @@ from .common import Scratch, byte_bpe, small_batches
 
 SIZE = 1024
 #: Encoded words that a worker keeps: few, as other operators share the worker.
-KEEP = 150_000
+KEEP = 300_000
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
