@@ -1,11 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every 3-gram of words of a benchmark item is a seed. The corpus is read twice. The first reading
-counts how many documents hold each seed; of each item the rarer half of its seeds is kept, so common
-word sequences start no alignment, while an edited copy needs only one of them unharmed. The second
-reading finds kept seeds, takes the window of the document that the whole item would cover, and aligns
-item and window word by word (match 2, mismatch -1, gap -1). The score is the share of the item's own best
-score; copies with a fifth of their words changed reach 0.7, unrelated text stays below 0.3.
+Item and text are aligned word by word (match 2, mismatch -1, gap -1); the score is the share of the item's own
+best score. Copies with a fifth of their words changed reach 0.7, unrelated text stays below 0.3. One reading of
+the corpus finds seeds of items and aligns only where enough of them stand together. No alignment that
+reaches the threshold is lost: let it score S (2 x threshold x n, for an item of n words) or more with m <= n
+matches and x mismatches and gaps, so 2m - x >= S. Then
+
+* at least m - 1 - x >= S - n - 1 of its matches follow a match with nothing between, so that many 2-grams
+  of the item stand in the text. Every 2-gram is a seed. Where S - n - 1 is not above 0 (five words at 0.6),
+  words are the seeds, of which m >= S / 2 match;
+* it covers at most m + x <= 3n - S words of the text, so its seeds stand within so many.
 
 Items are taken in blocks of a bounded number of words, so what goes to the tasks has a fixed size
 however large the benchmark is; documents are never shuffled.
@@ -13,7 +17,6 @@ however large the benchmark is; documents are never shuffled.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,58 +24,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, Words, slices, small_batches, texts_of
+from .common import ALNUM, Words, slices, small_batches, texts_of
 
-SEED_WORDS, LEAST_WORDS = 3, 5
+SEED_WORDS, LEAST_WORDS = 2, 5
 THRESHOLD = 0.6
 #: Words of items that the driver and each task hold at a time.
 BLOCK_WORDS = 1 << 20
 RUN_BYTES = 1 << 19
+#: Pairs of a seed's place and an item that are held at a time (a text with more is taken by itself).
+RUN_HITS = 1 << 20
 
 
 class _Items:
     """One block of items as word hashes, with their seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float):
         rows = sorted(set(rows))
         texts = pa.array([t for _, t in rows], pa.string())
         raw, offsets = texts_of(texts)
         w = Words(raw, offsets, ALNUM)
         size = np.diff(w.first)
-        keep = size >= LEAST_WORDS
-        self.ids = [i for (i, _), k in zip(rows, keep, strict=True) if k]
-        self.words = [w.hash[w.first[k] : w.first[k + 1]] for k in np.flatnonzero(keep)]
-        seed, item, place = [], [], []
-        for k, words in enumerate(self.words):
-            one = np.frombuffer(words.tobytes(), U64)
-            seed.append(_grams(one)), place.append(np.arange(len(one) - SEED_WORDS + 1)), item.append(np.full(len(one) - SEED_WORDS + 1, k))
-        both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seed, item, place)]
-        order = np.lexsort((both[2], both[1], both[0]))
-        self.seed, self.item, self.place = (x[order] for x in both)
-        self.distinct = np.unique(self.seed.astype(U64))
-
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """Of each item the rarer half of its distinct seeds, at least four; ties to the earlier place."""
-        df = counts[np.searchsorted(self.distinct, self.seed)]
-        order = np.lexsort((self.place, df, self.item))
-        keep = np.zeros(len(order), bool)
-        item = self.item[order]
-        head = np.searchsorted(item, np.arange(len(self.words)))
-        for k, a in enumerate(head):
-            b = head[k + 1] if k + 1 < len(head) else len(item)
-            keep[order[a : a + max(4, -(-(b - a) // 2))][: b - a]] = True
-        self.seed, self.item, self.place = self.seed[keep], self.item[keep], self.place[keep]
-        self.distinct = np.unique(self.seed)
-
-
-def _grams(words: np.ndarray) -> np.ndarray:
-    from .common import mix
-
-    n = len(words) - SEED_WORDS + 1
-    h = np.zeros(n, U64)
-    for i in range(SEED_WORDS):
-        h = mix(h * U64(0x9E3779B97F4A7C15) + words[i : i + n])
-    return h
+        keep = np.flatnonzero(size >= LEAST_WORDS)
+        self.ids = [rows[k][0] for k in keep.tolist()]
+        self.words = [w.hash[w.first[k] : w.first[k + 1]] for k in keep]
+        n = size[keep]
+        best = 2 * threshold * n  # floats: bounds are rounded to the side that finds more
+        grams = np.ceil(best - n - 1 - 1e-6).astype(np.int64)
+        #: seeds that an alignment has at least, and words of the text that it covers at most
+        self.need = np.where(grams > 0, grams, np.maximum(1, np.ceil(best / 2 - 1e-6).astype(np.int64)))
+        self.span = np.floor(3 * n - best + 1e-6).astype(np.int64)
+        number = np.full(len(size), -1)
+        number[keep] = np.arange(len(keep))
+        self.tables = []
+        for words, own in ((SEED_WORDS, grams > 0), (1, grams <= 0)):
+            h, at = w.grams(words)
+            item = number[w.doc[at]]
+            mine = (item >= 0) & np.append(own, False)[item]
+            if mine.any():
+                pairs = np.unique(np.rec.fromarrays([h[mine], item[mine]], names="seed,item"))
+                seed, first, count = np.unique(pairs["seed"], return_index=True, return_counts=True)
+                self.tables.append((words, seed, first, count, np.ascontiguousarray(pairs["item"])))
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -105,29 +96,35 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _counts(docs: DataFrame, items: _Items) -> np.ndarray:
-    """In how many rows of ``docs`` each seed stands; one row per seed and task is shuffled."""
-    seeds = docs.sparkSession.sparkContext.broadcast(items.distinct)  # BLOCK_WORDS numbers at most
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = seeds.value
-        total = np.zeros(len(own), np.int64)
-        for batch in batches:
-            raw, offsets = texts_of(batch.column(0))
-            for a, b in slices(offsets, RUN_BYTES):
-                w = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
-                h, at = w.grams(SEED_WORDS)
-                k = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                hit = own[k] == h
-                pairs = np.unique(w.doc[at[hit]] * len(own) + k[hit])
-                total += np.bincount(pairs % len(own), minlength=len(own))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
-
-    out = np.zeros(len(items.distinct), np.int64)
-    for r in docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.seed] = r.n
-    return out
+def _close(w: Words, own: _Items) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, item, places of its seeds, those that begin a stretch with as many seeds as an alignment has)."""
+    for words, seeds, first, count, items in own.tables:
+        h, at = w.grams(words)
+        k = np.minimum(np.searchsorted(seeds, h), len(seeds) - 1)
+        hit = np.flatnonzero(seeds[k] == h)
+        at, k = at[hit], k[hit]
+        doc, n = w.doc[at], count[k]
+        total = np.append(0, np.cumsum(n))
+        a = 0
+        while a < len(at):
+            b = int(np.searchsorted(total, total[a] + RUN_HITS, "right")) - 1
+            b = int(np.searchsorted(doc, doc[b])) if b < len(at) else b
+            if b <= a:
+                b = int(np.searchsorted(doc, doc[a], "right"))
+            m = n[a:b]
+            item = items[np.repeat(first[k[a:b]] - (total[a:b] - total[a]), m) + np.arange(m.sum())]
+            place = np.repeat(at[a:b], m)
+            key = np.repeat(doc[a:b], m) * len(own.words) + item
+            order = np.argsort(key, kind="stable")
+            key, place, item = key[order], place[order], item[order]
+            last = np.arange(len(key)) + own.need[item] - 1
+            begins = last < len(key)
+            last[~begins] = 0
+            begins &= (key[last] == key) & (place[last] - place < own.span[item])
+            for one in np.unique(key[begins]).tolist():
+                i, j = np.searchsorted(key, one), np.searchsorted(key, one, "right")
+                yield *divmod(one, len(own.words)), place[i:j], place[i:j][begins[i:j]]
+            a = b
 
 
 def _found(own: _Items, column: pa.Array, threshold: float) -> Iterator[tuple]:
@@ -135,27 +132,19 @@ def _found(own: _Items, column: pa.Array, threshold: float) -> Iterator[tuple]:
     raw, offsets = texts_of(column)
     for a, b in slices(offsets, RUN_BYTES):
         w = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
-        h, at = w.grams(SEED_WORDS)
-        k = np.minimum(np.searchsorted(own.distinct, h), len(own.distinct) - 1)
-        hit = np.flatnonzero(own.distinct[k] == h)
-        diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for p, seed in zip(at[hit].tolist(), h[hit], strict=True):
-            for j in range(np.searchsorted(own.seed, seed), np.searchsorted(own.seed, seed, "right")):
-                diagonals[int(w.doc[p]), int(own.item[j])].append(p - int(own.place[j]))
-        for (d, item), where in diagonals.items():
-            words, n = own.words[item], len(own.words[item])
+        for d, item, places, begins in _close(w, own):
+            words, n, span = own.words[item], len(own.words[item]), int(own.span[item])
             low, high, best = int(w.first[d]), int(w.first[d + 1]), (0, 0, 0)
-            where.sort()
-            cuts = [0, *(i for i in range(1, len(where)) if where[i] - where[i - 1] > n), len(where)]
+            cuts = [0, *(np.flatnonzero(np.diff(begins) > 2 * span) + 1).tolist(), len(begins)]
             for i, j in zip(cuts, cuts[1:]):
-                first, last = max(low, where[i] - n // 2), min(high, where[j - 1] + n + n // 2)
+                first, last = max(low, int(begins[i]) - span), min(high, int(begins[j - 1]) + span + 1)
                 window = w.hash[first:last]
                 # no alignment matches more words than the window has of the item
                 if 2 * np.isin(words, window).sum() >= threshold * 2 * n:
                     score, s, e = align(words, window)
                     best = max(best, (score, -(first - low + s), first - low + e))
             if best[0] >= threshold * 2 * n:
-                yield a + d, own.ids[item], best[0] / (2 * n), -best[1], best[2], len(where)
+                yield a + d, own.ids[item], best[0] / (2 * n), -best[1], best[2], len(places)
 
 
 def _matches(docs: DataFrame, items: _Items, threshold: float) -> DataFrame:
@@ -183,17 +172,16 @@ def _clean(docs: DataFrame, items: _Items, threshold: float) -> Callable[[Column
     return F.arrow_udf(clean, "boolean")
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, block_words: int) -> Iterator[_Items]:
-    """Blocks of items, each with its rarer seeds by the counts of ``docs``."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float, block_words: int) -> Iterator[_Items]:
+    """Blocks of items with their seeds."""
     small_batches(docs.sparkSession)
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // (2 * block_words)))  # a word has two characters at least, with its gap
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        own = _Items([(r.item_id, r.text) for r in rows])
+        own = _Items([(r.item_id, r.text) for r in rows], threshold)
         if own.ids:
-            own.keep_rare(_counts(docs, own))
             yield own
 
 
@@ -202,7 +190,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
 
     Texts alone go to Python; nothing is joined or shuffled.
     """
-    for own in _blocks(docs, benchmark, block_words):
+    for own in _blocks(docs, benchmark, threshold, block_words):
         docs = docs.where(_clean(docs, own, threshold)(F.col("text")))
     return docs
 
@@ -211,12 +199,13 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, thresho
     """Pairs of a document and a benchmark item that it holds, exactly or edited.
 
     doc_id, item_id, score (0 to 1, at least ``threshold``), first_word, end_word (the aligned words of the
-    document, from 0), n_seeds. Items with null id or text, or fewer than five words, cannot be told from chance
-    and match nothing. Null or empty document text: no match. Repeated documents: each its own rows; an
-    item_id with several texts: a row for each that matches. Empty tables: no rows. Extra columns are not read.
+    document, from 0), n_seeds (places of the document where a seed of the item stands). Items with null id or
+    text, or fewer than five words, cannot be told from chance and match nothing. Null or empty document text: no
+    match. Repeated documents: each its own rows; an item_id with several texts: a row for each that matches.
+    Empty tables: no rows. Extra columns are not read.
     """
     out = None
-    for own in _blocks(docs, benchmark, block_words):
+    for own in _blocks(docs, benchmark, threshold, block_words):
         found = _matches(docs, own, threshold)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long, n_seeds long")

@@ -172,3 +172,26 @@ def test_decontamination_edges(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "One, two three FOUR five six!"), (3, "One, two three FOUR five six!"), (None, "one two three four five six"), (4, "z " * 200_000 + "one two three four five six")], schema)
     assert sorted((str(r.doc_id), r.item_id, r.score) for r in leaks(spark, d, b).collect()) == [("3", 1, 1.0), ("3", 1, 1.0), ("4", 1, 1.0), ("None", 1, 1.0)]
     assert leaks(spark, d, b.limit(0)).count() == 0 and leaks(spark, d.limit(0), b).count() == 0
+
+
+def test_every_copy_that_reaches_the_threshold_is_found(spark):
+    rnd = random.Random(12)
+    items = {r.item_id: words(r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()}
+    items |= {900 + n: [f"s{n}x{k}" for k in range(n)] for n in range(5, 15)}
+    docs = []
+    for item, own in items.items():
+        for share in (0.15, 0.2, 0.25):
+            copy = list(own)
+            for p in rnd.sample(range(len(own)), round(share * len(own))):
+                copy[p] = f"e{rnd.randrange(99)}"
+            docs.append((item, copy))
+        docs.append((item, [x for k, w in enumerate(own) for x in ([w, "added"] if k % 2 else [w])]))  # no three words together
+        docs.append((item, [w for k, w in enumerate(own) if k % 5 != 2]))
+    docs.append((905, " and ".join(items[905]).split()))
+    docs = [(k, item, ["f1", "f2", *copy, "f3"]) for k, (item, copy) in enumerate(docs)]
+    want = {(k, item) for k, item, copy in docs if brute_align(items[item], copy) >= 1.2 * len(items[item])}
+    assert 150 < len(want) < len(docs)
+    d = spark.createDataFrame([(k, " ".join(copy)) for k, _, copy in docs], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    mine = {k: item for k, item, _ in docs}
+    assert {(r.doc_id, r.item_id) for r in leaks(spark, d, b).collect() if mine[r.doc_id] == r.item_id} == want
