@@ -9,6 +9,9 @@ often the whole corpus has them, rarest first, and three filters leave few pairs
 * length: the block has at least k distinct words;
 * position: a match at the i-th rarest word, as the first one, leaves n - i at most.
 
+Statements wrapped over lines are found as well: where as many consecutive words as the template has, and a ninth
+more, hold that share of its words, but no line of theirs does. Lines and blank lines between do not matter.
+
 Besides, verbatim phrases are counted at every place where their words stand consecutively.
 """
 
@@ -63,7 +66,10 @@ class _Templates:
     """The templates' words as numbers, in the corpus's order, and their prefixes."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], containment: Fraction, counts: dict[int, int]):
-        sets = [np.unique(_hashes(t)) for _, t in templates]
+        spelled = [_hashes(t) for _, t in templates]
+        sets = [np.unique(s) for s in spelled]
+        #: consecutive words that a statement wrapped over lines may take
+        self.width = [len(s) * containment.denominator // containment.numerator for s in spelled]
         self.labels = [name for name, _ in templates]
         vocabulary = np.unique(np.concatenate(sets)) if sets else np.zeros(0, U64)
         order = sorted(range(len(vocabulary)), key=lambda k: (counts.get(int(vocabulary[k].view(np.int64)), 0), int(vocabulary[k])))
@@ -80,6 +86,34 @@ class _Templates:
         self.prefix = np.zeros(len(vocabulary), bool)
         self.prefix[list(self.starts)] = True
 
+    def wrapped(self, doc: np.ndarray, line: np.ndarray, at: np.ndarray, token: np.ndarray, held: dict[int, dict[int, float]]) -> list[tuple[int, int, float]]:
+        """(row, template, share) of each place where a template stands across lines, none of which has it in ``held``.
+
+        ``at`` are the places of words of templates, ascending; ``token`` their numbers.
+        """
+        found: list[list] = []
+        for t, (own, need) in enumerate(zip(self.sets, self.need, strict=True)):
+            mine = np.flatnonzero(np.isin(token, own)) if need > 1 and np.isin(own[: len(own) - need + 1], token).any() else []
+            if len(mine) < need:
+                continue
+            p, row, on, word = at[mine], doc[mine], line[mine], token[mine]
+            end = np.minimum(np.searchsorted(p, p + self.width[t]), np.searchsorted(row, row, "right"))
+            last = None
+            for i in np.flatnonzero((end - np.arange(len(p)) >= need) & (on[end - 1] != on)).tolist():
+                j = int(end[i])
+                n = len(np.unique(word[i:j]))
+                if n < need or any(t in held.get(k, ()) for k in on[i:j].tolist()):
+                    continue
+                if last and last[0] == row[i] and last[3] >= p[i]:
+                    last[2:] = max(last[2], n / len(own)), int(p[j - 1]), last[4] | set(on[i:j].tolist())
+                else:
+                    last = [int(row[i]), t, n / len(own), int(p[j - 1]), set(on[i:j].tolist()), int(p[i])]
+                    found.append(last)
+        within = lambda x: any(self.within[x[1], u] for k in x[4] for u in held.get(k, ())) or any(
+            self.within[x[1], y[1]] and x[5] <= y[3] and y[5] <= x[3] for y in found
+        )
+        return [(d, t, share) for x in found if not within(x) for d, t, share in [x[:3]]]
+
 
 def vocabulary_counts(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> dict[int, int]:
     """How often the whole corpus has each word of the templates (as many numbers as those have words)."""
@@ -107,8 +141,9 @@ def scan(spark: SparkSession, docs: DataFrame, *, phrases: dict[str, str] | None
     Words are runs of digits, letters and non-ASCII characters after A-Z became a-z. n_base counts the
     places of all phrases, first_word and last_word are the smallest and largest word number where one
     starts (null without one), base_labels are their labels. labels adds those of templates found in some
-    line; n_blocks counts pairs of a line and a template found in it. score is the largest share of a
-    template's words that a line holds, if found, and 1 with a phrase; else 0. Null or empty text: no words,
+    line, or wrapped over lines; n_blocks counts pairs of a line and a template found in it, and places of wrapped
+    ones. score is the largest share of a template's words that a line or such a place holds, if found, and 1 with
+    a phrase; else 0. Null or empty text: no words,
     empty labels, score 0. Null doc_id and repeated rows: each its own row. Extra columns are not read.
     """
     small_batches(spark)
@@ -152,6 +187,7 @@ def scan(spark: SparkSession, docs: DataFrame, *, phrases: dict[str, str] | None
             # a line number that also grows from text to text
             line = lines[w.start] + w.doc
             starts = hits[known.prefix[token]]
+            line_holds: dict[int, dict[int, float]] = {}
             if len(starts):
                 own = np.unique(line[starts])
                 inside = np.isin(line[hits], own)
@@ -172,6 +208,8 @@ def scan(spark: SparkSession, docs: DataFrame, *, phrases: dict[str, str] | None
                             both = len(np.intersect1d(have, known.sets[t], assume_unique=True))
                             if both >= need:
                                 held[t] = both / size
+                    if held:
+                        line_holds[int(pairs[i, 0])] = held
                     d = int(w.doc[np.searchsorted(line, pairs[i, 0])])
                     for t, share in held.items():
                         # a statement within a longer one that was found, too, is not what the line says
@@ -179,6 +217,10 @@ def scan(spark: SparkSession, docs: DataFrame, *, phrases: dict[str, str] | None
                             more[d].add(known.labels[t])
                             score[d] = max(score[d], share)
                             found[d] += 1
+                for d, t, share in known.wrapped(w.doc[hits], line[hits], hits, token, line_holds):
+                    more[d].add(known.labels[t])
+                    score[d] = max(score[d], share)
+                    found[d] += 1
         none = first < 0
         yield pa.RecordBatch.from_arrays(
             [ids, pa.array(np.diff(w.first)), pa.array(places), pa.array(first, mask=none), pa.array(last, mask=none),

@@ -110,6 +110,26 @@ def test_filters_keep_every_pair():
         assert 0 < k <= len(s) and len(s) - k + 1 >= 1
 
 
+def test_wrapped_statements_are_found(spark):
+    rows, want = [], []
+    for k, (label, t) in enumerate(TEMPLATES):
+        w = t.split()
+        for lines in (2, 3, 4):
+            cut = [round(i * len(w) / lines) for i in range(lines + 1)]
+            parts = [" ".join(w[a:b]) for a, b in zip(cut, cut[1:])]
+            rows.append((10 * k + lines, "Some file\n\n * " + "\n * ".join(parts) + ".\n\nint main"))
+            want.append((label, 1))
+    whole = TEMPLATES[2][1]
+    rows += [(1000, f"{whole}\n{whole}"), (1001, f"of the person\n{whole}\nto any person"), (1002, "redistribution and use\n" + "x " * 40 + "\n" + TEMPLATES[9][1][23:])]
+    rows += [(1003, "licensed under\ncc by nc 4 0"), (1004, TEMPLATES[12][1].replace(" ", "\n"))]
+    want += [("mit", 2), ("mit", 1), ("", 0), ("cc-by-nc", 1), ("cc-by", 1)]
+    got = {r.doc_id: r for r in scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, text), (label, n) in zip(rows, want, strict=True):
+        r = got[i]
+        assert set(r.labels.split(",")) == {label, *r.base_labels.split(",")} - ({""} if label else set()), text
+        assert (r.n_blocks, r.score) == (n, min(n, 1)), text
+
+
 # -- decontamination --------------------------------------------------------------------------------
 
 
