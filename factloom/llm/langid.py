@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, texts_of
 
-#: Documents that the classifier is fitted on, at most about so many whatever the corpus.
+#: Documents that the classifier is fitted on, at most about so many whatever the corpus (but eight of each language).
 SAMPLE = 3_000
-#: Languages that are learned: the most frequent ones.
-LANGUAGES = 200
 BITS = 12
 FEATURES = 1 << BITS
 
@@ -144,7 +142,7 @@ def learn(docs: DataFrame, *, folds: int = 5, sample: int = SAMPLE) -> dict | No
     """Fit on text and lang of the documents outside fold 0; None where no language is to be learned."""
     small_batches(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return None
     quota = max(8, sample // len(counts))

@@ -63,6 +63,13 @@ def test_pieces_of_long_texts_count_like_the_whole(monkeypatch):
     assert np.allclose(whole, langid.features(raw), atol=1e-6)
 
 
+def test_every_language_is_learned(spark):
+    rnd = random.Random(3)
+    rows = [(6 * k + i, " ".join(f"{rnd.choice('abcdefgh')}q{k:x}z" for _ in range(5)), f"x{k}") for k in range(205) for i in range(6)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {n for m in model["members"].values() for n in m} == {f"x{k}" for k in range(205)}
+
+
 # -- licenses ---------------------------------------------------------------------------------------
 
 
