@@ -1,19 +1,94 @@
-"""Matching quality on the labelled set reaches the enforced floors."""
+"""Matching quality on a labelled set: things of a made-up organisation as several directories write them.
 
-from factloom.plans.evaluation import evaluate, labelled
+Every thing has one true name and one roster. Each directory holds a *view* of some things: the name as that
+directory's habit spells it, and a part of the roster. Two views are the same exactly if they show one thing,
+so every pair of views is labelled.
+"""
 
+import itertools
+import math
+import random
 
-def test_design():
-    cases = labelled()[3]
-    assert len(cases) == 160 and sum(s for *_, s in cases) == 96 and labelled() == labelled()
+import pytest
 
+from factloom.plans.evaluation import evaluate
 
-def test_floors(spark):
-    got = {r.grp: r for r in evaluate(spark).collect()}
-    a = got["all"]
-    precision, recall, candidate = a.proposed_true / (a.proposed_true + a.proposed_false), a.proposed_true / a.true_pairs, a.candidates_true / a.true_pairs
-    print(f"precision {precision:.3f}, recall {recall:.3f}, candidate recall {candidate:.3f}")
-    for g in sorted(got):
-        print(g, tuple(got[g])[1:])
-    assert precision >= 0.70 and recall >= 0.57 and candidate >= 0.78
-    assert got["person-same-email"].proposed_true == 15 and got["person-different"].proposed_false == got["unrelated"].proposed_false == 0
+STEMS = "harbor meadow granite willow copper falcon ember juniper quartz saffron lantern thistle cobalt marble orchid pepper raven sequoia topaz umber velvet walnut yarrow zephyr".split()
+CRAFTS = "billing freight kiosk ledgering mapping notary packing quoting rostering scanning tracking vetting".split()
+#: habit of a directory -> how it writes (stem, craft)
+HABITS = {
+    "plain": lambda s, c: f"{s} {c}",
+    "kebab": lambda s, c: f"{s}-{c}",
+    "shout": lambda s, c: f"{s}_{c}".upper(),
+    "typo": lambda s, c: f"{s} {c[:2]}{c[3]}{c[2]}{c[4:]}",
+    "swapped": lambda s, c: f"{c} {s}",
+    "short": lambda s, c: f"{s[0]}{c[0]}",
+}
+
+
+def views(seed):
+    rnd = random.Random(seed)
+    things = [(s, c) for s, c in itertools.product(STEMS, CRAFTS)]
+    rnd.shuffle(things)
+    clusters, members, emails, thing_of, habit_of = [], [], [], {}, {}
+
+    def person(k, name, mail):
+        clusters.append((k, "Person", name))
+        if mail:
+            emails.append((k, mail))
+
+    for t, (stem, craft) in enumerate(things[:60]):
+        roster = [f"m{t}-{i}" for i in range(6)]
+        for habit in rnd.sample(sorted(HABITS), 3):
+            k = f"team-{t}-{habit}"
+            clusters.append((k, "Team", HABITS[habit](stem, craft)))
+            members += [(k, m) for m in rnd.sample(roster, rnd.randint(2, 6))]
+            thing_of[k], habit_of[k] = f"team {t}", habit
+    for p in range(40):
+        given, family = rnd.choice(STEMS), f"{rnd.choice(STEMS)}{p}"
+        mail = f"{given[0]}.{family}@example.org"
+        for habit, name, own in (("full", f"{given} {family}", mail), ("initial", f"{given[0]}. {family}", mail.upper()), ("silent", f"{given} {family}", None)):
+            k = f"person-{p}-{habit}"
+            person(k, name, own)
+            thing_of[k], habit_of[k] = f"person {p}", habit
+    labels = []
+    for a, b in itertools.combinations(sorted(thing_of), 2):
+        if a[:4] == b[:4]:
+            labels.append(("-".join(sorted((habit_of[a], habit_of[b]))), a, b, thing_of[a] == thing_of[b]))
+    return clusters, members, emails, labels
+
+
+@pytest.fixture(scope="module")
+def result(spark):
+    clusters, members, emails, labels = views(20)
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (clusters, "cluster_id string, kind string, name string"), (members, "cluster_id string, member string"),
+        (emails, "cluster_id string, email string"), (labels, "grp string, a string, b string, same boolean"),
+    )]
+    return {r.grp: r for r in evaluate(*frames).collect()}, labels
+
+
+def test_every_pair_is_counted_once(result):
+    got, labels = result
+    assert got["all"].cases == len(labels) and got["all"].true_pairs == sum(x[3] for x in labels) == 60 * 3 + 40 * 3
+    for g, r in got.items():
+        assert r.proposed_true <= r.candidates_true <= r.true_pairs, g
+    assert sum(r.true_pairs for g, r in got.items() if g != "all") == got["all"].true_pairs
+
+
+def test_quality(result):
+    a = result[0]["all"]
+    precision, recall, found = a.proposed_true / (a.proposed_true + a.proposed_false), a.proposed_true / a.true_pairs, a.candidates_true / a.true_pairs
+    # a third of the views hide the name (initials, words swapped): these floors hold for this set and for no other
+    assert precision >= 0.95 and recall >= 0.40 and found >= 0.70, (precision, recall, found)
+
+
+def test_groups_show_what_names_and_rosters_carry(result):
+    got = result[0]
+    # a name that only differs in case and separators is always enough to be looked at; an address is scored, but blocks nothing
+    for g in ("kebab-plain", "kebab-shout", "plain-shout", "full-silent"):
+        assert got[g].candidates_true == got[g].true_pairs > 0, g
+    assert got["full-initial"].candidates_true == 0
+    # initials say nothing; only the roster can make such a pair a candidate, and its share stays below the threshold
+    assert got["plain-short"].proposed_true == 0 and got["plain-short"].candidates_true > 0
+    assert math.isclose(sum(r.cases for g, r in got.items() if g != "all"), got["all"].cases)
