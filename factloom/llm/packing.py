@@ -9,6 +9,7 @@ fill that length's slots in the patterns in theirs.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,37 +29,39 @@ KEEP = 300_000
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns ``(count, [(length, times), ...])`` that place every piece of the histogram.
 
-    At each length, longest first, the pieces go into the packs with the most room left (the
-    shortest packs); a pattern with more packs than pieces is split in two. Every step ends a length
-    or uses up a pattern, so there are at most twice as many patterns as lengths.
+    Longest pieces first, each goes into the shortest pack (the one with the most room), or into a new one where it
+    does not fit there. Packs with equal contents are one pattern with a count, so a step moves a whole pattern from
+    its room to the room that is left, where it takes part again; only the last step of a length splits a pattern in
+    two. New packs take a length until they are full of it, as each of them is then the shortest. So a length adds at
+    most two patterns, however many pieces it has.
     """
-    open_by_room: dict[int, list[tuple[int, list[tuple[int, int]]]]] = defaultdict(list)
-    closed: list[tuple[int, list[tuple[int, int]]]] = []
+    rooms: list[tuple[int, int]] = []  # a heap of (-room, number of the pattern)
+    patterns: list[tuple[int, list[tuple[int, int]]]] = []
 
     def put(count: int, pattern: list[tuple[int, int]], room: int) -> None:
-        (open_by_room[room] if room else closed).append((count, pattern))
+        patterns.append((count, pattern))
+        heapq.heappush(rooms, (-room, len(patterns) - 1))
 
     for length in sorted(histogram, reverse=True):
-        left, room = histogram[length], size - length
-        fits = sorted((r for r in open_by_room if r >= length and open_by_room[r]), reverse=True)
-        for r in fits:
-            # a pack takes as many pieces as fit before the next shortest packs have their turn
-            while left and open_by_room[r]:
-                count, pattern = open_by_room[r].pop()
-                used = min(count, left)
-                if count > used:
-                    open_by_room[r].append((count - used, pattern))
-                put(used, [*pattern, (length, 1)], r - length)
-                left -= used
-        while left:
-            # new packs: several pieces of a short length share one, so that few stay nearly empty
-            times = max(1, size // length)
-            count = left // times
-            if not count:
-                times, count = left, 1
-            put(count, [(length, times)], size - times * length)
-            left -= times * count
-    return closed + [x for room in sorted(open_by_room) for x in open_by_room[room]]
+        left = histogram[length]
+        while left and rooms and -rooms[0][0] >= length:
+            room, k = rooms[0]
+            count, pattern = patterns[k]
+            used = min(count, left)
+            left -= used
+            last, times = pattern[-1]
+            more = [*pattern[:-1], (length, times + 1)] if last == length else [*pattern, (length, 1)]
+            if used < count:
+                patterns[k] = (count - used, pattern)
+                put(used, more, -room - length)
+            else:
+                patterns[k] = (count, more)
+                heapq.heapreplace(rooms, (room + length, k))
+        times = size // length
+        for times, count in ((times, left // times), (left % times, 1)):
+            if times and count:
+                put(count, [(length, times)], size - times * length)
+    return patterns
 
 
 def slots_of(patterns: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:

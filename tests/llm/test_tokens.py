@@ -121,6 +121,36 @@ def test_patterns_place_every_piece_once():
                 end += n
 
 
+def one_by_one(lengths, size):
+    """Shortest-pack-first in its plain form: totals of the packs, each piece by itself, longest first."""
+    packs = []
+    for n in sorted(lengths.elements(), reverse=True):
+        shortest = min(range(len(packs)), key=packs.__getitem__, default=None)
+        if shortest is None or packs[shortest] + n > size:
+            packs.append(n)
+        else:
+            packs[shortest] += n
+    return sorted(packs)
+
+
+def totals(patterns):
+    return sorted(x for count, p in patterns for x in [sum(n * t for n, t in p)] * count)
+
+
+def test_patterns_equal_packing_one_by_one():
+    rnd = random.Random(8)
+    for k in range(300):
+        size = rnd.choice([5, 16, 100, 1024])
+        top = rnd.choice([size, max(1, size // 2), max(1, size // 9)])
+        lengths = Counter(rnd.randint(1, top) for _ in range(rnd.randint(0, 400))) + Counter({rnd.randint(1, size): rnd.randint(0, 60)})
+        assert totals(shortest_pack_first(dict(lengths), size)) == one_by_one(lengths, size), k
+
+
+@pytest.mark.parametrize(("lengths", "packs"), [({800: 1, 100: 2}, 1), ({600: 3, 200: 6}, 3), ({1: 1024}, 1), ({1024: 2, 1: 1}, 3), ({}, 0)])
+def test_rooms_that_arise_are_used_again(lengths, packs):
+    assert sum(count for count, _ in shortest_pack_first(lengths, 1024)) == packs
+
+
 def test_histogram_does_not_depend_on_the_number_of_pieces():
     few = shortest_pack_first({700: 3, 300: 5, 24: 2}, 1024)
     many = shortest_pack_first({700: 3 * 10**9, 300: 5 * 10**9, 24: 2 * 10**9}, 1024)
