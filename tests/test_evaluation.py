@@ -89,6 +89,6 @@ def test_groups_show_what_names_and_rosters_carry(result):
     for g in ("kebab-plain", "kebab-shout", "plain-shout", "full-silent"):
         assert got[g].candidates_true == got[g].true_pairs > 0, g
     assert got["full-initial"].candidates_true == 0
-    # initials say nothing; only the roster can make such a pair a candidate, and its share stays below the threshold
-    assert got["plain-short"].proposed_true == 0 and got["plain-short"].candidates_true > 0
+    # initials say little: only a roster can make such a pair a candidate, and only a large common share proposes it
+    assert 0 < got["plain-short"].proposed_true < got["plain-short"].candidates_true
     assert math.isclose(sum(r.cases for g, r in got.items() if g != "all"), got["all"].cases)
