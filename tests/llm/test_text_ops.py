@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import langid, licenses
-from factloom.llm.decontam import align, leaks
+from factloom.llm.decontam import align, leaks, without_leaks
 from factloom.llm.licenses import PHRASES, TEMPLATES, scan
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -222,3 +222,80 @@ def test_every_copy_that_reaches_the_threshold_is_found(spark):
     b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
     mine = {k: item for k, item, _ in docs}
     assert {(r.doc_id, r.item_id) for r in leaks(spark, d, b).collect() if mine[r.doc_id] == r.item_id} == want
+
+
+def found(spark, docs, items, **how):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in leaks(spark, d, b, **how).collect()}
+
+
+def test_pairs_and_scores_equal_brute_force(spark):
+    rnd = random.Random(31)
+    say = lambda n: [rnd.choice(("of the a in to and is it".split() * 3) + [f"w{k}" for k in range(25)]) for _ in range(n)]
+    items = [say(rnd.randint(1, 16)) for _ in range(40)]
+    docs = []
+    for _ in range(150):
+        own = say(rnd.randint(0, 40))
+        for _ in range(rnd.randint(0, 3)):
+            copy = [w for w in rnd.choice(items) if rnd.random() < 0.9]
+            for _ in range(rnd.randint(0, 4)):
+                copy.insert(rnd.randint(0, len(copy)), rnd.choice(["x", "of", "w3"]))
+            at = rnd.randint(0, len(own))
+            own[at:at] = copy
+        docs.append(own)
+    want = {}
+    for i, d in enumerate(docs):
+        for j, item in enumerate(items):
+            n = len(item)
+            if n < 5:
+                at = [k for k in range(len(d)) if d[k : k + n] == item]
+                if at:
+                    want[i, j] = (1.0, at[0], at[0] + n)
+            elif brute_align(item, d) >= 1.2 * n:
+                want[i, j] = (brute_align(item, d) / (2 * n), None, None)
+    got = found(spark, [" ".join(d) for d in docs], [" ".join(x) for x in items])
+    assert got.keys() == want.keys() and len(want) > 300
+    for (i, j), (score, first, end) in want.items():
+        r = got[i, j]
+        assert abs(r.score - score) < 1e-9
+        if first is None:
+            assert brute_align(items[j], docs[i][r.first_word : r.end_word]) == round(2 * len(items[j]) * score)
+        else:
+            assert (r.first_word, r.end_word) == (first, end)
+
+
+def test_halves_gaps_and_short_items(spark):
+    item = [f"i{k}" for k in range(50)]
+    half = [f"e{k}" if k % 2 else w for k, w in enumerate(item[:25])] + item[25:]
+    gap = item[:20] + ["g"] * 30 + item[20:]
+    wide = item[:25] + ["g"] * 38 + item[25:]
+    docs = [["a"] * 30 + x + ["z"] * 30 for x in (half, gap, wide)]
+    docs += [["four", "score", "and", "seven", "years"], ["four", "score", "and", "some", "years"], ["seven"]]
+    items = [item, ["four", "score", "and", "seven"], ["seven"], []]
+    got = found(spark, [" ".join(d) for d in docs], [" ".join(x) for x in items])
+    assert got.keys() == {(0, 0), (1, 0), (2, 0), (3, 1), (3, 2), (5, 2)}
+    for k in range(3):
+        assert abs(got[k, 0].score - brute_align(item, docs[k]) / 100) < 1e-9
+    assert (got[1, 0].first_word, got[1, 0].end_word) == (30, 110) and (got[3, 1].first_word, got[3, 1].end_word) == (0, 4)
+    assert found(spark, [" ".join(d) for d in docs], [" ".join(x) for x in items], least_words=3).keys() == {(0, 0), (1, 0), (2, 0), (3, 1)}
+
+
+def test_seeds_left_out_are_the_most_frequent_and_too_few_to_matter():
+    from factloom.llm.decontam import _Items
+
+    own = _Items([(1, "a b c d e f g h i j k l m n o p q r s t"), (2, "a b a b a b a b c d e f g h i j k l m n")], 0.6, 1)
+    (table,) = own.tables
+    table.leave_out(np.arange(len(table.seed)), own.need)
+    for item in (0, 1):
+        mine = table.item == item
+        seen = np.repeat(np.arange(len(table.seed)), table.count)
+        assert table.places[mine & ~table.rare].sum() < own.need[item]
+        assert seen[mine & ~table.rare].min(initial=10**9) > seen[mine & table.rare].max()
+
+
+def test_empty_and_null_benchmark(spark):
+    d = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    for rows in ([], [(1, None)], [(None, "one two three four five six")], [(1, ""), (2, " .,; ")]):
+        b = spark.createDataFrame(rows, "item_id long, text string")
+        assert leaks(spark, d, b).count() == 0 and without_leaks(spark, d, b).count() == 1
