@@ -3,15 +3,16 @@
 The Jaccard distance d = 1 - |A∩B| / |A∪B| is a metric, on whole sets and on their restrictions
 to any part of the shingle universe. The join looks for all pairs with d <= r.
 
-*Projected regions.* Pivots taken among the documents alone cannot part a corpus: most documents
-have distance 1 to every one of them, so the triangle window (distance to a foreign pivot at most
+*Projected regions: a signature join.* Pivots taken among the documents alone cannot part a corpus: most
+documents have distance 1 to every one of them, so the triangle window (distance to a foreign pivot at most
 that to the own pivot + 2r) copies nearly every document into every region. So the space is first split
 recursively: a node holds a document's shingles whose hash starts with certain bits, a node
 with more than ``leaf`` shingles splits on the next bit. With ``leaf`` = floor(1/r) - 2, a
 restriction of at most ``leaf`` shingles has no other restriction within distance r, since one shingle
-more or less already gives 1/(leaf+1) > r: each distinct leaf content is a pivot whose
-Voronoi region within the window holds only documents at distance 0 from it. A document is
-replicated into the region of each of its leaves.
+more or less already gives 1/(leaf+1) > r: each distinct leaf content would be a pivot whose
+Voronoi region within the window holds only documents at distance 0 from it. No distance is computed here: the
+hash of a leaf's content is the key of an equi-join, and a document is replicated into the region of each
+of its leaves.
 
 *Why no pair is lost.* Follow the two documents down the tree until one of them has a leaf; equal
 contents always split alike. Where the contents differ, one side has at most ``leaf`` shingles, so the
@@ -20,12 +21,17 @@ restricted similarity is at most leaf/(leaf+1). If w shingles of the union lie i
 a tenth of the union for r = 0.1, leaf = 8. Each document may leave out its smallest leaves as long as
 they hold less than half that share of its own shingles; a common leaf kept by both remains.
 
-*Joining.* In a region, pivots are taken greedily in the L1 space of count sketches (a contraction of
-the symmetric difference, so its bounds never lose a pair); members within the bound of a pivot,
-and pivots within three bounds of one another, form candidate clusters. Clusters are joined exactly:
-pivot distances first, and only pairs of different components whose distances to every pivot differ by at
-most r are compared. A cluster too large for one task is dealt out in blocks; see
-:func:`_join_clusters`.
+*Regions by pivots.* Within a region, documents are points of the L1 space of count sketches, a contraction of the
+symmetric difference. Two documents within r differ in at most r/(2-r) (|A|+|B|) shingles, the bound; so the triangle
+inequality never loses a pair. A region of a few members takes pivots greedily in one task. A hot region is dealt out
+over many tasks, each with all of the region's pivots: members within two bounds of a pivot leave the region, and
+all members within the window (those, and one bound more) are replicated to that pivot's candidate cluster. What no
+pivot holds is joined again: small remainders as any other region, hot ones by a further projection with
+other hash bits, and so on; see :func:`_candidates`.
+
+*Joining.* Candidate clusters are joined exactly: pivot distances first, and only pairs of different components whose
+distances to every pivot differ by at most r are compared. A cluster of more members, or bytes, than one task
+should hold is dealt out in blocks; see :func:`_join_clusters`.
 """
 
 from __future__ import annotations
@@ -35,15 +41,19 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, U64, Scratch, Words, binaries, mix, slices, small_batches, texts_of
 from .components import connected_components
 
 RUN_BYTES = 1 << 19
-#: Members of a cluster that one task joins; larger clusters are dealt out in blocks.
-CLUSTER = 4_000
+#: Members of a region, or of a cluster, that one task joins by itself, and bytes of a cluster's sets.
+CLUSTER, CLUSTER_BYTES = 128, 16 << 20
+#: Pivots of a hot region, how many bounds from a pivot a member leaves the region, and further projections at most.
+PIVOTS, NEAR, PROJECTIONS = 16, 2, 4
+#: Rows of one key that a task holds before it passes them on as they come.
+LONG_RUN = 1 << 16
 #: Bits of the filter that tells which documents the last step reads again (1 MB, whatever the corpus).
 FILTER_BITS = 1 << 23
 
@@ -159,7 +169,13 @@ def _explode_keys(staged: DataFrame) -> DataFrame:
 
 
 def _regions(keyed: DataFrame) -> DataFrame:
-    """(region, id) of regions with several members; regions with the same members become one."""
+    """(region, id, n) of regions with n > 1 members; regions with the same members become one.
+
+    The members of a very long run pass through as they come: it stays a region of its own, n is then a lower bound.
+    """
+
+    def rows(region: np.ndarray, own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(own), pa.array(n)], ["region", "id", "n"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +185,21 @@ def _regions(keyed: DataFrame) -> DataFrame:
             if (n > 1).any():
                 region = mix(np.add.reduceat(mix(own.view(U64) + U64(0x9E3779B97F4A7C15)), head) + n.astype(U64))
                 keep = np.repeat(n > 1, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(region, n)[keep].view(np.int64)), pa.array(own[keep])], ["region", "id"])
+                yield rows(np.repeat(region, n)[keep], own[keep], np.repeat(n, n)[keep])
 
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        long: np.int64 | None = None
         for batch in batches:
             key, own = (batch.column(k).to_numpy() for k in (0, 1))
+            if long is not None:
+                cut = int(np.searchsorted(key, long, "right"))
+                if cut:
+                    yield rows(mix(key[:cut].view(U64)), own[:cut], np.full(cut, LONG_RUN))
+                key, own = key[cut:], own[cut:]
             if not len(key):
                 continue
+            long = None
             cut = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
             if keys and (cut or keys[-1][-1] != key[-1]):
                 yield from out([*keys, key[:cut]], [*ids, own[:cut]])
@@ -185,11 +208,15 @@ def _regions(keyed: DataFrame) -> DataFrame:
                 yield from out([key[:cut]], [own[:cut]])
             keys.append(key[cut:])
             ids.append(own[cut:])
+            if sum(map(len, keys)) > LONG_RUN:
+                key, own, long = np.concatenate(keys), np.concatenate(ids), keys[-1][-1]
+                yield rows(mix(key.view(U64)), own, np.full(len(key), LONG_RUN))
+                keys, ids = [], []
         if keys:
             yield from out(keys, ids)
 
     dealt = keyed.repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(runs, "region long, id long").distinct()
+    return dealt.mapInArrow(runs, "region long, id long, n long").distinct()
 
 
 class _Union:
@@ -258,7 +285,9 @@ def candidate_links(ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes], r
     return links
 
 
-def _cluster_links(regions: DataFrame, staged: DataFrame, r: Fraction) -> DataFrame:
+def _cluster_links(regions: DataFrame, sketches: DataFrame, r: Fraction) -> DataFrame:
+    """Candidate links of regions of at most ``CLUSTER`` members, each joined in one task."""
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sizes, marks = None, [], [], []
 
@@ -278,11 +307,131 @@ def _cluster_links(regions: DataFrame, staged: DataFrame, r: Fraction) -> DataFr
         if ids:
             yield out()
 
-    rows = regions.join(staged.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id")
+    rows = regions.join(sketches, "id")
     dealt = rows.select("region", "id", "n_shingles", "sketch").repartition("region").sortWithinPartitions("region")
     return dealt.mapInArrow(join, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def bounds_from(sizes: np.ndarray, sketches: list[bytes], pivot_sizes: np.ndarray, pivots: list[bytes], r: Fraction) -> np.ndarray:
+    """(members, pivots): distances in the sketch space, in bounds of the member.
+
+    A member's bound is the most shingles in which it differs from any set within r of it. Distances to one pivot
+    are all taken at half the width of its sketch, so they obey the triangle inequality. A member whose own sketch is narrower
+    has less than half of the pivot's shingles, which is further than any window: infinite.
+    """
+    out = np.full((len(sizes), len(pivots)), np.inf)
+    bound = sizes * float(r / (2 - r) * (1 + 1 / (1 - r)))
+    widths = np.array([len(x) for x in sketches])
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        cells = np.frombuffer(b"".join(sketches[k] for k in rows), np.uint8).reshape(len(rows), width).astype(np.int32)
+        folded: dict[int, np.ndarray] = {}
+        for j, p in enumerate(pivots):
+            w = max(64, len(p) // 2)
+            if w <= width:
+                if w not in folded:
+                    folded[w] = cells.reshape(len(rows), w, -1).sum(axis=2)
+                own = np.frombuffer(p, np.uint8).astype(np.int32).reshape(w, -1).sum(axis=1)
+                out[rows, j] = np.abs(folded[w] - own).sum(axis=1) / bound[rows]
+    return out
+
+
+def _peel(rows: DataFrame, r: Fraction, cap: int) -> DataFrame:
+    """(region, id, pivot): for hot regions, every pivot in whose window a member is; and null where none holds it.
+
+    A member within ``NEAR`` bounds of some pivot has left the region. Anything within r of it is within one bound
+    more of that pivot (bounds differ by 1/(1-r) at most), so is in its window.
+    """
+    window = NEAR / float(1 - r) + 1 + 1e-9
+    hashed = F.xxhash64("region", "id", F.lit("pivot"))
+    first = Window.partitionBy("region").orderBy("hash", "id")
+    # about four times as many as are needed are ranked: no region is gathered for its pivots
+    some = rows.withColumn("hash", hashed).where(F.pmod("hash", F.lit(1 << 32)) < F.lit(4 * PIVOTS) / F.col("n") * float(1 << 32))
+    pivots = some.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS)
+    parts = F.ceil(F.col("n") / cap).cast("int")
+    columns = ["region", "part", "member", "id", "n_shingles", "sketch"]
+    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("member", F.lit(False)).select(*columns)
+    members = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("member", F.lit(True)).select(*columns)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivots, members = None, [], []
+
+        def out() -> pa.RecordBatch:
+            ids, sizes, sketches = zip(*members, strict=True)
+            ids, region = np.array(ids), now[0]
+            p_ids, p_sizes, p_sketches = zip(*pivots, strict=True) if pivots else ((), (), ())
+            d = bounds_from(np.array(sizes), list(sketches), np.array(p_sizes), list(p_sketches), r)
+            left = (d <= NEAR).any(axis=1)
+            held, pivot = np.nonzero(d <= window)
+            rest = ids[~left]
+            members.clear()
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(held) + len(rest), region)), pa.array(np.append(ids[held], rest)),
+                pa.array([*np.array(p_ids, np.int64)[pivot].tolist(), *[None] * len(rest)], pa.int64()),
+            ], ["region", "id", "pivot"])
+
+        for batch in batches:
+            for region, part, member, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (region, part) != now or len(members) >= 512:
+                    if members:
+                        yield out()
+                    if (region, part) != now:
+                        now, pivots = (region, part), []
+                (members if member else pivots).append(row)
+        if members:
+            yield out()
+
+    dealt = pivots.unionByName(members).repartition("region", "part").sortWithinPartitions("region", "part", "member", "id")
+    return dealt.mapInArrow(near, "region long, id long, pivot long")
+
+
+def _project(rest: DataFrame, docs: DataFrame, words: int, leaf: int, spare: Fraction, level: int) -> DataFrame:
+    """Regions within the hot regions of ``rest(region, id)``, by leaves of a tree over other hash bits."""
+    seed = mix(np.array([level], U64))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [np.sort(mix(np.frombuffer(x.as_py(), U64) ^ seed)) for x in part.column(2)]
+                key, first = leaf_keys(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), leaf, spare)
+                n = np.diff(first)
+                region = mix(key ^ np.repeat(part.column(0).to_numpy(), n).view(U64))
+                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(np.repeat(part.column(1).to_numpy(), n))], ["key", "id"])
+
+    sets = _sets_again(docs, rest.select("id"), words)
+    return _regions(rest.select("region", "id").join(sets, "id").select("region", "id", "hashes").mapInArrow(keys, "key long, id long"))
+
+
+def _candidates(regions: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, leaf: int, spare: Fraction, r: Fraction, scratch: Scratch, cap: int) -> DataFrame:
+    """(a, b): links that put all members of a region within r of one another into one cluster.
+
+    Regions of more than ``cap`` members are parted by pivots (:func:`_peel`); what no pivot holds, if it is still more than
+    ``cap``, by the next projection. After ``PROJECTIONS`` of them a remainder becomes one cluster, which the exact join deals out.
+    """
+    small, hot, links = regions.where(F.col("n") <= cap), regions.where(F.col("n") > cap), []
+    for level in range(PROJECTIONS + 1):
+        if hot.isEmpty():
+            break
+        peeled = scratch.write(_peel(hot.join(sketches, "id"), r, cap), f"peeled-{level}")
+        links.append(peeled.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        rest = peeled.where("pivot IS NULL").select("region", "id").distinct()
+        rest = scratch.write(rest.join(rest.groupBy("region").agg(F.count("*").alias("n")), "region").where("n > 1"), f"rest-{level}")
+        small = small.unionByName(rest.where(F.col("n") <= cap).select(*small.columns))
+        rest = rest.where(F.col("n") > cap)
+        if rest.isEmpty():
+            break
+        if level == PROJECTIONS:
+            links.append(rest.join(rest.groupBy("region").agg(F.min("id").alias("a")), "region").select("a", F.col("id").alias("b")))
+            break
+        now = scratch.write(_project(rest, docs, words, leaf, spare, level + 1), f"regions-{level + 1}")
+        small, hot = small.unionByName(now.where(F.col("n") <= cap)), now.where(F.col("n") > cap)
+    out = _cluster_links(small.select("region", "id"), sketches, r)
+    for more in links:
+        out = out.unionByName(more.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return out
+
+
 # -- clusters -------------------------------------------------------------------------------------
 
 
@@ -402,19 +551,22 @@ def _block_links(rows: DataFrame, r: Fraction) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def _join_clusters(members: DataFrame, sets: DataFrame, r: Fraction, scratch: Scratch, cluster: int) -> DataFrame:
-    """Exact links of every cluster of ``members(id, component)``.
+def _join_clusters(members: DataFrame, weights: DataFrame, sets: DataFrame, r: Fraction, scratch: Scratch, cluster: int) -> DataFrame:
+    """Exact links of every cluster of ``members(id, component)``; ``weights(id, bytes)`` are the sizes of their sets.
 
-    First round: a cluster of g members is dealt by hash into ceil(g / cluster) blocks, each of
-    which is joined in one task, together with the cluster's first eight members as pivots. For
+    First round: a cluster of more than ``cluster`` members or ``CLUSTER_BYTES`` is dealt by hash into blocks,
+    each of which is joined in one task, together with three of the cluster's members as pivots. For
     clusters of one block that is all. Second round, for the others: pairs within the cluster's largest
     component need no comparison, so only its strays are replicated against every block.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("g"))
-    blocks = members.join(sizes, "component").withColumn("k", F.ceil(F.col("g") / cluster).cast("int"))
-    blocks = scratch.write(blocks, "blocks")
-    home = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    once = blocks.select("id", "component", "k", home.alias("home"))
+
+    def blocks_for(n: str, bytes_: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / cluster), F.ceil(F.col(bytes_) / CLUSTER_BYTES)).cast("int")
+
+    weighed = members.join(weights, "id")
+    sizes = weighed.groupBy("component").agg(F.count("*").alias("g"), F.sum("bytes").alias("bytes")).select("component", blocks_for("g", "bytes").alias("k"))
+    once = weighed.join(sizes, "component").withColumn("home", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    once = scratch.write(once, "blocks")
     big = once.where("k > 1")
     key = lambda *c: F.xxhash64("component", *c)
     pivots = big.groupBy("component", "k").agg(F.min_by("id", F.xxhash64("id")).alias("p0"), F.min("id").alias("p1"), F.max("id").alias("p2"))
@@ -426,10 +578,11 @@ def _join_clusters(members: DataFrame, sets: DataFrame, r: Fraction, scratch: Sc
         return links
     labels = connected_components(links, scratch, name="blocks-cc")
     own = big.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    counts = own.groupBy("component", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("g"), F.max("n").alias("most"))
-    own = own.join(main, "component").withColumn("s", F.ceil((F.col("g") - F.col("most")) / cluster).cast("int")).where("s > 0")
-    # pair of a stray block and any block: a task holds at most about 2 * cluster sets
+    counts = own.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = counts.groupBy("component").agg(F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("g"), F.sum("bytes").alias("bytes"))
+    main = main.select("component", F.col("main.label").alias("main"), (F.col("g") - F.col("main.n")).alias("strays"), (F.col("bytes") - F.col("main.bytes")).alias("stray_bytes"))
+    own = own.join(main.select("component", "main", blocks_for("strays", "stray_bytes").alias("s")), "component").where("s > 0")
+    # pair of a block of strays and any block: a task holds at most about twice what one block does
     stray = own.where("label <> main").select(
         "id", "component", F.pmod(F.xxhash64("id", F.lit(1)), F.col("s")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
     every = own.select("id", "component", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i"), F.col("home").alias("j"))
@@ -453,8 +606,8 @@ def jaccard_components(
     """
     r = 1 - similarity
     leaf = int(1 / r) - 2
-    if leaf < 1:
-        raise ValueError("similarity must be above 2/3")
+    if leaf < 1 or similarity < Fraction(4, 5):
+        raise ValueError("similarity must be at least 4/5")
     spare = (1 - r * (leaf + 1)) / 2
     scratch = Scratch(small_batches(spark), "jaccard")
     staged = scratch.write(_stage(docs, words, leaf, spare), "staged")
@@ -463,10 +616,12 @@ def jaccard_components(
     classes = scratch.write(classes, "classes")
     first = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     regions = scratch.write(_regions(_explode_keys(first)), "regions")
-    links = scratch.write(_cluster_links(regions, first, r), "candidates")
+    sketches = first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch")
+    links = scratch.write(_candidates(regions, sketches, docs, words, leaf, spare, r, scratch, cluster), "candidates")
     members = scratch.write(connected_components(links, scratch, name="clusters"), "members")
     sets = _sets_again(docs, members.select("id"), words).join(members.select("id"), "id", "left_semi")
-    exact = _join_clusters(members, scratch.write(sets, "sets"), r, scratch, cluster)
+    weights = first.groupBy(F.col("doc_id").alias("id")).agg((8 * F.sum("n_shingles")).alias("bytes"))
+    exact = _join_clusters(members, weights, scratch.write(sets, "sets"), r, scratch, cluster)
     # a doc_id that repeats with other texts ties their classes together
     same = ["n_shingles", "mark_a", "mark_b"]
     named = some.select("doc_id", *same).distinct()

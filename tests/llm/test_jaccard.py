@@ -8,18 +8,18 @@ import numpy as np
 import pytest
 
 from factloom.llm.common import NOT_SPACE, Words, texts_of
-from factloom.llm.jaccard_join import candidate_links, exact_links, jaccard_components, leaf_keys, shingle_sets, sketch
+from factloom.llm.jaccard_join import NEAR, bounds_from, candidate_links, exact_links, jaccard_components, leaf_keys, shingle_sets, sketch
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, n=3):
     w = re.findall(r"[^ \t-\r]+", (text or "").translate(LOWER))
-    return set(zip(w, w[1:], w[2:])) if len(w) >= 3 else ({tuple(w)} if w else set())
+    return set(zip(*(w[k:] for k in range(n)))) if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+def brute(rows, n=3, percent=90):
+    sets = [(i, shingles(t, n)) for i, t in rows if i is not None]
     up = {i: i for i, _ in sets}
 
     def root(x):
@@ -29,10 +29,10 @@ def brute(rows):
 
     for k, (a, x) in enumerate(sets):
         for b, y in sets[k + 1 :]:
-            if x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = root(a), root(b)
                 up[max(p, q)] = min(p, q)
-    return sorted((i if i is not None else -1, len(shingles(t)), root(i) if i is not None else -1) for i, t in rows)
+    return sorted((i if i is not None else -1, len(shingles(t, n)), root(i) if i is not None else -1) for i, t in rows)
 
 
 def corpus(seed, groups=12):
@@ -140,3 +140,76 @@ def test_word_bytes_follow_the_contract():
     w = Words(raw, offsets, NOT_SPACE)
     got = [[bytes(raw[a:b]).decode() for a, b in zip(w.start[i:j], w.end[i:j])] for i, j in zip(w.first[:-1], w.first[1:])]
     assert got == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+
+
+def components(spark, rows, **how):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard_components(spark, df, **how).collect()
+    return sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got)
+
+
+def shared_footer(seed, n):
+    """Short documents that all end alike, some near copies among them, and one large ball of copies of copies."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randrange(5_000)}"
+    footer = " ".join(f"foot{k}" for k in range(30))
+    rows, bodies = [], []
+    for i in range(n):
+        if bodies and rnd.random() < 0.3:
+            body = list(rnd.choice(bodies))
+            body[rnd.randrange(len(body))] = word()
+        else:
+            body = [word() for _ in range(rnd.choice([3, 10, 40, 60]))]
+        bodies.append(body)
+        rows.append((i, " ".join(body) + " " + footer))
+    ball = [word() for _ in range(150)]
+    for i in range(n // 2):
+        x = list(ball)
+        for _ in range(rnd.randint(0, 5)):
+            x[rnd.randrange(len(x))] = word()
+        rows.append((10_000 + i, " ".join(x)))
+    return rows
+
+
+@pytest.mark.parametrize(("cluster", "words", "percent"), [(8, 3, 90), (8, 5, 80), (128, 5, 80)])
+def test_a_footer_that_all_share(spark, monkeypatch, cluster, words, percent):
+    from factloom.llm import jaccard_join
+
+    rows = shared_footer(4, 400)
+    monkeypatch.setattr(jaccard_join, "PROJECTIONS", 1)  # so that the last way out is taken, too
+    assert components(spark, rows, cluster=cluster, words=words, similarity=Fraction(percent, 100)) == brute(rows, words, percent)
+
+
+def test_five_words_and_four_fifths(spark):
+    rows = corpus(3) + [e for e in EDGES if e[0] != 2007]
+    assert components(spark, rows, words=5, similarity=Fraction(4, 5)) == brute(rows, 5, 80)
+
+
+def test_long_runs_of_one_key_pass_through(spark, monkeypatch):
+    from factloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "LONG_RUN", 20)
+    monkeypatch.setattr(jaccard_join, "CLUSTER_BYTES", 4_000)
+    rows = shared_footer(5, 150)
+    assert components(spark, rows, cluster=10) == brute(rows)
+
+
+@pytest.mark.parametrize("similarity", [Fraction(9, 10), Fraction(4, 5)])
+def test_windows_hold_whatever_is_near_a_member_that_left(similarity):
+    rng, r = np.random.default_rng(3), 1 - similarity
+    for n in (3, 20, 63, 64, 120, 127, 128, 129, 300, 1_000, 2_100):
+        for _ in range(20):
+            p = rng.integers(0, 2**64, n, np.uint64, endpoint=False)
+            x = np.append(rng.permutation(p)[int(rng.integers(0, n // 2 + 1)) :], rng.integers(0, 2**64, int(rng.integers(0, n // 2 + 1)), np.uint64))
+            out = int(rng.integers(0, int(len(x) * r) + 1))
+            y = rng.permutation(x)[out:]
+            new = max(0, int(len(y) / similarity - len(x)))
+            y = np.append(y, rng.integers(0, 2**64, int(rng.integers(0, new + 1)), np.uint64))
+            p, x, y = map(np.unique, (p, x, y))
+            if len(np.intersect1d(x, y)) < similarity * len(np.union1d(x, y)):
+                continue
+            d = bounds_from(np.array([len(x), len(y)]), [sketch(x), sketch(y)], np.array([n]), [sketch(p)], r)[:, 0]
+            if d[0] <= NEAR:
+                assert d[1] <= NEAR / float(1 - r) + 1 + 1e-9
+            if d[1] <= NEAR:
+                assert d[0] <= NEAR / float(1 - r) + 1 + 1e-9
