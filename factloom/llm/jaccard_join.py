@@ -630,3 +630,32 @@ def jaccard_components(
     nodes = connected_components(exact.unionByName(tied), scratch, name="nodes")
     rows = staged.select("doc_id", *same).join(classes, same, "left").join(nodes.withColumnRenamed("id", "rep"), "rep", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, *, words: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one stays for each group of near copies.
+
+    Groups are the components of :func:`jaccard_components`; of each the text with the smallest doc_id stays. Rows that
+    repeat doc_id and text count once. Texts that share a doc_id but differ are judged each by itself: all but one of them
+    take part under a 64-bit hash instead of the id, so an unlinked one stays, with its doc_id. Rows without doc_id take no
+    part and stay. Empty table: no rows.
+    """
+    scratch = Scratch(small_batches(spark), "copies")
+    text = F.coalesce("text", F.lit(""))
+    mark = F.struct(F.xxhash64(text).alias("x"), F.hash(F.reverse(text)).alias("y"), F.length(text).alias("z"))
+    named = docs.where("doc_id IS NOT NULL")
+    again = named.select("doc_id", mark.alias("mark")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("mark").alias("least"))
+    again = scratch.write(again.where("n > 1").select("doc_id", "least"), "again")
+    if again.isEmpty():
+        found = jaccard_components(spark, named, words=words, similarity=similarity)
+        kept = named.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    else:
+        several = named.withColumn("mark", mark).join(again, "doc_id").dropDuplicates(["doc_id", "mark"])
+        node = F.when(F.col("mark") == F.col("least"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "mark", F.lit("node")))
+        nodes = named.join(again, "doc_id", "left_anti").withColumn("node", F.col("doc_id"))
+        nodes = nodes.unionByName(several.withColumn("node", node).select(*nodes.columns))
+        found = jaccard_components(spark, nodes.select(F.col("node").alias("doc_id"), "text"), words=words, similarity=similarity)
+        found = found.select(F.col("doc_id").alias("node"), "component_id").distinct()
+        first = found.join(nodes.select("node", "doc_id"), "node").groupBy("component_id").agg(F.min_by("node", F.struct("doc_id", "node")).alias("node"))
+        kept = nodes.join(first.select("node"), "node", "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
