@@ -6,17 +6,23 @@ predecessor kept, and returns what it keeps. All but the last return the columns
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.common import Scratch
 from factloom.llm.decontam import without_leaks
-from factloom.llm.jaccard_join import jaccard_components
+from factloom.llm.jaccard_join import without_copies
 from factloom.llm.langid import in_some_language
 from factloom.llm.packing import pack
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Predictions below this share are rejected; on held-out documents none of the right ones are.
 LEAST_SCORE = 0.4
+#: What links near copies.
+SHINGLE_WORDS, SIMILARITY = 5, Fraction(4, 5)
+#: Items of one or two words stand in clean text by chance; op10 reports them, the filter does not go by them.
+LEAST_ITEM_WORDS = 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,18 +31,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join the document with the smallest doc_id stays.
+    """Of each component of the n-gram Jaccard join (five words, similarity of 0.8 or more) the text with the smallest doc_id stays.
 
-    Of rows that repeat a doc_id one stays. Rows without doc_id take no part in links and stay.
+    Rows that repeat doc_id and text count once; other texts of a doc_id are judged by themselves. Rows without
+    doc_id take no part in links and stay.
     """
-    first = jaccard_components(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    return without_copies(spark, docs.select(*COLUMNS), words=SHINGLE_WORDS, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, exactly or edited, go."""
-    return without_leaks(spark, docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold a benchmark item of at least ``LEAST_ITEM_WORDS`` words, exactly or edited, go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without_leaks(spark, docs.select(*COLUMNS), items, least_words=LEAST_ITEM_WORDS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
