@@ -76,26 +76,32 @@ def encode_file(ids: np.ndarray, lengths: np.ndarray, *, bits: bool = False, blo
     return b"".join([head, *chunks, np.array(sizes, "<u4").tobytes(), np.asarray(lengths, "<u8").tobytes(), *body])
 
 
-def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, lengths) of :func:`encode_file`; raises ValueError where a chunk does not match its crc32."""
+def read_range(data: bytes, first: int, last: int) -> np.ndarray:
+    """The ids ``first`` to ``last`` (exclusive) of a file: the chunk index says which frames hold them; only those are unpacked.
+
+    Raises ValueError where a chunk that is read does not match its crc32, and IndexError outside the file.
+    """
     import zstandard
 
-    magic, version, width, _, n_ids, n_chunks, n_docs = _HEAD.unpack_from(data)
+    magic, version, width, block_ids, n_ids, n_chunks, n_docs = _HEAD.unpack_from(data)
     if magic != _MAGIC or version != 1:
         raise ValueError("not a file of token planes")
+    if not 0 <= first <= last <= n_ids:
+        raise IndexError(f"ids {first} to {last} of {n_ids}")
+    if first == last:
+        return np.empty(0, "<u4")
     unpack, bits = zstandard.ZstdDecompressor().decompress, width == 1
-    chunks = [_CHUNK.unpack_from(data, _HEAD.size + k * _CHUNK.size) for k in range(n_chunks)]
-    at = _HEAD.size + n_chunks * _CHUNK.size
-    n_frames = sum(c[4] for c in chunks)
-    sizes = np.frombuffer(data, "<u4", n_frames, at)
-    at += 4 * n_frames
-    lengths = np.frombuffer(data, "<u8", n_docs, at)
-    at += 8 * n_docs
-    ids, k = np.empty(n_ids, "<u4"), 0
-    done = 0
-    for n, mask, crc, first, frames in chunks:
+    low, high = first // block_ids, -(-last // block_ids)
+    # the index alone is read up to the chunks that are wanted: how many frames lie before them
+    chunks = [_CHUNK.unpack_from(data, _HEAD.size + k * _CHUNK.size) for k in range(high)]
+    frames = _HEAD.size + n_chunks * _CHUNK.size
+    n_frames = sum(_CHUNK.unpack_from(data, _HEAD.size + k * _CHUNK.size)[4] for k in range(n_chunks))
+    sizes = np.frombuffer(data, "<u4", n_frames, frames)
+    body = frames + 4 * n_frames + 8 * n_docs
+    k, out = sum(c[4] for c in chunks[:low]), []
+    for n, mask, crc, at, _ in chunks[low:]:
         planes = np.zeros((32, (n + 7) // 8) if bits else (4, n), np.uint8)
-        where = at + first
+        where = body + at
         for p in (p for p in range(32) if mask >> p & 1):
             planes[p] = np.frombuffer(unpack(data[where : where + int(sizes[k])]), np.uint8)
             where += int(sizes[k])
@@ -103,9 +109,16 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         block = _unplanes(planes, n, bits)
         if zlib.crc32(block.tobytes()) != crc:
             raise ValueError("a chunk is damaged")
-        ids[done : done + n] = block
-        done += n
-    return ids, lengths
+        out.append(block)
+    return np.concatenate(out)[first - low * block_ids : last - low * block_ids]
+
+
+def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, lengths) of :func:`encode_file`; raises ValueError where a chunk does not match its crc32."""
+    magic, _, _, _, n_ids, n_chunks, n_docs = _HEAD.unpack_from(data)
+    ids = read_range(data, 0, n_ids if magic == _MAGIC else 0)
+    frames = sum(_CHUNK.unpack_from(data, _HEAD.size + k * _CHUNK.size)[4] for k in range(n_chunks))
+    return ids, np.frombuffer(data, "<u8", n_docs, _HEAD.size + n_chunks * _CHUNK.size + 4 * frames)
 
 
 def write_ids(docs: DataFrame, scratch: Scratch, *, vocabulary: str, end_id: int, bits: bool = False, file_ids: int = FILE_IDS) -> DataFrame:
