@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..plans.written import Written as Scratch  # noqa: F401  written intermediates
 
@@ -30,6 +31,22 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def hashed_sample(rows: DataFrame, content: list[str], most: int | Column, *, total: int | Column, label: str, within: list[str] = ()) -> DataFrame:
+    """At most ``most`` of ``rows`` (of each group of ``within``), chosen by a hash of ``content``; ``total`` is about how many contents there are.
+
+    The hash is used at full width, so no share is too small for it; rows with equal content count once; and
+    the smallest hashes are taken in the end, so the bound holds whatever the rows are.
+    """
+    h = F.xxhash64(*[F.col(c) for c in content], F.lit(label))
+    wanted = 1.3 * F.lit(most).cast("double") / F.greatest(F.lit(total).cast("double"), F.lit(1.0))
+    # a share of the hash's range, a third more than is wanted and never less than eight rows' worth
+    wanted = F.greatest(wanted, 8.0 / F.greatest(F.lit(total).cast("double"), F.lit(1.0)))
+    some = rows.withColumn("sample_hash", h).where((F.col("sample_hash").cast("double") / 2.0**64 + 0.5) < wanted)
+    some = some.dropDuplicates([*within, "sample_hash"])
+    first = Window.partitionBy(*(within or [F.lit(0)])).orderBy("sample_hash")
+    return some.withColumn("sample_nth", F.row_number().over(first)).where(F.col("sample_nth") <= most).drop("sample_nth", "sample_hash")
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, without a copy of the bytes; null counts as empty."""
     if column.null_count:

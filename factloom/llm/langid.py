@@ -4,7 +4,7 @@ vector machines between the languages of that family.
 Features are counts of letter 1-, 2- and 3-grams of the whole text (UTF-8 bytes, A-Z lower-cased,
 everything that is no letter is one separator), hashed into ``FEATURES`` cells, square-rooted and scaled
 to unit length. The machines are fitted on the driver on a bounded sample (``SAMPLE`` documents in all,
-the same share for each language, chosen by a hash of doc_id); prediction is one pass without a
+the same share for each language, chosen by a hash of doc_id and text); prediction is one pass without a
 shuffle.
 """
 
@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import hashed_sample, small_batches, texts_of
 
-#: Documents that the classifier is fitted on, at most about so many whatever the corpus (but eight of each language).
+#: Documents that the classifier is fitted on, at most so many whatever the corpus (but eight of each language).
 SAMPLE = 3_000
 BITS = 12
 FEATURES = 1 << BITS
@@ -142,12 +142,14 @@ def learn(docs: DataFrame, *, folds: int = 5, sample: int = SAMPLE) -> dict | No
     """Fit on text and lang of the documents outside fold 0; None where no language is to be learned."""
     small_batches(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    # different texts, so one that repeats without end does not hide the others
+    texts = F.approx_count_distinct(F.xxhash64("doc_id", "text"))
+    counts = known.groupBy("lang").agg(texts.alias("n")).orderBy("lang").collect()
     if not counts:
         return None
     quota = max(8, sample // len(counts))
-    bound = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(int(min(1.0, 1.2 * quota / r.n) * 1_000_000)))])
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) < bound[F.col("lang")])
+    sizes = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(r.n))])
+    some = hashed_sample(known.select("doc_id", "lang", "text"), ["doc_id", "text"], quota, total=sizes[F.col("lang")], label="language sample", within=["lang"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
