@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, hashed_sample, small_batches
 
-#: Vectors that the codebooks are fitted on, at most about so many whatever the table.
+#: Vectors that the codebooks are fitted on, at most so many whatever the table.
 SAMPLE = 8_192
 CODEBOOKS, WORDS, BEAM = 24, 256, 4
 #: Codes that one lookup pass scores, queries that the driver holds at a time.
@@ -66,59 +66,60 @@ def encode(x: np.ndarray, books: np.ndarray, *, beam: int = BEAM) -> tuple[np.nd
     return codes[np.arange(n), pick], x - rest[np.arange(n), pick]
 
 
-def _clean(vectors: DataFrame, dimension: int) -> DataFrame:
-    """(vec_id, mark, vector, norm) of the usable rows; equal vectors have equal marks."""
+def _clean(vectors: DataFrame, dimension: int, kind: str) -> DataFrame:
+    """(vec_id, mark, vector) of the usable rows of one length, components as ``kind`` has them; equal vectors have equal marks."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks, raws = [], [], []
             col = batch.column(1)
             flat = col.flatten()
-            values = np.asarray(flat.to_numpy(zero_copy_only=False), np.float32)
-            x = values.reshape(-1, dimension) + np.float32(0)  # -0 becomes 0
-            norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
+            values = np.asarray(flat.to_numpy(zero_copy_only=False), kind)
+            x = values.reshape(-1, dimension) + values.dtype.type(0)  # -0 becomes 0
+            usable = np.isfinite(x).all(axis=1) & x.any(axis=1)
             for i, k in enumerate(batch.column(0).to_pylist()):
-                if np.isfinite(x[i]).all() and norm[i] > 0:
+                if usable[i]:
                     raw = x[i].tobytes()
                     ids.append(k), raws.append(raw), marks.append(hashlib.blake2b(raw, digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(raws, pa.binary())], ["vec_id", "mark", "vector"])
 
     v = F.col("embedding")
     usable = vectors.where(F.col("vec_id").isNotNull() & (F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)))
-    return usable.select("vec_id", v.cast("array<float>").alias("embedding")).mapInArrow(clean, "vec_id long, mark binary, vector binary")
+    return usable.select("vec_id", "embedding").mapInArrow(clean, "vec_id long, mark binary, vector binary")
 
 
-def _directions(raw: list[bytes], dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dimension)
-    wide = x.astype(np.float64)
-    norm = np.sqrt((wide**2).sum(1))
-    return x, (wide / norm[:, None]).astype(np.float32), norm
+def _directions(raw: list[bytes], dimension: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, norms)."""
+    wide = np.frombuffer(b"".join(raw), kind).reshape(-1, dimension).astype(np.float64)
+    # by the largest component first, so that squares neither overflow nor vanish
+    most = np.abs(wide).max(axis=1)
+    norm = most * np.sqrt(((wide / most[:, None]) ** 2).sum(1))
+    return (wide / norm[:, None]).astype(np.float32), norm
 
 
-def build_index(vectors: DataFrame, scratch: Scratch, *, dimension: int, top: int, sample: int = SAMPLE, codebooks: int = CODEBOOKS) -> tuple[DataFrame, np.ndarray]:
+def build_index(vectors: DataFrame, scratch: Scratch, *, dimension: int, kind: str, top: int, sample: int = SAMPLE, codebooks: int = CODEBOOKS) -> tuple[DataFrame, np.ndarray]:
     """The written index (members, vector, codes, norm), one row per distinct vector, and its codebooks.
 
     Equal vectors share one row with their ``top + 1`` smallest ids: no more can be among the nearest
     ``top`` of any query, as ties go to the smaller id.
     """
     first = Window.partitionBy("mark").orderBy("vec_id")
-    clean = scratch.write(_clean(vectors, dimension), "clean")
+    clean = scratch.write(_clean(vectors, dimension, kind), "clean")
     least = clean.dropDuplicates(["mark", "vec_id"]).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= top + 1)
     classes = least.groupBy("mark").agg(F.array_sort(F.collect_list("vec_id")).alias("members"), F.first("vector").alias("vector"))
     classes = scratch.write(classes, "classes")
     n = classes.count()
-    share = min(1.0, 1.1 * sample / max(1, n))
-    some = classes.where(F.pmod(F.xxhash64("mark"), F.lit(1_000_000)) < int(share * 1_000_000)).select("mark", "vector").toArrow()
+    some = hashed_sample(classes.select("mark", "vector"), ["mark"], sample, total=n, label="codebooks").toArrow()
     rows = sorted(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True))
     if not rows:
         return classes.select("members", "vector", F.lit(b"").alias("codes"), F.lit(1.0).alias("norm")), np.zeros((0, 0, dimension), np.float32)
-    books = fit_codebooks(_directions([r[1] for r in rows], dimension)[1], codebooks=codebooks)
+    books = fit_codebooks(_directions([r[1] for r in rows], dimension, kind)[0], codebooks=codebooks)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2_048):
                 part = batch.slice(a, 2_048)
-                _, x, norm = _directions(part.column(1).to_pylist(), dimension)
+                x, norm = _directions(part.column(1).to_pylist(), dimension, kind)
                 codes, decoded = encode(x, books)
                 size = np.linalg.norm(decoded.astype(np.float64), axis=1)
                 stored = norm / np.where(size > 0, size, 1)
@@ -130,9 +131,8 @@ def build_index(vectors: DataFrame, scratch: Scratch, *, dimension: int, top: in
 
 def _search(index: DataFrame, books: np.ndarray, ids: np.ndarray, queries: np.ndarray, *, total: int, top: int, rerank: int) -> DataFrame:
     """(query_id, found): per task and query its ``top`` nearest, as packed ids and scores."""
-    dimension = queries.shape[1]
-    wide = queries.astype(np.float64)
-    unit = (wide / np.sqrt((wide**2).sum(1))[:, None]).astype(np.float32)
+    dimension, kind = queries.shape[1], queries.dtype.str
+    unit = _directions([queries.tobytes()], dimension, kind)[0]
     held = index.sparkSession.sparkContext.broadcast((books, ids, queries, unit))  # QUERY_BLOCK queries at most
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def _search(index: DataFrame, books: np.ndarray, ids: np.ndarray, queries: np.nd
         best = np.full((len(ids), top), -np.inf)
 
         def block(members: list[list[int]], raw: list[bytes], codes: list[bytes], norm: np.ndarray) -> None:
-            x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dimension).astype(np.float64)
+            x = np.frombuffer(b"".join(raw), kind).reshape(-1, dimension).astype(np.float64)
             c = np.frombuffer(b"".join(codes), np.uint8).reshape(len(x), -1)
             expect = max(rerank, RERANK_SHARE * total) * len(x) / max(1, total)
             keep = min(len(x), int(expect + 6 * expect**0.5) + 24)
@@ -213,38 +213,40 @@ def nearest(spark: SparkSession, vectors: DataFrame, *, every: int = 20, top: in
 
     Queries are the rows of ``vectors(vec_id, embedding)`` whose vec_id is divisible by ``every``,
     taken in blocks against all rows but those of their own vec_id; ties go to the smaller vec_id.
-    Vectors that are null, zero, hold null or non-finite components, have no vec_id, or another length
-    than most vectors take no part. Rows that repeat vec_id and vector count once; where one vec_id has
+    Vectors that are null, empty, zero, hold null or non-finite components, or have no vec_id take no part. Float components stay
+    float, all others are doubles; scores are sums of doubles. Vectors of several lengths have an index for each length, as there is no product
+    between lengths. Rows that repeat vec_id and vector count once; where one vec_id has
     several vectors, each is a candidate, and the query is the one whose bytes are smallest. No usable vector:
     no rows. Extra columns are not read.
     """
-    schema = "query_id long, rank int, vec_id long, score double"
-    scratch = Scratch(small_batches(spark), "nearest")
-    sizes = vectors.where("embedding IS NOT NULL AND size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dimension = sizes[0].d
-    index, books = build_index(vectors, scratch, dimension=dimension, top=top, sample=sample, codebooks=codebooks)
+    small_batches(spark)
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if element == "float" else "array<double>").alias("embedding"))
+    is_query = (F.col("vec_id") % every == 0).cast("int")
+    lengths = rows.where("vec_id IS NOT NULL AND size(embedding) > 0").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.sum(is_query).alias("q"))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in sorted(r.d for r in lengths.where("q > 0 AND n > 1").collect()):
+        for part in _nearest(spark, rows, d, "<f4" if element == "float" else "<f8", every=every, top=top, sample=sample, codebooks=codebooks, rerank=rerank):
+            out = out.unionByName(part)
+    return out
+
+
+def _nearest(spark: SparkSession, vectors: DataFrame, dimension: int, kind: str, *, every: int, top: int, sample: int, codebooks: int, rerank: int) -> Iterator[DataFrame]:
+    """The results of one length, a table for each block of queries."""
+    scratch = Scratch(spark, "nearest")
+    index, books = build_index(vectors, scratch, dimension=dimension, kind=kind, top=top, sample=sample, codebooks=codebooks)
     if not len(books):
-        return spark.createDataFrame([], schema)
+        return
     clean = spark.read.parquet(f"{scratch.root}/clean")
     asked = clean.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = scratch.write(asked.repartitionByRange(F.col("vec_id")).sortWithinPartitions("vec_id"), "queries")
     total, n = index.count(), asked.count()
-    # bounds of blocks by quantiles of the ids: one block of queries at a time is on the driver
-    cuts = sorted(set(asked.approxQuantile("vec_id", [k / -(-n // QUERY_BLOCK) for k in range(1, -(-n // QUERY_BLOCK))], 0.001))) if n > QUERY_BLOCK else []
-    parts = None
-    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
-        block = asked
-        if low is not None:
-            block = block.where(F.col("vec_id") > int(low))
-        if high is not None:
-            block = block.where(F.col("vec_id") <= int(high))
+    blocks = -(-n // QUERY_BLOCK)
+    for k in range(blocks):  # one block of queries at a time is on the driver
+        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k) if blocks > 1 else asked
         got = block.toArrow()
         if not got.num_rows:
             continue
         ids = got.column(0).to_numpy()
-        queries = np.frombuffer(b"".join(got.column(1).to_pylist()), np.float32).reshape(-1, dimension)
-        part = scratch.write(_merge(_search(index, books, ids, queries, total=total, top=top, rerank=rerank), top), f"found-{k}")
-        parts = part if parts is None else parts.unionByName(part)
-    return spark.createDataFrame([], schema) if parts is None else parts
+        queries = np.frombuffer(b"".join(got.column(1).to_pylist()), kind).reshape(-1, dimension)
+        yield scratch.write(_merge(_search(index, books, ids, queries, total=total, top=top, rerank=rerank), top), f"found-{k}")
