@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import hashed_sample, small_batches
 
-#: Pages that the classifier is fitted on, about so many at most whatever the table.
-SAMPLE = 600
+#: Pages that the classifier is fitted on, at most so many whatever the table, and shapes of blocks of each, chosen by a hash.
+SAMPLE, SHAPES = 600, 256
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -36,6 +37,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-label|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
+
 #: Elements whose text is never page text, that never close, and that do not part blocks.
 _SKIP = frozenset("script style template noscript title textarea select option svg math iframe object canvas audio video head datalist".split())
 _RAW = frozenset("script style title textarea noscript iframe".split())
@@ -54,6 +57,7 @@ _BAD = NAV | HEADER | FOOTER | ASIDE | FORM | HINT | COMMENT | HIDDEN
 _TAG_MARK = {"nav": NAV, "menu": NAV, "header": HEADER, "footer": FOOTER, "aside": ASIDE, "form": FORM, "button": FORM, "fieldset": FORM, "dialog": HINT, "article": MAIN, "main": MAIN, "a": LINK}
 _ROLE_MARK = {"navigation": NAV, "menu": NAV, "menubar": NAV, "banner": HEADER, "contentinfo": FOOTER, "complementary": ASIDE, "search": FORM, "form": FORM, "alert": HINT, "dialog": HINT, "alertdialog": HINT, "main": MAIN, "article": MAIN}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_NOT_BEFORE, _NOT_AFTER = frozenset("no non without hide".split()), frozenset("free less".split())
 _HINTS = {w: HINT for w in "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar widget breadcrumb breadcrumbs pagination pager toolbar tags tagcloud disclaimer copyright outbrain taboola paywall skip".split()}
 _HINTS |= {w: COMMENT for w in "comment comments disqus respond replies".split()} | {w: NAV for w in "nav navbar navigation menu".split()} | {w: FOOTER for w in "footer foot".split()}
 _HINTS |= {w: HEADER for w in "masthead topbar siteheader".split()} | {w: ASIDE for w in "aside rail".split()} | {w: FORM for w in "form login search".split()}
@@ -71,6 +75,8 @@ class Block:
 
 def _own_marks(tag: str, attrs: str, bare: bool) -> int:
     marks = _TAG_MARK.get(tag, 0)
+    if tag == "a" and not _HREF.search(attrs):
+        marks = 0  # an anchor, not a link
     if attrs and not attrs.isspace():
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), values[0] or values[1] or values[2]
@@ -82,8 +88,11 @@ def _own_marks(tag: str, attrs: str, bare: bool) -> int:
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     marks |= HIDDEN
             elif name in ("class", "id") and not bare:
-                for w in _WORD.findall(value):
-                    marks |= _HINTS.get(w.lower(), 0)
+                for name_ in value.split():
+                    words = [w.lower() for w in _WORD.findall(name_)]
+                    for k, w in enumerate(words):  # "ad-free" and "no-ads" say that there are none
+                        if not (words[k + 1 : k + 2] and words[k + 1] in _NOT_AFTER or k and words[k - 1] in _NOT_BEFORE):
+                            marks |= _HINTS.get(w, 0)
     if marks & (HINT | COMMENT | NAV | FOOTER | ASIDE | FORM):
         marks &= ~GOOD
     return marks
@@ -161,8 +170,8 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag == "body" and opened.get("head"):
             k = next(k for k in range(len(stack)) if stack[k][0] == "head")
             close(k)
-        if m[3].endswith("/") and tag not in _RAW:
-            continue
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue  # HTML closes no other element so; and a value without quotes may end in a slash
         up = stack[-1]
         number += 1
         stack.append((tag, up[1] | _own_marks(tag, m[3], tag in ("body", "html")), up[2] or tag in _SKIP, number))
@@ -193,6 +202,8 @@ def shape(b: Block, place: float) -> list[float]:
 
 
 _MARKS = 10
+#: Ties of neighbours, for each container they share, and of blocks of one container; the most a block can weigh, and characters that weigh in full.
+NEIGHBOURS, CONTAINERS, SAME_CONTAINER, MOST, SURE = 0.15, 0.25, 0.4, 6.0, 40
 #: Weights to start from: they hold where a sample shows no labels.
 _START = np.array([-4, -3, -4, -3, -4, -4, -5, 3.0, 1.5, -5, 1.6, -4, 0.5, 0.8, -0.4, 0.4, 0.4, -0.6, -0.2, -0.2, -0.9])
 
@@ -279,37 +290,33 @@ def min_cut(gain: list[float], ties: list[tuple[int, int, float]]) -> list[bool]
                 break
 
 
+def ties_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness: neighbours, the more so the deeper their common container, and the next block of the same container."""
+    ties = []
+    seen: dict[tuple[int, ...], int] = {}
+    for k, b in enumerate(blocks):
+        if k:
+            shared = len(set(b.container) & set(blocks[k - 1].container))
+            ties.append((k - 1, k, NEIGHBOURS + CONTAINERS * shared))
+        if b.container in seen and seen[b.container] != k - 1:
+            ties.append((seen[b.container], k, SAME_CONTAINER))
+        seen[b.container] = k
+    return ties
+
+
 def main_text(page: str | None, weights: np.ndarray) -> str:
     """The page's content blocks, joined by one space; empty where there is none."""
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    if len(blocks) == 1 and not blocks[0].marks & _BAD and not blocks[0].linked:
-        return blocks[0].text  # nothing to tell it from
     last = max(1, len(blocks) - 1)
-    score = (np.array([shape(b, k / last) for k, b in enumerate(blocks)]) @ weights).tolist()
-    # blocks in a row that share container and marks are one node: their ties never part
-    groups: list[list[int]] = []
-    for k, b in enumerate(blocks):
-        if groups and blocks[groups[-1][0]].container == b.container and blocks[groups[-1][0]].marks == b.marks:
-            groups[-1].append(k)
-        else:
-            groups.append([k])
-    gain, ties = [], []
-    seen: dict[tuple[int, ...], int] = {}
-    for g, rows in enumerate(groups):
-        size = [len(blocks[k].text) ** 0.5 for k in rows]
-        gain.append(sum(s * score[k] for s, k in zip(size, rows, strict=True)) / sum(size) * (1 + math.log1p(len(rows)) / 2))
-        here = blocks[rows[0]].container
-        if g:
-            before = blocks[groups[g - 1][0]].container
-            shared = len(set(here) & set(before))
-            ties.append((g - 1, g, 0.15 + 0.25 * shared))
-        if here in seen and seen[here] != g - 1:
-            ties.append((seen[here], g, 0.4))
-        seen[here] = g
-    keep = min_cut(gain, ties)
-    return " ".join(blocks[k].text for g, rows in enumerate(groups) if keep[g] for k in rows)
+    shapes = np.array([shape(b, k / last) for k, b in enumerate(blocks)])
+    # what a container is called holds for any block of it, but a short block tells little about itself
+    sure = np.minimum(1.0, np.array([len(b.text) for b in blocks]) / SURE) ** 0.5
+    score = shapes[:, :_MARKS] @ weights[:_MARKS] + sure * (shapes[:, _MARKS:] @ weights[_MARKS:])
+    gain = np.clip(score, -MOST, MOST).tolist()
+    keep = min_cut(gain, ties_of(blocks))
+    return " ".join(b.text for b, content in zip(blocks, keep, strict=True) if content)
 
 
 # -- the operator ---------------------------------------------------------------------------------
@@ -317,9 +324,9 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
 
 def learn(pages: DataFrame, *, sample: int = SAMPLE) -> np.ndarray:
     """Weights from the blocks of a bounded sample of pages that name their parts."""
-    n = pages.count()
-    share = min(1.0, 1.2 * sample / max(1, n))
-    some = pages.where("html IS NOT NULL").where(F.pmod(F.xxhash64("page_id", F.lit("page sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = pages.where("html IS NOT NULL").select("page_id", "html")
+    total = known.agg(F.approx_count_distinct(F.xxhash64("page_id", "html")).alias("n")).first().n
+    some = hashed_sample(known, ["page_id", "html"], sample, total=total, label="page sample")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,8 +334,9 @@ def learn(pages: DataFrame, *, sample: int = SAMPLE) -> np.ndarray:
                 blocks = blocks_of(page.as_py())
                 last = max(1, len(blocks) - 1)
                 # shapes that repeat within a page count once
-                x = sorted({(*np.round(shape(b, k / last), 2).tolist(), 1.0 if b.marks & MAIN else 0.0) for k, b in enumerate(blocks) if b.marks & (_BAD | MAIN) and not (b.marks & MAIN and b.marks & _BAD)})
-                yield pa.RecordBatch.from_arrays([pa.array([np.array(x[:64], np.float32).tobytes()], pa.binary())], ["x"])
+                found = {(*np.round(shape(b, k / last), 2).tolist(), 1.0 if b.marks & MAIN else 0.0) for k, b in enumerate(blocks) if b.marks & (_BAD | MAIN) and not (b.marks & MAIN and b.marks & _BAD)}
+                x = sorted((np.array(row, np.float32).tobytes() for row in found), key=lambda row: (zlib.crc32(row), row))
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(x[:SHAPES])], pa.binary())], ["x"])
 
     got = some.select("html").mapInArrow(rows, "x binary").toArrow().column(0).to_pylist()
     x = np.frombuffer(b"".join(sorted(got)), np.float32).reshape(-1, len(_START) + 1).astype(np.float64)
