@@ -5,6 +5,9 @@ its registered domain's posterior mean, the domain's on its public suffix's, the
 overall rate; the strength of each level's prior comes from how much the rates of that level scatter
 (method of moments of the beta-binomial). A host is blocked where even the lower bound of its posterior is
 above the limit. All of it is DataFrame code; counts are made per host before anything is joined.
+
+Outcomes are an input, a table of pages and whether they were bad. :func:`labels_of` makes one of a table of labels whose
+ids are those of the pages.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Public suffixes of two labels, besides every single label.
@@ -52,41 +57,40 @@ def _levels(host: Column) -> tuple[Column, Column]:
     return F.when(address, bare).otherwise(domain), F.when(address, bare).otherwise(suffix)
 
 
-def _strength(groups: DataFrame, mean: str) -> DataFrame:
-    """One row: the prior's strength s = 1/rho - 1, rho from the scatter of rates around ``mean``."""
+def _strength(groups: DataFrame, mean: str) -> float:
+    """The prior's strength s = 1/rho - 1, rho from the scatter of rates around ``mean``: one number of one aggregate."""
     n, m = F.col("n").cast("double"), F.col(mean)
     a = groups.where("n > 0").agg(
-        F.sum(n).alias("all"), F.count("*").alias("g"), F.sum(n * n).alias("squares"),
         F.sum(n * F.pow(F.col("bad") / n - m, 2)).alias("scatter"), F.sum(n * m * (1 - m)).alias("binomial"), F.sum(m * (1 - m)).alias("each"),
     )
     rho = (F.col("scatter") - F.col("each")) / (F.col("binomial") - F.col("each"))
     rho = F.when((F.col("binomial") - F.col("each")) > 0, F.greatest(F.lit(1e-3), F.least(F.lit(0.9), rho))).otherwise(F.lit(0.1))
-    return a.select((1 / F.coalesce(rho, F.lit(0.1)) - 1).alias("strength"))
+    return a.select((1 / F.coalesce(rho, F.lit(0.1)) - 1).alias("strength")).first().strength
 
 
 def reputations(hosts: DataFrame, *, deviations: float = DEVIATIONS) -> DataFrame:
     """host, posterior, low and high of the bad rate, for ``hosts(host, n, bad)`` of distinct hosts.
 
-    The tables of levels are aggregates; one row for each level's strength is joined to them.
+    Hosts, and the domains and suffixes that they add up to, are written once each, as two numbers are taken from every
+    level before the next one is joined. Hot domains and suffixes are left to Spark's skew join: the other side of each join has one row for a key.
     """
+    scratch = Scratch(hosts.sparkSession, "hosts")
     domain, suffix = _levels(F.col("host"))
-    hosts = hosts.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix"))
-    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("overall"))
-    one = F.lit(1)
-
-    def shrink(groups: DataFrame, mean: str, name: str) -> DataFrame:
-        s = _strength(groups, mean).select("strength", one.alias("k"))
-        joined = groups.withColumn("k", one).join(F.broadcast(s), "k").drop("k")  # a single row
-        return joined.withColumn(name, (F.col("bad") + F.col("strength") * F.col(mean)) / (F.col("n") + F.col("strength")))
-
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = suffixes.withColumn("k", one).join(F.broadcast(total.withColumn("k", one)), "k").drop("k")
-    suffixes = shrink(suffixes, "overall", "suffix_mean").select("suffix", "suffix_mean")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")
-    domains = shrink(domains, "suffix_mean", "domain_mean").select("domain", "suffix", "domain_mean")
-    own = shrink(hosts.join(domains, ["domain", "suffix"]), "domain_mean", "posterior")
-    a = F.col("bad") + F.col("strength") * F.col("domain_mean")
-    b = F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("domain_mean"))
+    hosts = scratch.write(hosts.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix")), "hosts")
+    domains = scratch.write(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = scratch.write(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
+    overall = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("overall")).first().overall
+
+    def shrink(groups: DataFrame, mean: str, name: str) -> tuple[DataFrame, Column]:
+        s = F.lit(_strength(groups, mean))
+        return groups.withColumn(name, (F.col("bad") + s * F.col(mean)) / (F.col("n") + s)), s
+
+    suffixes, _ = shrink(suffixes.withColumn("overall", F.lit(overall)), "overall", "suffix_mean")
+    domains, _ = shrink(domains.join(suffixes.select("suffix", "suffix_mean"), "suffix"), "suffix_mean", "domain_mean")
+    domains = scratch.write(domains.select("domain", "suffix", "domain_mean"), "domain-means")
+    own, s = shrink(scratch.write(hosts.join(domains, ["domain", "suffix"]), "host-means"), "domain_mean", "posterior")
+    a = F.col("bad") + s * F.col("domain_mean")
+    b = F.col("n") - F.col("bad") + s * (1 - F.col("domain_mean"))
     wide = deviations * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     p = F.col("posterior")
     return own.select("host", "n", "bad", "posterior", F.greatest(F.lit(0.0), p - wide).alias("low"), F.least(F.lit(1.0), p + wide).alias("high"))
@@ -104,8 +108,10 @@ def judge(spark: SparkSession, pages: DataFrame, outcomes: DataFrame, *, rules:
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    labelled = rows.join(known, "page_id", "left")
-    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad"))
+    # labelled pages alone are joined (so none without an id); every other page only names its host
+    labelled = rows.join(known, "page_id").select("host", F.lit(1).alias("n"), F.col("bad").cast("int").alias("bad"))
+    every = rows.select("host", F.lit(0).alias("n"), F.lit(0).alias("bad")).unionByName(labelled)
+    hosts = every.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     found = reputations(hosts, deviations=deviations).select("host", "posterior", "low")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("low") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
