@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 LEAST_WORDS = 3
+#: Turns of one conversation that are sorted together.
+BUCKET = 1 << 14
 _QUOTE = r"^[ \t]*>[ \t>]*"
 
 
@@ -99,29 +101,33 @@ def reply_order(spark: SparkSession, messages: DataFrame) -> DataFrame:
     best = linked.groupBy("conv_id", "turn").agg(
         F.min_by("parent_turn", F.struct("level", -F.col("chars"), -F.col("parent_turn"))).alias("quoted_turn"), F.countDistinct("level").alias("n_linked_levels")
     )
-    turns = placed.select("conv_id", "turn").distinct()
-    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    tree = turns.withColumn("previous", before).join(best, ["conv_id", "turn"], "left")
+    # turns are taken in buckets, so a conversation of any length is dealt out; what a bucket needs of earlier ones is one row each
+    turns = placed.select("conv_id", "turn", F.floor(F.col("turn") / BUCKET).alias("bucket")).distinct()
+    bucket, earlier = Window.partitionBy("conv_id", "bucket").orderBy("turn"), Window.partitionBy("conv_id").orderBy("bucket")
+    last = turns.groupBy("conv_id", "bucket").agg(F.max("turn").alias("last"))
+    last = last.select("conv_id", "bucket", F.lag("last").over(earlier).alias("last_before"))
+    tree = turns.withColumn("previous", F.lag("turn").over(bucket)).join(last, ["conv_id", "bucket"])
+    tree = tree.withColumn("previous", F.coalesce("previous", "last_before")).join(best, ["conv_id", "turn"], "left")
     tree = tree.withColumn("parent_turn", F.coalesce("quoted_turn", "previous")).withColumn("branches", F.coalesce(F.col("parent_turn") != F.col("previous"), F.lit(False)))
+    tree = scratch.write(tree.drop("last_before"), "turns")
     # every turn belongs to the newest branch begun at or before it, until quotes take it elsewhere
-    sofar = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    tree = tree.withColumn("branch", F.max(F.when(F.col("branches"), F.col("turn"))).over(sofar))
-    tree = scratch.write(tree, "tree")
+    begun = F.max(F.when(F.col("branches"), F.col("turn")))
+    open_before = tree.groupBy("conv_id", "bucket").agg(begun.alias("begun"))
+    open_before = open_before.select("conv_id", "bucket", F.max("begun").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("begun_before"))
+    tree = tree.withColumn("branch", begun.over(bucket.rowsBetween(Window.unboundedPreceding, 0))).join(open_before, ["conv_id", "bucket"])
+    tree = scratch.write(tree.withColumn("branch", F.coalesce("branch", "begun_before")).drop("bucket", "begun_before"), "tree")
     digits = lambda c: F.lpad((F.col(c) if isinstance(c, str) else c).cast("string"), 20, "0")
-    # paths of branches: a branch hangs on the branch of its parent; as many rounds as branches nest
+    # a branch hangs on the branch of its parent. Paths grow by doubling: each round puts the path of the branch that a path
+    # hangs on before it, so there are as many rounds as the depth of nesting has binary digits
     starts = tree.where("branches").select("conv_id", F.col("turn").alias("branch"), "parent_turn")
     above = tree.select("conv_id", F.col("turn").alias("parent_turn"), F.col("branch").alias("up"))
-    open_ = scratch.write(starts.join(above.hint("merge"), ["conv_id", "parent_turn"]).select("conv_id", "branch", "parent_turn", "up"), "open-0")
-    path = lambda up: F.concat_ws("/", up, digits("parent_turn"), digits("branch"))
-    paths = scratch.write(open_.where("up IS NULL").select("conv_id", "branch", path(F.lit(None).cast("string")).alias("path"), F.lit(1).alias("depth")), "paths-0")
-    ready, k = paths, 0
-    while True:
+    paths = starts.join(above.hint("merge"), ["conv_id", "parent_turn"]).select("conv_id", "branch", F.concat_ws("/", digits("parent_turn"), digits("branch")).alias("path"), F.lit(1).alias("depth"), "up")
+    paths, k = scratch.write(paths, "paths-0"), 0
+    while not paths.where("up IS NOT NULL").isEmpty():
         k += 1
-        new = open_.join(ready.select("conv_id", F.col("branch").alias("up"), F.col("path").alias("p"), "depth"), ["conv_id", "up"])
-        new = scratch.write(new.select("conv_id", "branch", path(F.col("p")).alias("path"), (F.col("depth") + 1).alias("depth")), f"paths-{k}")
-        if new.isEmpty():
-            break
-        ready, paths = new, paths.unionByName(new)
+        hung = paths.select("conv_id", F.col("branch").alias("up"), F.col("path").alias("p"), F.col("depth").alias("d"), F.col("up").alias("next"))
+        more = paths.where("up IS NOT NULL").join(hung.hint("merge"), ["conv_id", "up"]).select("conv_id", "branch", F.concat_ws("/", "p", "path").alias("path"), (F.col("depth") + F.col("d")).alias("depth"), F.col("next").alias("up"))
+        paths = scratch.write(paths.where("up IS NULL").unionByName(more), f"paths-{k}")
     shape = tree.join(paths.hint("merge"), ["conv_id", "branch"], "left").select(
         "conv_id", "turn", "parent_turn", F.col("quoted_turn").isNotNull().alias("quoted"), F.coalesce("n_linked_levels", F.lit(0)).alias("n_linked_levels"),
         F.coalesce("depth", F.lit(0)).alias("branch_depth"), F.concat_ws("/", "path", digits("turn")).alias("reply_order"),
