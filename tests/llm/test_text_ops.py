@@ -70,6 +70,15 @@ def test_every_language_is_learned(spark):
     assert {n for m in model["members"].values() for n in m} == {f"x{k}" for k in range(205)}
 
 
+def test_repeated_rows_do_not_crowd_out_a_language(spark):
+    texts = {lang: [f"{word} {k} " * 5 for k in range(12)] for lang, word in (("aa", "zarim"), ("bb", "quolux"), ("cc", "thebby"))}
+    rows = [(k * 3 + j, t, lang) for j, (lang, own) in enumerate(sorted(texts.items())) for k, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = spark.range(50_000).select(F.lit(1_001).cast("long").alias("doc_id"), F.lit("zarim 7 " * 5).alias("text"), F.lit("aa").alias("lang"))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark, df.unionByName(many), sample=30).distinct().collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
 # -- licenses ---------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from factloom.llm.bitplane import decode_file, encode_file, token_planes
+from factloom.llm.bitplane import decode_file, encode_file, read_range, token_planes
 from factloom.llm.common import ByteBPE, byte_bpe
 from factloom.llm.packing import pack, shortest_pack_first, slots_of
 
@@ -46,6 +46,29 @@ def test_file_round_trip(bits, n):
             decode_file(data[:-3] + bytes(3) if n > 8 else b"no" + data)
 
 
+@pytest.mark.parametrize("bits", [False, True])
+def test_ranges_read_only_their_chunks(bits):
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 50_257, 10_000).astype("<u4")
+    data = encode_file(ids, [4_000, 6_000], bits=bits, block_ids=1_000)
+    for _ in range(50):
+        a, b = sorted(rng.integers(0, 10_001, 2).tolist())
+        assert (read_range(data, a, b) == ids[a:b]).all()
+    assert len(read_range(data, 10_000, 10_000)) == 0
+    with pytest.raises(IndexError):
+        read_range(data, 5, 10_001)
+    # damage in the last chunk is found where that chunk is read, and does no harm elsewhere
+    hurt = data[:-3] + bytes([data[-3] ^ 255, data[-2] ^ 255, data[-1] ^ 255])
+    assert (read_range(hurt, 0, 9_000) == ids[:9_000]).all()
+    with pytest.raises(Exception):
+        read_range(hurt, 0, 9_001)
+
+
+def test_bit_planes_through_the_query(spark, docs):
+    key = lambda df: sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in df.collect())
+    assert key(token_planes(spark, docs, bits=True)) == key(token_planes(spark, docs))
+
+
 def test_cached_pieces_equal_the_library():
     rnd, bpe = random.Random(1), ByteBPE("byte_bpe_50k.json")
     bpe.KEEP = 50  # so that the full cache is met, too

@@ -2,13 +2,18 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from factloom.llm import htmlcut
 from factloom.llm.annsearch import encode, fit_codebooks, nearest
 from factloom.llm.hostrep import RULES, judge, labels_of
-from factloom.llm.htmlcut import extract, main_text, min_cut
+from factloom.llm.common import hashed_sample
+from factloom.llm.htmlcut import blocks_of, extract, main_text, min_cut
 from factloom.llm.htmlcut import _START as WEIGHTS
 from factloom.llm.quotes import reply_order
 
@@ -40,6 +45,32 @@ def test_recall(spark):
     assert all(abs(s - score[q][i]) < 1e-12 for q, v in got.items() for i, s in v if i in score[q])
 
 
+def test_recall_by_codes_alone(spark):
+    """Few candidates of many, so that what is found hangs on the codes."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    want = exact([(r.vec_id, r.embedding) for r in table.collect()])
+    got = {}
+    for r in nearest(spark, table, rerank=60).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want])
+    assert 0.9 <= recall
+
+
+def test_doubles_and_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=3) + 1e-9]) for k in range(120)] + [(1_000 + k, [float(x) for x in rng.normal(size=7) * 1e-170]) for k in range(50)]
+    rows += [(3_000, [1.0, 2.0]), (3_020, [5.0] * 11)]
+    df = spark.createDataFrame([(i, x) for i, x in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in nearest(spark, df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = exact([x for x in rows if len(x[1]) == 3]) | exact([x for x in rows if len(x[1]) == 7])
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+        assert all(math.isclose(a, b, rel_tol=1e-13) for (_, a), (_, b) in zip(got[q], want[q]))
+
+
 def test_vector_edges(spark):
     rng = np.random.default_rng(1)
     v = lambda: [float(x) for x in rng.normal(size=4).astype(np.float32)]
@@ -101,6 +132,69 @@ def test_pages_table(spark, sf_dir):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
 
 
+P1 = "The council met on Tuesday evening to discuss the new bridge, which has been planned for several years."
+P2 = "After two hours of debate the members voted in favour, although the cost remains a matter of dispute."
+P3 = "Construction is expected to begin in spring, and traffic will be led around the old mill until then."
+MENU = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li><li><a href="/w">Weather</a></li></ul>'
+FOOT = '<div id="footer"><p>&copy; 2024 Example Press. <a href="/imprint">Imprint</a> <a href="/terms">Terms</a></p></div>'
+HAND = {
+    "no article tag": (f"<body><div class=top>{MENU}</div><div class=story><h1>Bridge approved</h1><p>{P1}</p><p>{P2}</p></div>{FOOT}</body>", f"Bridge approved {P1} {P2}"),
+    "links between paragraphs of a plain div": (f'<div><p>{P1}</p><p><a href="/more">Read more</a></p><p>{P2}</p><p><a href="/sub">Subscribe now</a></p><p>{P3}</p></div>', f"{P1} {P2} {P3}"),
+    "inline advert": (f'<div><p>{P1}</p><div class="advert">Buy the new vacuum cleaner now, only this week at half the price!</div><p>{P2}</p></div>', f"{P1} {P2}"),
+    "a name that says there are no adverts": (f'<div class="post-ad-free"><p>{P1}</p><p>{P2}</p></div>', f"{P1} {P2}"),
+    "one container for all": (f"<body>{MENU}<p>{P1}</p><p>{P2}</p><p>{P3}</p>{FOOT}</body>", f"{P1} {P2} {P3}"),
+    "comments look like text": (f'<div id=main><p>{P1}</p><p>{P2}</p></div><div class="comments"><p>I do not think that this is a good idea, we need the old one.</p><p>{P3}</p></div>', f"{P1} {P2}"),
+    "links within text": (f'<div><p>The council met <a href="/x">on Tuesday evening</a> to discuss the <a href="/y">new bridge</a>, planned for years.</p><p>{P2}</p></div>', f"The council met on Tuesday evening to discuss the new bridge, planned for years. {P2}"),
+    "slashes at the end of values": (f"<div><a href=http://x.com/>Link text</a> <a href=/y/>Another one</a></div><div/><p>{P1}</p><p>{P2}</p></div>", f"{P1} {P2}"),
+    "list and quote within the text": (f"<div class=content><h2>Plans</h2><p>{P1}</p><ul><li>The northern bank gets a new path for bicycles, too.</li><li>Trees are planted on both sides of the river.</li></ul><blockquote>{P2}</blockquote></div>{FOOT}", f"Plans {P1} The northern bank gets a new path for bicycles, too. Trees are planted on both sides of the river. {P2}"),
+    "cookie notice and form": (f'<div class="cookie-consent"><p>We use cookies to give you the best experience on our site. By going on you agree.</p></div><form><p>Your name and your address, please.</p></form><main><p>{P1}</p><p>{P3}</p></main>', f"{P1} {P3}"),
+    "table layout": (f"<table><tr><td>{MENU}</td><td><p>{P1}</p><p>{P2}</p></td></tr></table>", f"{P1} {P2}"),
+    "related stories after the text": (f'<div class=body><p>{P1}</p><p>{P2}</p></div><div class="related"><h3>Related</h3><ul><li><a href="/1">Old mill reopens after long works</a></li><li><a href="/2">River path closed for the winter</a></li></ul></div>', f"{P1} {P2}"),
+}
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    return htmlcut.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+@pytest.mark.parametrize("name", sorted(HAND))
+def test_pages_made_by_hand(fitted, name):
+    assert main_text(HAND[name][0], fitted) == HAND[name][1]
+
+
+def test_pages_without_marks(fitted):
+    """Every page of the table without the names of its parts: what blocks look like, and the cut, must do."""
+    import duckdb
+
+    right = kept = all_ = 0
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        want = Counter(main_text(page, fitted).split())
+        bare = re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|aside|header|form|main)\b[^>]*>", r"<\1div>", page))
+        got = Counter(main_text(bare, fitted).split())
+        right, kept, all_ = right + sum((want & got).values()), kept + sum(got.values()), all_ + sum(want.values())
+    assert right / all_ > 0.99 and right / kept > 0.97
+
+
+def test_a_slash_ends_no_element_and_anchors_are_no_links():
+    (block,) = blocks_of("<p><a href=http://x.com/>Link text</a>")
+    assert block.linked == 9
+    (block,) = blocks_of('<p><a name="top"/>Plain text</p>')
+    assert block.linked == 0
+
+
+def test_samples_are_bounded_and_never_vanish(spark):
+    """One id on all rows, and a table of which the sample is less than a millionth."""
+    page = "<nav><a href=x>Menu</a></nav><main><p>Some words, and a stop.</p></main>"
+    same = spark.range(100_000).select(F.lit(1).cast("long").alias("page_id"), F.lit(page).alias("html"))
+    assert hashed_sample(same, ["page_id", "html"], 50, total=1, label="x").count() == 1
+    other = spark.range(100_000).select(F.lit(1).cast("long").alias("page_id"), F.col("id").cast("string").alias("html"))
+    assert hashed_sample(other, ["page_id", "html"], 50, total=100_000, label="x").count() == 50
+    few = spark.range(3_000_000).select(F.col("id").alias("page_id"), F.lit("").alias("html"))
+    assert 1 <= hashed_sample(few, ["page_id"], 2, total=3_000_000, label="x").count() <= 2
+    assert not np.array_equal(htmlcut.learn(same, sample=50), WEIGHTS)  # learned from the one page that there is
+
+
 def test_page_edges(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", PAGE, "x"), (3, "u", PAGE, "x"), (3, "u", PAGE, "x"), (4, "u", "just words, no tags.", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -207,6 +301,29 @@ def test_parents_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("bucket", [7, 1 << 14])
+def test_deeply_nested_branches(spark, monkeypatch, bucket):
+    from factloom.llm import quotes
+
+    monkeypatch.setattr(quotes, "BUCKET", bucket)
+    rnd = random.Random(2)
+    n, rows, parent = 600, [], {}
+    for t in range(n):
+        to = t - 2 if t % 2 and t > 2 else rnd.randrange(t) if t > 2 and rnd.random() < 0.3 else None
+        parent[t] = to if to is not None else t - 1 if t else None
+        rows.append((1, 3 * t, "u", (f"> saying number {to} here\n" if to is not None else "") + f"saying number {t} here"))
+    branch, path, depth, want = {}, {None: ""}, {None: 0}, {}
+    for t in range(n):
+        branch[t] = t if parent[t] is not None and parent[t] != t - 1 else branch.get(t - 1)
+        if branch[t] == t:
+            up = branch[parent[t]]
+            path[t], depth[t] = path[up] + f"{3 * parent[t]:020d}/{3 * t:020d}/", depth[up] + 1
+        want[3 * t] = (None if parent[t] is None else 3 * parent[t], depth[branch[t]], path[branch[t]] + f"{3 * t:020d}")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.turn: (r.parent_turn, r.branch_depth, r.reply_order) for r in reply_order(spark, df).collect()}
+    assert got == want and max(depth.values()) > 200
+
+
 # -- hosts ------------------------------------------------------------------------------------------
 
 
