@@ -52,6 +52,8 @@ RUN_BYTES = 1 << 19
 CLUSTER, CLUSTER_BYTES = 128, 16 << 20
 #: Pivots of a hot region, how many bounds from a pivot a member leaves the region, and further projections at most.
 PIVOTS, NEAR, PROJECTIONS = 16, 2, 4
+#: Parts in which the members of large clusters are joined with what is known of the cluster.
+SALTS = 32
 #: Rows of one key that a task holds before it passes them on as they come.
 LONG_RUN = 1 << 16
 #: Bits of the filter that tells which documents the last step reads again (1 MB, whatever the corpus).
@@ -337,21 +339,23 @@ def bounds_from(sizes: np.ndarray, sketches: list[bytes], pivot_sizes: np.ndarra
 
 
 def _peel(rows: DataFrame, r: Fraction, cap: int) -> DataFrame:
-    """(region, id, pivot): for hot regions, every pivot in whose window a member is; and null where none holds it.
+    """(region, id, pivot): for hot regions, links to pivots in whose window a member is; and null for those that stay.
 
     A member within ``NEAR`` bounds of some pivot has left the region. Anything within r of it is within one bound
-    more of that pivot (bounds differ by 1/(1-r) at most), so is in its window.
+    more of that pivot (bounds differ by 1/(1-r) at most), so is in its window. A member is linked with the first pivot in whose
+    window it is, and pivots that share a member with one another: a forest, not all pairs. The order of pivots hangs on their ids
+    alone, so a group that makes many hot regions has the same pivots in most of them, and links repeat.
     """
     window = NEAR / float(1 - r) + 1 + 1e-9
-    hashed = F.xxhash64("region", "id", F.lit("pivot"))
+    hashed = F.xxhash64("id", F.lit("pivot"))
     first = Window.partitionBy("region").orderBy("hash", "id")
     # about four times as many as are needed are ranked: no region is gathered for its pivots
-    some = rows.withColumn("hash", hashed).where(F.pmod("hash", F.lit(1 << 32)) < F.lit(4 * PIVOTS) / F.col("n") * float(1 << 32))
+    some = rows.withColumn("hash", F.pmod(hashed, F.lit(1 << 32))).where(F.col("hash") < F.lit(4 * PIVOTS) / F.col("n") * float(1 << 32))
     pivots = some.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS)
     parts = F.ceil(F.col("n") / cap).cast("int")
     columns = ["region", "part", "member", "id", "n_shingles", "sketch"]
-    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("member", F.lit(False)).select(*columns)
-    members = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("member", F.lit(True)).select(*columns)
+    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("member", F.col("nth") - PIVOTS - 1).select(*columns)
+    members = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("member", F.lit(0)).select(*columns)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivots, members = None, [], []
@@ -361,14 +365,18 @@ def _peel(rows: DataFrame, r: Fraction, cap: int) -> DataFrame:
             ids, region = np.array(ids), now[0]
             p_ids, p_sizes, p_sketches = zip(*pivots, strict=True) if pivots else ((), (), ())
             d = bounds_from(np.array(sizes), list(sketches), np.array(p_sizes), list(p_sketches), r)
-            left = (d <= NEAR).any(axis=1)
-            held, pivot = np.nonzero(d <= window)
-            rest = ids[~left]
+            left, held = (d <= NEAR).any(axis=1), d <= window
+            links, union = [], _Union(len(p_ids))
+            for row in np.unique(held, axis=0):
+                own = np.flatnonzero(row)
+                if len(own):
+                    links += [(p_ids[int(own[0])], p_ids[q]) for q in union.join(int(own[0]), own[1:])]
+            some = np.flatnonzero(held.any(axis=1))
+            links += zip(ids[some].tolist(), np.array(p_ids, np.int64)[held[some].argmax(axis=1)].tolist(), strict=True) if len(some) else []
+            links += [(i, None) for i in ids[~left].tolist()]
             members.clear()
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(held) + len(rest), region)), pa.array(np.append(ids[held], rest)),
-                pa.array([*np.array(p_ids, np.int64)[pivot].tolist(), *[None] * len(rest)], pa.int64()),
-            ], ["region", "id", "pivot"])
+            i, pivot = zip(*links, strict=True) if links else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array([region] * len(i), pa.int64()), pa.array(i, pa.int64()), pa.array(pivot, pa.int64())], ["region", "id", "pivot"])
 
         for batch in batches:
             for region, part, member, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -377,7 +385,7 @@ def _peel(rows: DataFrame, r: Fraction, cap: int) -> DataFrame:
                         yield out()
                     if (region, part) != now:
                         now, pivots = (region, part), []
-                (members if member else pivots).append(row)
+                (pivots if member < 0 else members).append(row)
         if members:
             yield out()
 
@@ -429,7 +437,7 @@ def _candidates(regions: DataFrame, sketches: DataFrame, docs: DataFrame, words:
     out = _cluster_links(small.select("region", "id"), sketches, r)
     for more in links:
         out = out.unionByName(more.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return out
+    return out.distinct()
 
 
 # -- clusters -------------------------------------------------------------------------------------
@@ -563,9 +571,12 @@ def _join_clusters(members: DataFrame, weights: DataFrame, sets: DataFrame, r: F
     def blocks_for(n: str, bytes_: str) -> Column:
         return F.greatest(F.ceil(F.col(n) / cluster), F.ceil(F.col(bytes_) / CLUSTER_BYTES)).cast("int")
 
-    weighed = members.join(weights, "id")
-    sizes = weighed.groupBy("component").agg(F.count("*").alias("g"), F.sum("bytes").alias("bytes")).select("component", blocks_for("g", "bytes").alias("k"))
-    once = weighed.join(sizes, "component").withColumn("home", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    weighed = members.join(weights, "id").withColumn("salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    salted = lambda rows: rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # only clusters of several blocks have a row to be joined, a copy for each salt, so no cluster's members meet in one task
+    sizes = weighed.groupBy("component").agg(F.count("*").alias("g"), F.sum("bytes").alias("bytes")).select("component", blocks_for("g", "bytes").alias("k")).where("k > 1")
+    once = weighed.join(salted(sizes), ["component", "salt"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    once = once.withColumn("home", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     once = scratch.write(once, "blocks")
     big = once.where("k > 1")
     key = lambda *c: F.xxhash64("component", *c)
@@ -581,7 +592,8 @@ def _join_clusters(members: DataFrame, weights: DataFrame, sets: DataFrame, r: F
     counts = own.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     main = counts.groupBy("component").agg(F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("g"), F.sum("bytes").alias("bytes"))
     main = main.select("component", F.col("main.label").alias("main"), (F.col("g") - F.col("main.n")).alias("strays"), (F.col("bytes") - F.col("main.bytes")).alias("stray_bytes"))
-    own = own.join(main.select("component", "main", blocks_for("strays", "stray_bytes").alias("s")), "component").where("s > 0")
+    main = main.select("component", "main", blocks_for("strays", "stray_bytes").alias("s")).where("s > 0")
+    own = own.join(salted(main), ["component", "salt"])
     # pair of a block of strays and any block: a task holds at most about twice what one block does
     stray = own.where("label <> main").select(
         "id", "component", F.pmod(F.xxhash64("id", F.lit(1)), F.col("s")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
