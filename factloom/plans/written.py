@@ -12,6 +12,10 @@ _OWN: dict[str, str] = {}
 
 
 def _own_root(spark: SparkSession) -> str:
+    """A folder of this machine, which only a session without other machines may use."""
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="factloom-")
@@ -21,7 +25,7 @@ def _own_root(spark: SparkSession) -> str:
 class Written:
     """Tables under the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a local session) a folder of this process is used.
+    Only where that setting is missing and the session is local (tests) a folder of this process is used; elsewhere that is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
