@@ -83,17 +83,16 @@ def merge_statements(rows: DataFrame, keys: list[str]) -> DataFrame:
 def first_and_last_sources(fact_source: DataFrame, observation: DataFrame) -> DataFrame:
     """Per fact and source its first and last observation, and how many the fact has in all.
 
-    Aggregates instead of windows: partial on the map side, so a fact with any number of observations
-    is never sorted in one task. Columns fact_id, source, first_id, first_at, last_id, last_at, source_count.
+    Columns fact_id, source, first_id, first_at, last_id, last_at, source_count. A fact's sources are gathered (there are as many as
+    systems), its observations never: they are aggregated where they lie after one shuffle by fact.
     """
     own = fact_source.join(observation.select(F.col("id").alias("observation_id"), "source", "observed_at"), "observation_id")
-    per = own.groupBy("fact_id", "source").agg(
-        F.min(F.struct("observed_at", "observation_id")).alias("first"), F.max(F.struct("observed_at", "observation_id")).alias("last"), F.count("*").alias("n"),
-    )
-    total = per.groupBy("fact_id").agg(F.sum("n").alias("source_count"))
-    return per.join(total, "fact_id").select(
-        "fact_id", "source", F.col("first.observation_id").alias("first_id"), F.col("first.observed_at").alias("first_at"),
-        F.col("last.observation_id").alias("last_id"), F.col("last.observed_at").alias("last_at"), "source_count",
+    seen = F.struct("observed_at", "observation_id")
+    per = own.repartition("fact_id").groupBy("fact_id", "source").agg(F.min(seen).alias("first"), F.max(seen).alias("last"), F.count("*").alias("n"))
+    per = per.groupBy("fact_id").agg(F.collect_list(F.struct("source", "first", "last")).alias("s"), F.sum("n").alias("source_count"))
+    return per.select("fact_id", F.explode("s").alias("s"), "source_count").select(
+        "fact_id", "s.source", F.col("s.first.observation_id").alias("first_id"), F.col("s.first.observed_at").alias("first_at"),
+        F.col("s.last.observation_id").alias("last_id"), F.col("s.last.observed_at").alias("last_at"), "source_count",
     )
 
 

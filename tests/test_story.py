@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.model.declaration import Declaration, DeclarationError, authoritative, predicates_frame, sync_predicates
-from factloom.model.vocabulary import VocabularyError
+from factloom.model.vocabulary import VocabularyError, kind_closure, kinds_frame
 from factloom.plans import answers, ingest
 from factloom.sources import kubernetes, observations, repositories, store
 from factloom.streaming import ingest as stream
@@ -81,6 +81,48 @@ def test_answers(world):
     assert answers.links_where(world.links, world.clusters, status="proposed").count() == 0
 
 
+def test_evidence(spark, world):
+    alias = {r.key: r.record for r in world.alias.collect()}
+    pay, db, core = alias["k8s:workload/n/pay"], alias["k8s:workload/n/db"], alias["k8s:team/core"]
+    at = str(t(6))
+    found = answers.evidence(world, ["k8s:workload/n/pay"], ["depends_on", "owned_by"], depth=3, at=at)
+    rows = found.claims.collect()
+    assert [(r.start, r.end, r.facts, r.same_as) for r in rows] == [(pay, db, 1, 0), (pay, core, 2, 0)]
+    assert [(s.source, s.first_id, s.last_id) for s in rows[0].sources] == [("k8s", "o4", "o9")]
+    assert {r.id for r in found.records.collect()} == {pay, db, core} and found.relations.count() == 0
+    # the directory's person is one with the code host's: from there it is a hop, whose link is named
+    person = answers.evidence(world, ["dir:user/u1"], ["member_of"], at=at).claims.collect()
+    assert [(r.same_as, r.end) for r in person] == [(1, alias["github:team/core"])] and len(person[0].path[0].links) == 1
+    closure = kind_closure(kinds_frame(spark))
+    allowed = spark.createDataFrame([("owned_by", ["Team"]), ("depends_on", ["Component"])], "predicate string, kinds array<string>")
+    teams = answers.evidence(world, [pay], ["depends_on", "owned_by"], depth=3, at=at, answer_kind="Team", closure=closure, allowed=allowed)
+    assert [r.end for r in teams.claims.collect()] == [core]  # without a kind, but an owner can only be a team
+
+
+def test_every_supporting_observation_is_a_source(spark):
+    """A period in the past, told later, is supported by the observation that told it."""
+    log = [obs(1, 24 * 250, "hr", "hr:user/1", "Person", relations=[{"type": "member_of", "to": "hr:team/1", "valid_from": "2026-01-01T00:00:00Z", "valid_to": "2026-02-01T00:00:00Z"}]),
+           obs(2, 24 * 251, "hr", "hr:user/1", "Person", attributes={"title": "x"}), obs(3, 24 * 252, "hr", "hr:user/1", "Person", attributes={"title": "x"})]
+    df = spark.createDataFrame(log, "id string, source string, seq long, observed_at timestamp_ntz, data string")
+    d = ingest.derive(spark, observations.decode(df))
+    sources = d.fact_source.groupBy("fact_id").agg(F.array_sort(F.collect_list("observation_id")).alias("o"))
+    got = {r.predicate: (r.n_support, r.o) for r in d.facts.join(sources, d.facts.id == sources.fact_id, "left").collect()}
+    assert got == {"member_of": (1, ["o1"]), "title": (2, ["o2", "o3"])}
+
+
+def test_late_snapshots_close_as_every_snapshot_does(spark):
+    """Out of order, one close for each touch would not do: the first later snapshot is older than the fact."""
+    rel = lambda *to: [{"type": "depends_on", "to": f"k:w/{x}"} for x in to]
+    snap = [{"direction": "OUT", "predicates": ["*"]}]
+    log = [obs(1, 10, "k", "k:w/a", "Component", relations=rel("x", "y"), snapshots=snap), obs(2, 5, "k", "k:w/a", "Component", relations=rel("y"), snapshots=snap), obs(3, 12, "k", "k:w/a", "Component", relations=rel("y"), snapshots=snap),
+           obs(4, 1, "k", "k:w/b", "Component", relations=rel("x", "y"), snapshots=snap), obs(5, 2, "k", "k:w/b", "Component", relations=rel("x"), snapshots=snap), obs(6, 3, "k", "k:w/b", "Component", relations=rel("x", "y"), snapshots=snap), obs(7, 4, "k", "k:w/b", "Component", relations=[], snapshots=snap)]
+    df = spark.createDataFrame(log, "id string, source string, seq long, observed_at timestamp_ntz, data string")
+    d = ingest.derive(spark, observations.decode(df))
+    key = {r.record: r.key[-1] for r in d.alias.collect()}
+    got = sorted((key[r.subject], key[r.object], r.valid_from, r.valid_to or dt.datetime.max) for r in d.facts.collect())
+    assert got == [("a", "x", t(10), t(12)), ("a", "y", t(10), dt.datetime.max), ("b", "x", t(1), t(4)), ("b", "y", t(1), t(2)), ("b", "y", t(3), t(4))]
+
+
 def test_a_replay_changes_nothing(spark, world):
     df = spark.createDataFrame([(i, s, n, at, d) for n, (i, s, _, at, d) in enumerate(LOG + LOG)], "id string, source string, seq long, observed_at timestamp_ntz, data string").repartition(5)
     again = ingest.derive(spark, observations.decode(df), authority=[("dir", "github:user")], completions=[("k8s", ["Component"], str(t(49)))])
