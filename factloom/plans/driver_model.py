@@ -22,7 +22,7 @@ MODEL = {
         FROM {lineitem}""",
     "support": """
         SELECT concat('f', lpad(CAST(l_orderkey AS STRING), 10, '0'), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS fact_id,
-               concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '@', CAST(i AS STRING)) AS observation_id,
+               concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(CAST(l_quantity AS INT) AS STRING), '@', CAST(i AS STRING)) AS observation_id,
                CASE WHEN (l_linenumber + i) % 2 = 0 THEN 'crm' ELSE 'erp' END AS source, l_shipdate + INTERVAL '1' DAY * CAST(i AS INT) AS observed_at
         FROM {lineitem} CROSS JOIN (VALUES (0), (1), (2)) AS v(i) WHERE i <= l_orderkey % 3""",
     "cluster": """
@@ -36,9 +36,9 @@ MODEL = {
         UNION ALL SELECT concat('nation/', CAST(n_nationkey AS STRING)), 'org.Unit', n_name, CAST(3000000 + n_nationkey AS BIGINT) FROM {nation}""",
     "edge": """
         SELECT concat('e', CAST(p_partkey AS STRING), '-', CAST(i AS STRING)) AS id, concat('part/', CAST(p_partkey AS STRING)) AS src,
-               concat('part/', CAST(CASE WHEN i = 0 THEN (p_partkey * 7 + 3) % 200 WHEN i = 1 THEN (p_partkey * p_partkey + 11) % 200 ELSE (p_partkey + 199) % 200 END AS STRING)) AS dst,
+               concat('part/', CAST(CASE WHEN i = 0 THEN (p_partkey * 7 + 3) % n WHEN i = 1 THEN (p_partkey * p_partkey + 11) % n ELSE (p_partkey + n - 1) % n END AS STRING)) AS dst,
                CAST(p_size AS INT) AS size
-        FROM {part} CROSS JOIN (VALUES (0), (1), (2)) AS v(i) WHERE p_partkey < 200""",
+        FROM {part} CROSS JOIN (VALUES (0), (1), (2)) AS v(i) CROSS JOIN (SELECT count(*) AS n FROM {part}) AS c""",
     "member": """
         SELECT concat('supp/', CAST(s_suppkey AS STRING)) AS team, concat('cust/', CAST(c_custkey AS STRING)) AS person, c_name AS name,
                CASE WHEN c_mktsegment = 'MACHINERY' THEN 'maintainer' WHEN c_mktsegment = 'FURNITURE' THEN NULL ELSE lower(c_mktsegment) END AS role, c_acctbal AS balance
@@ -55,7 +55,7 @@ MODEL = {
                concat('cust/', CAST(CASE WHEN c_custkey % 5 = 4 THEN c_custkey + 6 ELSE c_custkey + 1 END AS STRING)) AS b,
                CASE WHEN c_custkey % 11 = 0 THEN 'distinct_from' ELSE 'same_as' END AS kind, CASE WHEN c_acctbal < 0 OR c_custkey % 3 = 1 THEN 'proposed' ELSE 'asserted' END AS status,
                c_custkey AS nth
-        FROM {customer} WHERE c_custkey % 4 <> 2""",
+        FROM {customer}""",
     "proposal": """
         SELECT concat('p', lpad(CAST(event_id AS STRING), 9, '0')) AS id, concat('u', CAST(least(user_id, event_id % 37) AS STRING)) AS a,
                concat('v', CAST(greatest(user_id, event_id % 37) AS STRING)) AS b, 'same_as' AS kind,

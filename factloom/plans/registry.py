@@ -36,10 +36,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import registry_derived  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import registry_derived  # noqa: F401
+
     return dict(_ORACLE)
 
 
@@ -86,12 +90,6 @@ def resolve_references(spark, sf_dir):
 
 # -- provenance and merging ---------------------------------------------------------------------------
 
-_EDGES_OF_SOURCES = """
-    SELECT fact_id, source, min(observed_at) AS first_at, max(observed_at) AS last_at, min_by(observation_id, (observed_at, observation_id)) AS first_id,
-           max_by(observation_id, (observed_at, observation_id)) AS last_id, CAST(sum(count(*)) OVER (PARTITION BY fact_id) AS BIGINT) AS source_count
-    FROM support GROUP BY fact_id, source"""
-
-
 def _sources(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     s = model(spark, sf_dir, "support")
     return s.select("fact_id", "observation_id"), s.select(F.col("observation_id").alias("id"), "source", "observed_at")
@@ -103,11 +101,7 @@ def _sources(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
              first_value(observed_at) OVER d AS last_at, count(*) OVER (PARTITION BY fact_id) AS source_count, row_number() OVER a AS n
       FROM support WINDOW a AS (PARTITION BY fact_id, source ORDER BY observed_at, observation_id), d AS (PARTITION BY fact_id, source ORDER BY observed_at DESC, observation_id DESC)) WHERE n = 1""")
 def fact_sources_first_last(spark, sf_dir):
-    s = model(spark, sf_dir, "support")
-    # the model has each support row once, so facts and observations are one frame here
-    per = s.groupBy("fact_id", "source").agg(F.min(F.struct("observed_at", "observation_id")).alias("a"), F.max(F.struct("observed_at", "observation_id")).alias("z"), F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("fact_id"))
-    return per.select("fact_id", "source", F.col("a.observation_id").alias("first_id"), F.col("a.observed_at").alias("first_at"), F.col("z.observation_id").alias("last_id"), F.col("z.observed_at").alias("last_at"), total.alias("source_count"))
+    return temporal.first_and_last_sources(*_sources(spark, sf_dir))
 
 
 _SUPPORT = "SELECT fact_id, count(*) AS source_count, max(observed_at) AS last_observed FROM support GROUP BY fact_id"
@@ -124,13 +118,16 @@ def _merge_sql(rows: str, keys: str) -> str:
     FROM z GROUP BY {keys}, island"""
 
 
-def _held_support(spark, sf_dir):
-    return model(spark, sf_dir, "support").groupBy("fact_id").agg(F.count("*").alias("source_count"), F.max("observed_at").alias("last_observed"))
+def _held_support(spark, sf_dir, held):
+    """Support of the facts that are ``held``: the others' rows go before they are aggregated."""
+    fact_source, observation = _sources(spark, sf_dir)
+    return temporal.support(fact_source.join(held.select(F.col("id").alias("fact_id")), "fact_id", "left_semi"), observation)
 
 
 @query(_merge_sql("SELECT l.*, source_count, last_observed FROM l JOIN sup ON sup.fact_id = l.id WHERE status = 'asserted'", "subject_cluster, predicate, object_cluster"))
 def merge_statements(spark, sf_dir):
-    rows = lifted(spark, sf_dir).where("status = 'asserted'").join(_held_support(spark, sf_dir), F.col("id") == F.col("fact_id"))
+    held = lifted(spark, sf_dir).where("status = 'asserted'")
+    rows = held.join(_held_support(spark, sf_dir, held), F.col("id") == F.col("fact_id"))
     return temporal.merge_statements(rows, ["subject_cluster", "predicate", "object_cluster"]).withColumn("confidence", F.round("confidence", 9))
 
 
@@ -140,7 +137,9 @@ _OWNERS = f"""SELECT * FROM (SELECT l.*, coalesce(source_count, 0) AS source_cou
 
 @query(_merge_sql(_OWNERS, "subject_cluster, predicate, object_cluster"))
 def owners_with_fallback(spark, sf_dir):
-    return questions.owners(model(spark, sf_dir, "fact"), model(spark, sf_dir, "cluster"), _held_support(spark, sf_dir), AT).withColumn("confidence", F.round("confidence", 9))
+    facts = model(spark, sf_dir, "fact")
+    held = facts.where(temporal.holds_at(AT))
+    return questions.owners(facts, model(spark, sf_dir, "cluster"), _held_support(spark, sf_dir, held), AT).withColumn("confidence", F.round("confidence", 9))
 
 
 @query("""SELECT team, person, role, position, truncated FROM (SELECT team, person, role, position, max(position) OVER (PARTITION BY team) > 5 AS truncated FROM (
@@ -149,19 +148,19 @@ def owner_members(spark, sf_dir):
     return questions.members(model(spark, sf_dir, "member"), limit=5).select("team", "person", "role", "position", "truncated")
 
 
-@query("SELECT team, arg_max(role, (balance, person)) FILTER (WHERE role IS NOT NULL) AS role, count(*) AS n FROM member GROUP BY team")
+@query("SELECT team, person, arg_max(role, (at, k)) FILTER (WHERE role IS NOT NULL) AS role FROM (SELECT team, person, CASE WHEN k = 0 THEN role WHEN balance > 0 THEN 'acting ' || role END AS role, balance * k AS at, k FROM member CROSS JOIN (VALUES (0), (1)) v(k)) GROUP BY team, person")
 def member_role_latest(spark, sf_dir):
-    return model(spark, sf_dir, "member").groupBy("team").agg(F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("balance", "person"))).alias("role"), F.count("*").alias("n"))
+    """Two sources for each member: the second one is newer for those in the black, and knows no role for the others."""
+    member, own = model(spark, sf_dir, "member"), F.when(F.col("k") == 0, F.col("role")).when(F.col("balance") > 0, F.concat(F.lit("acting "), "role"))
+    rows = member.crossJoin(spark.createDataFrame([(0,), (1,)], "k int"))  # two rows
+    return questions.roles(rows.select("team", "person", own.alias("role"), (F.col("balance") * F.col("k")).alias("last_observed"), F.col("k").alias("position")))
 
 
 @query(f"""WITH l AS ({_LIFTED}), f AS (SELECT subject_cluster, count(*) AS n_facts, count(DISTINCT object_cluster) AS n_objects FROM l WHERE {_NOW} GROUP BY subject_cluster),
     e AS (SELECT c.cluster_id, arg_min(name, (created_seq, id)) AS name, max(kind) AS kind, count(*) AS n_records FROM entity JOIN cluster c ON c.record_id = id GROUP BY c.cluster_id)
     SELECT e.cluster_id, e.name, e.kind, e.n_records, coalesce(n_facts, 0) AS n_facts, coalesce(n_objects, 0) AS n_objects FROM e LEFT JOIN f ON f.subject_cluster = e.cluster_id""")
 def get_entity_profile(spark, sf_dir):
-    facts = temporal.facts_where(lifted(spark, sf_dir)).groupBy("subject_cluster").agg(F.count("*").alias("n_facts"), F.countDistinct("object_cluster").alias("n_objects"))
-    e = model(spark, sf_dir, "entity").join(model(spark, sf_dir, "cluster"), F.col("id") == F.col("record_id"))
-    e = e.groupBy("cluster_id").agg(F.min_by("name", F.struct("created_seq", "id")).alias("name"), F.max("kind").alias("kind"), F.count("*").alias("n_records"))
-    return e.join(facts, e.cluster_id == facts.subject_cluster, "left").select("cluster_id", "name", "kind", "n_records", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), F.coalesce("n_objects", F.lit(0)).alias("n_objects"))
+    return questions.profiles(temporal.facts_where(lifted(spark, sf_dir)), model(spark, sf_dir, "entity"), model(spark, sf_dir, "cluster"))
 
 
 # -- changes -----------------------------------------------------------------------------------------
@@ -206,33 +205,64 @@ def walk_filtered(spark, sf_dir):
     return graph.walk(model(spark, sf_dir, "edge").where("size < 30"), "part/1", depth=4, written=Written(spark, "walk"))
 
 
-@query("SELECT id, 1 AS depth, 0 AS hops, concat(src, '>', dst) AS path FROM edge WHERE src IN ('part/1', 'part/2') AND dst <> src")
-def evidence_claims_depth1(spark, sf_dir):
-    return _evidence(spark, sf_dir, 1).select("id", "depth", "hops", F.array_join("ids", ">").alias("path"))
+STARTS = ("part/1", "part/2")
 
 
-@query()
-def evidence_paths(spark, sf_dir):
-    return _evidence(spark, sf_dir, 4).select("id", "depth", "hops", F.array_join("ids", ">").alias("path"))
+def _evidence_sql(depth: int) -> str:
+    """Level by level as the operator does it, one set of common table expressions for each."""
+    starts = ", ".join(f"'{s}'" for s in STARTS)
+    out = ["e AS (SELECT x.id, x.src AS lv, x.dst AS en, c.cluster_id AS fc, d.cluster_id AS tc FROM edge x JOIN cluster c ON c.record_id = x.src JOIN cluster d ON d.record_id = x.dst)",
+           f"s0 AS (SELECT record_id AS rec, cluster_id AS cl, 0 AS hops, [record_id] AS ids, [cluster_id] AS seen FROM cluster WHERE record_id IN ({starts}))"]
+    for k in range(1, depth + 1):
+        claimed = "".join(f" AND e.id NOT IN (SELECT id FROM f{j})" for j in range(1, k))
+        out += [
+            f"""g{k} AS (SELECT e.id, en, tc, hops + CAST(rec <> lv AS INT) AS hops, list_concat(list_concat(ids, CASE WHEN rec <> lv THEN [lv] ELSE [] END), [en]) AS ids, seen
+            FROM e JOIN s{k - 1} ON cl = fc WHERE NOT list_contains(seen, tc){claimed})""",
+            f"f{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops, ids) AS n FROM g{k}) WHERE n = 1)",
+            f"s{k} AS (SELECT en AS rec, tc AS cl, hops, ids, list_append(seen, tc) AS seen FROM f{k})",
+        ]
+    rows = " UNION ALL ".join(f"SELECT id, CAST({k} AS INT) AS depth, CAST(hops AS INT) AS hops, array_to_string(ids, '>') AS path FROM f{k}" for k in range(1, depth + 1))
+    return f"WITH {', '.join(out)} {rows}"
 
 
 def _evidence(spark, sf_dir, depth):
-    written = Written(spark, "evidence")
     facts = model(spark, sf_dir, "edge").select("id", F.col("src").alias("subject_id"), F.col("dst").alias("object_id"))
-    clusters = model(spark, sf_dir, "cluster").select("record_id", F.col("record_id").alias("cluster_id"))
-    own = clusters.select(F.col("record_id").alias("a"), F.col("record_id").alias("b"), F.lit(0).alias("hops"), F.array("record_id").alias("chain"))
-    starts = spark.createDataFrame([("part/1",), ("part/2",)], "record_id string")
-    return graph.evidence(facts, clusters, own, starts, depth=depth, written=written)
+    starts = spark.createDataFrame([(s,) for s in STARTS], "record_id string")
+    found = graph.evidence(facts, model(spark, sf_dir, "cluster"), starts, depth=depth, written=Written(spark, "evidence"))
+    return found.select("id", "depth", "hops", F.array_join("ids", ">").alias("path"))
+
+
+@query(_evidence_sql(1))
+def evidence_claims_depth1(spark, sf_dir):
+    return _evidence(spark, sf_dir, 1)
+
+
+@query(_evidence_sql(6))
+def evidence_paths(spark, sf_dir):
+    return _evidence(spark, sf_dir, 6)
 
 
-@query("""WITH pairs AS (SELECT DISTINCT least(a, b) AS x, greatest(a, b) AS y FROM link WHERE nth % 2 = 0), r AS (
-      SELECT least(a, b) AS x, greatest(a, b) AS y, CASE WHEN kind = 'distinct_from' AND status = 'asserted' THEN 3 WHEN status = 'asserted' AND kind = 'same_as' THEN 2 ELSE 1 END AS k FROM link)
-    SELECT x, y, CASE max(k) WHEN 3 THEN 'distinct' WHEN 2 THEN 'asserted_not_joined' ELSE 'proposed' END AS relation, count(*) AS n_links FROM r JOIN pairs USING (x, y) GROUP BY x, y""")
+@query("""WITH r AS (SELECT least(a, b) AS x, greatest(a, b) AS y, CASE WHEN kind = 'distinct_from' AND status = 'asserted' THEN 3 WHEN status = 'asserted' AND kind = 'same_as' THEN 2 ELSE 1 END AS k, id FROM link)
+    SELECT x, y, CASE max(k) WHEN 3 THEN 'distinct' WHEN 2 THEN 'asserted_not_joined' ELSE 'proposed' END AS relation, count(*) AS n_links, string_agg(id, ',' ORDER BY k DESC, id) AS links FROM r GROUP BY x, y""")
 def evidence_relations(spark, sf_dir):
     link = model(spark, sf_dir, "link")
     ids = link.select(F.col("a").alias("record_id")).unionByName(link.select(F.col("b").alias("record_id"))).distinct()
-    pairs = link.where("nth % 2 = 0").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    return graph.relations(link.withColumn("valid_to", F.lit(None).cast("timestamp_ntz")), ids.withColumn("cluster_id", F.col("record_id")), pairs)
+    found = graph.relations(link.withColumn("valid_to", F.lit(None).cast("timestamp_ntz")), ids.withColumn("cluster_id", F.col("record_id")))
+    return found.withColumn("links", F.array_join("links", ","))
+
+
+# chains between records that are two asserted links apart
+@query("""WITH s AS (SELECT id, a, b FROM link WHERE kind = 'same_as' AND status = 'asserted'),
+    u AS (SELECT a AS at, b AS dst, id FROM s UNION ALL SELECT b, a, id FROM s), w AS (SELECT DISTINCT x.a AS x, y.b AS y FROM s x JOIN s y ON y.a = x.b WHERE x.a <> y.b),
+    p1 AS (SELECT x, y, dst, [id] AS links, [x, dst] AS chain FROM w JOIN u ON at = x), p2 AS (SELECT x, y, u.dst, list_append(links, u.id) AS links, list_append(chain, u.dst) AS chain FROM p1 JOIN u ON at = p1.dst WHERE p1.dst <> y AND NOT list_contains(chain, u.dst)),
+    e AS (SELECT x, y, links, chain FROM p1 WHERE dst = y UNION ALL SELECT x, y, links, chain FROM p2 WHERE dst = y)
+    SELECT x AS a, y AS b, array_to_string(arg_min(links, (len(links), chain, links)), ',') AS links FROM e GROUP BY x, y""")
+def evidence_hop_chains(spark, sf_dir):
+    link = model(spark, sf_dir, "link").where("kind = 'same_as' AND status = 'asserted'")
+    wanted = link.select("a", F.col("b").alias("mid")).join(link.select(F.col("a").alias("mid"), "b"), "mid").select("a", "b")
+    one = link.select(F.col("a").alias("record_id")).unionByName(link.select(F.col("b").alias("record_id"))).distinct().withColumn("cluster_id", F.lit("all"))
+    found = graph.hop_chains(link.select("id", "a", "b"), one, wanted, written=Written(spark, "hops"))
+    return found.withColumn("links", F.array_join("links", ","))
 
 
 # -- find, runtimes, scalars ---------------------------------------------------------------------------
@@ -282,7 +312,7 @@ _BOUNDS = rf"""
 
 @query(f"WITH {_BOUNDS.strip()} SELECT id, version, array_to_string(n, '.') AS bound FROM bound JOIN runtime USING (id)")
 def version_lower_bound(spark, sf_dir):
-    return model(spark, sf_dir, "runtime").select("id", "version", text(lower_bound(F.col("version"))).alias("bound"))
+    return questions.bounded(model(spark, sf_dir, "runtime")).select("id", "version", text(F.col("bound")).alias("bound"))
 
 
 @query(f"""WITH {_BOUNDS.strip()} SELECT id, name, CASE WHEN n IS NULL THEN 'unknown' WHEN list_resize(n, 16, 0) < list_resize([1, 22], 16, 0) THEN 'below' ELSE 'at_or_above' END AS grp, 1 AS n_declared,
@@ -293,12 +323,29 @@ def runtimes_below(spark, sf_dir):
 
 @query("SELECT CASE lower(trim(language)) WHEN 'golang' THEN 'go' WHEN 'nodejs' THEN 'node' ELSE lower(trim(language)) END AS language, version, count(*) AS n FROM runtime GROUP BY 1, 2")
 def runtimes_inventory(spark, sf_dir):
-    return model(spark, sf_dir, "runtime").groupBy(canon_language(F.col("language")).alias("language"), "version").agg(F.count("*").alias("n"))
+    return questions.runtimes_inventory(model(spark, sf_dir, "runtime"))
+
+
+@query(f"""WITH {_BOUNDS.strip()}, g AS (SELECT id, CASE WHEN n IS NULL THEN 'unknown' WHEN list_resize(n, 16, 0) < list_resize([1, 22], 16, 0) THEN 'below' ELSE 'at_or_above' END AS grp
+      FROM bound JOIN runtime USING (id) WHERE CASE lower(trim(language)) WHEN 'golang' THEN 'go' ELSE lower(trim(language)) END = 'go'),
+    r AS (SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY id) AS INT) AS position, id, count(*) OVER (PARTITION BY grp) > 50 AS truncated FROM g WHERE grp <> 'at_or_above')
+    SELECT grp, position, id, CAST(1 AS BIGINT) AS n_declared, truncated FROM r WHERE position <= 50 UNION ALL SELECT 'at_or_above', 0, NULL, count(*), false FROM g WHERE grp = 'at_or_above'""")
+def runtimes_listed(spark, sf_dir):
+    return questions.runtime_lists(model(spark, sf_dir, "runtime"), "go", "1.22", limit=50)
 
 
 # -- the fold ------------------------------------------------------------------------------------------
 
 
+def _claims(o: DataFrame, predicate: str, *, op, obj=None, value=None, at=None) -> DataFrame:
+    """Rows of the observation model as the fold's claims."""
+    t, s = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string")
+    return o.select(
+        "source", "seq", F.lit(1).alias("phase"), F.lit(0).alias("pos"), F.col("key").alias("subject"), F.lit(predicate).alias("predicate"), (s if obj is None else obj).alias("object"),
+        (s if value is None else value).alias("value"), op.alias("op"), (F.col("observed_at") if at is None else at).alias("observed_at"), t.alias("vf"), t.alias("vt"), F.lit(1.0).alias("conf"), s.alias("quals"), F.col("id").alias("obs_id"),
+    )
+
+
 @query("""WITH o AS (SELECT source, key, seq, observed_at AS at, CASE WHEN deleted THEN NULL ELSE value END AS v FROM observation),
     x AS (SELECT *, lag(v) OVER w AS p, row_number() OVER w AS n FROM o WINDOW w AS (PARTITION BY source, key ORDER BY seq)),
     y AS (SELECT *, sum(CASE WHEN n = 1 OR v IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY source, key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM x),
@@ -306,8 +353,9 @@ def runtimes_inventory(spark, sf_dir):
     t AS (SELECT *, lead(valid_from) OVER (PARTITION BY source, key ORDER BY run) AS valid_to FROM z)
     SELECT source, key, value, valid_from, valid_to, n_support, last_at FROM t WHERE value IS NOT NULL""")
 def fold_one_value(spark, sf_dir):
-    o = model(spark, sf_dir, "observation").select("source", "key", "seq", F.col("observed_at").alias("at"), F.when(F.col("deleted"), "close").otherwise("assert").alias("op"), "value")
-    return fold.one_value_islands(o, ["source", "key"], "value", ["seq"])
+    o = model(spark, sf_dir, "observation")
+    claims = _claims(o, "status", op=F.when(F.col("deleted"), "close").otherwise("assert"), value=F.when(~F.col("deleted"), F.col("value")))
+    return fold.fold(claims, ["status"]).select("source", F.col("subject").alias("key"), "value", "valid_from", "valid_to", "n_support", "last_at")
 
 
 @query("""WITH o AS (SELECT source, key, seq, observed_at AS at, member, CASE WHEN value = 'click' THEN 'close' ELSE 'assert' END AS op FROM observation),
@@ -315,8 +363,9 @@ def fold_one_value(spark, sf_dir):
     SELECT source, key, member, min(at) FILTER (WHERE op = 'assert') AS valid_from, min(at) FILTER (WHERE op = 'close') AS valid_to, count(*) FILTER (WHERE op = 'assert') AS n_support,
            max(at) FILTER (WHERE op = 'assert') AS last_at FROM x GROUP BY source, key, member, run HAVING min(at) FILTER (WHERE op = 'assert') IS NOT NULL""")
 def fold_many_relations(spark, sf_dir):
-    o = model(spark, sf_dir, "observation").select("source", "key", "member", "seq", F.col("observed_at").alias("at"), F.when(F.col("value") == "click", "close").otherwise("assert").alias("op"))
-    return fold.many_islands(o, ["source", "key", "member"], ["seq"])
+    o = model(spark, sf_dir, "observation")
+    claims = _claims(o, "member_of", op=F.when(F.col("value") == "click", "close").otherwise("assert"), obj=F.col("member").cast("string"))
+    return fold.fold(claims, []).select("source", F.col("subject").alias("key"), F.col("object").cast("int").alias("member"), "valid_from", "valid_to", "n_support", "last_at")
 
 
 @query("""WITH o AS (SELECT source, key, CAST(member AS STRING) AS member, seq, observed_at AS at FROM observation), s AS (SELECT DISTINCT source, key, seq, at FROM o WHERE seq % 3 = 0),
@@ -328,16 +377,12 @@ def fold_snapshot_close(spark, sf_dir):
     return fold.snapshot_closes(o, o.where("seq % 3 = 0").select("source", "key", "seq", "at"), ["source", "key", "member"], ["source", "key"])
 
 
-@query("""WITH o AS (SELECT source, key, observed_at AS at, seq, deleted FROM observation), d AS (SELECT source, key, max(at) AS at FROM o WHERE deleted GROUP BY source, key),
-    f AS (SELECT source, key, min(at) AS valid_from, max(at) AS newest, count(*) AS n FROM o WHERE NOT deleted GROUP BY source, key)
-    SELECT f.source, f.key, f.valid_from, CASE WHEN d.at >= f.newest THEN d.at END AS valid_to, f.n FROM f LEFT JOIN d ON d.source = f.source AND d.key = f.key""")
+@query("""WITH x AS (SELECT source, key, observed_at AS at, deleted, coalesce(sum(CASE WHEN deleted THEN 1 ELSE 0 END) OVER (PARTITION BY source, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM observation)
+    SELECT source, key, min(at) FILTER (WHERE NOT deleted) AS valid_from, min(at) FILTER (WHERE deleted) AS valid_to, count(*) FILTER (WHERE NOT deleted) AS n FROM x GROUP BY source, key, run HAVING count(*) FILTER (WHERE NOT deleted) > 0""")
 def fold_deletion(spark, sf_dir):
-    """A deletion closes a record's facts unless a newer observation supports them."""
-    o = model(spark, sf_dir, "observation")
-    gone = F.max(F.when(F.col("deleted"), F.col("observed_at")))
-    newest = F.max(F.when(~F.col("deleted"), F.col("observed_at")))
-    per = o.groupBy("source", "key").agg(F.min(F.when(~F.col("deleted"), F.col("observed_at"))).alias("valid_from"), gone.alias("gone"), newest.alias("newest"), F.sum((~F.col("deleted")).cast("long")).alias("n"))
-    return per.where("n > 0").select("source", "key", "valid_from", F.when(F.col("gone") >= F.col("newest"), F.col("gone")).alias("valid_to"), "n")
+    """A deletion closes a record's facts unless a newer observation supports them; what comes after it opens them again."""
+    claims = _claims(model(spark, sf_dir, "observation"), "seen", op=F.when(F.col("deleted"), "delete").otherwise("assert"), value=F.when(~F.col("deleted"), F.lit("yes")))
+    return fold.fold(claims, []).select("source", F.col("subject").alias("key"), "valid_from", "valid_to", F.col("n_support").alias("n"))
 
 
 @query("SELECT source, key, max(observed_at) AS newest FROM observation GROUP BY source, key HAVING max(observed_at) < TIMESTAMP '2024-01-30 00:00:00'")
@@ -348,14 +393,8 @@ def fold_complete_sync(spark, sf_dir):
 @query()
 def fold_facts(spark, sf_dir):
     """The whole fold: each key by windows where its log is in order, by the state machine where not."""
-    o = model(spark, sf_dir, "observation")
-    t, s, none = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string"), F.lit(None).cast("double")
     late = F.when(F.col("seq") % 501 == 0, F.col("observed_at") - F.expr("INTERVAL '2' DAY")).otherwise(F.col("observed_at"))
-    claims = o.select(
-        "source", "seq", F.lit(1).alias("phase"), F.lit(0).alias("pos"), F.col("key").alias("subject"), F.lit("status").alias("predicate"), s.alias("object"),
-        F.when(~F.col("deleted"), F.col("value")).alias("value"), F.when(F.col("deleted"), "close").otherwise("assert").alias("op"), late.alias("observed_at"),
-        t.alias("vf"), t.alias("vt"), F.coalesce(none, F.lit(1.0)).alias("conf"), s.alias("quals"), F.col("id").alias("obs_id"),
-    )
+    claims = _claims(model(spark, sf_dir, "observation"), "status", op=F.when(F.col("deleted"), "close").otherwise("assert"), value=F.when(~F.col("deleted"), F.col("value")), at=late)
     return fold.fold(claims, ["status"])
 
 
@@ -371,10 +410,11 @@ def dedupe_observations(spark, sf_dir):
 # -- identity ------------------------------------------------------------------------------------------
 
 
-@query("""SELECT a.entity_id AS record_id, count(DISTINCT a.key) AS n_keys, count(DISTINCT o.source) AS n_sources,
+@query("""SELECT a.entity_id AS record_id, string_agg(DISTINCT a.key, ',' ORDER BY a.key) AS keys, string_agg(DISTINCT o.source, ',' ORDER BY o.source) AS sources, count(DISTINCT a.key) AS n_keys, count(DISTINCT o.source) AS n_sources,
     CASE WHEN arg_max(o.deleted, (o.observed_at, o.deleted)) THEN NULL ELSE max(o.observed_at) END AS last_seen FROM alias a JOIN observation o ON o.key = a.key GROUP BY a.entity_id""")
 def record_last_seen(spark, sf_dir):
-    return identity.record_last_seen(model(spark, sf_dir, "alias"), model(spark, sf_dir, "observation"))
+    found = identity.record_last_seen(model(spark, sf_dir, "alias"), model(spark, sf_dir, "observation"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("keys", "sources")})
 
 
 @query("""WITH RECURSIVE e AS (SELECT a, b FROM link WHERE kind = 'same_as' AND status = 'asserted'), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
@@ -406,12 +446,13 @@ def link_effects(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT id AS record_id, concat('cust/', CAST(CAST(split_part(id, '/', 2) AS BIGINT) // 3 AS STRING)) AS cluster_id FROM entity WHERE kind = 'Person')
-    SELECT cluster_id, max(kind) AS kind, arg_min(name, (created_seq, id)) AS name, count(*) AS n_records FROM entity JOIN c ON c.record_id = id GROUP BY cluster_id""")
+    SELECT cluster_id, max(kind) AS kind, arg_min(name, (created_seq, id)) AS name, count(*) AS n_records, string_agg(concat('crm:', id), ',' ORDER BY concat('crm:', id)) AS keys FROM entity JOIN c ON c.record_id = id GROUP BY cluster_id""")
 def entity_display(spark, sf_dir):
     people = model(spark, sf_dir, "entity").where("kind = 'Person'")
     n = F.floor(F.substring_index("id", "/", -1).cast("long") / 3).cast("string")
     c = people.select(F.col("id").alias("record_id"), F.concat(F.lit("cust/"), n).alias("cluster_id"))
-    return identity.display(people, c, spark.createDataFrame([], "key string, entity_id string"), kind_closure(kinds_frame(spark))).drop("keys")
+    alias = people.select(F.concat(F.lit("crm:"), "id").alias("key"), F.col("id").alias("entity_id"))
+    return identity.display(people, c, alias, kind_closure(kinds_frame(spark))).withColumn("keys", F.array_join("keys", ","))
 
 
 @query("""WITH m AS (SELECT concat('k', CAST(member AS STRING), '-', CAST(seq % 11 AS STRING)) AS key, key AS record, seq, value = 'signup' AS is_primary FROM observation),

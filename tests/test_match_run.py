@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.plans.match_run import Settings, run
 
@@ -43,6 +44,18 @@ def test_first_and_second_run(spark, world):
     assert {r.id for r in later.closed.collect()} == {"1/2", "2/3"} and later.review.count() == 0
 
 
+def test_half_lives_by_kind(spark, world):
+    """The same deposits as above: a long half-life keeps what the default lets go."""
+    from factloom.model.vocabulary import kind_closure, kinds_frame
+
+    closure = kind_closure(kinds_frame(spark, {"org.Squad": "Team"}))
+    deposits = spark.createDataFrame([("", "1", "2", day(8), 0.9, False, ""), ("", "4", "5", day(8), 0.9, False, "")], DEPOSIT)
+    world = world | {"seen": world["seen"].where("false"), "entities": world["entities"].withColumn("kind", F.when(F.col("cluster_id").isin("4", "5"), "org.Squad").otherwise(F.col("kind")))}
+    s = Settings(half_lives=(("Team", 400.0), ("org.Squad", 20.0)))
+    out = run(spark, str(day(108)), deposits=deposits, settings=s, closure=closure, **world)
+    assert {r.id for r in out.closed.collect()} == {"4/5"} and [r.id for r in out.review.collect()] == ["1/2"]
+
+
 def test_settings():
     with pytest.raises(ValueError):
         Settings(floor=0.5)

@@ -68,14 +68,56 @@ def test_walk_equals_path_enumeration(spark):
     assert {r.id: r.depth for r in graph.walk(df, "n0", depth=5, written=Written(spark, "t")).collect()} == best
 
 
+def evidence(spark, facts, clusters, starts, **how):
+    f = spark.createDataFrame(facts, "id string, subject_id string, object_id string")
+    c = spark.createDataFrame(clusters, "record_id string, cluster_id string")
+    return graph.evidence(f, c, spark.createDataFrame([(s,) for s in starts], "record_id string"), written=Written(spark, "t"), **how)
+
+
 def test_evidence_prefers_fewer_hops(spark):
-    facts = spark.createDataFrame([("f1", "a", "b1"), ("f2", "b2", "c"), ("f3", "b1", "c"), ("f4", "c", "a")], "id string, subject_id string, object_id string")
-    clusters = spark.createDataFrame([("a", "A"), ("b1", "B"), ("b2", "B"), ("b3", "B"), ("c", "C")], "record_id string, cluster_id string")
-    links = spark.createDataFrame([("b1", "b3"), ("b2", "b3")], "a string, b string")
-    chains = graph.hop_chains(links, clusters, written=Written(spark, "t"))
-    assert {(r.a, r.b): r.hops for r in chains.where("a <> b").collect()} == {("b1", "b3"): 1, ("b3", "b1"): 1, ("b2", "b3"): 1, ("b3", "b2"): 1, ("b1", "b2"): 2, ("b2", "b1"): 2}
-    got = {r.id: (r.depth, r.hops, r.ids) for r in graph.evidence(facts, clusters, chains, spark.createDataFrame([("a",)], "record_id string"), written=Written(spark, "t")).collect()}
-    assert got == {"f1": (1, 0, ["a", "b1"]), "f2": (2, 2, ["a", "b1", "b3", "b2", "c"]), "f3": (2, 0, ["a", "b1", "c"])}
+    """A hop is one change of record, however many links lie between; the links are named by the chain."""
+    clusters = [("a", "A"), ("b1", "B"), ("b2", "B"), ("b3", "B"), ("b4", "B"), ("c", "C")]
+    found = evidence(spark, [("f1", "a", "b1"), ("f2", "b2", "c"), ("f3", "b1", "c"), ("f4", "c", "a"), ("f5", "b2", None)], clusters, ["a"], depth=5)
+    assert {r.id: (r.depth, r.hops, r.ids) for r in found.collect()} == {"f1": (1, 0, ["a", "b1"]), "f2": (2, 1, ["a", "b1", "b2", "c"]), "f3": (2, 0, ["a", "b1", "c"]), "f5": (2, 1, ["a", "b1", "b2"])}
+    links = spark.createDataFrame([("l1", "b1", "b3"), ("l2", "b2", "b3"), ("l3", "b1", "b4"), ("l4", "b4", "b2"), ("l0", "b2", "b3"), ("l9", "b1", "c")], "id string, a string, b string")
+    rows = graph.assembled(found, links, spark.createDataFrame(clusters, "record_id string, cluster_id string"), written=Written(spark, "t")).collect()
+    assert [(r.id, r.start, r.end, r.facts, r.same_as) for r in rows] == [("f1", "a", "b1", 1, 0), ("f3", "a", "c", 2, 0), ("f2", "a", "c", 2, 1), ("f5", "a", None, 2, 1)]
+    assert [[(*x,) for x in r.path] for r in rows][2:] == [
+        [("a", "b1", "f1", None), ("b1", "b2", None, ["l1", "l0"]), ("b2", "c", "f2", None)],
+        [("a", "b1", "f1", None), ("b1", "b2", None, ["l1", "l0"]), ("b2", None, "f5", None)],
+    ]
+
+
+def test_evidence_tries_every_arrival(spark):
+    """The nearest way to d has been at b; the fact back to b is reached by the other one."""
+    facts = [("ab", "a", "b"), ("ac", "a", "c"), ("bd", "b", "d"), ("cd", "c", "d"), ("db", "d", "b")]
+    own = [(x, x) for x in "abcd"]
+    got = {r.id: (r.depth, r.ids) for r in evidence(spark, facts, own, ["a"], depth=10).collect()}
+    assert got == {"ab": (1, list("ab")), "ac": (1, list("ac")), "bd": (2, list("abd")), "cd": (2, list("acd")), "db": (3, list("acdb"))}
+    back = {r.id: (r.depth, r.ids) for r in evidence(spark, [*facts, ("dv", "d", None)], own, ["d"], depth=2, reverse=True).collect()}
+    assert back == {"bd": (1, list("db")), "cd": (1, list("dc")), "ab": (2, list("dba")), "ac": (2, list("dca"))}
+    assert evidence(spark, facts, own, ["a"]).count() == 2 and evidence(spark, facts, own, ["z"]).count() == 0
+
+
+def test_chains_of_any_length(spark):
+    n = 12
+    links = spark.createDataFrame([(f"l{k:02d}", f"r{k:02d}", f"r{k + 1:02d}") for k in range(n)] + [("x", "r00", "q")], "id string, a string, b string")
+    c = spark.createDataFrame([(f"r{k:02d}", "c") for k in range(n + 1)] + [("q", "other")], "record_id string, cluster_id string")
+    wanted = spark.createDataFrame([("r00", f"r{n:02d}"), ("r03", "r01"), ("r00", "q"), ("r05", "r05")], "a string, b string")
+    got = {(r.a, r.b): r.links for r in graph.hop_chains(links, c, wanted, written=Written(spark, "t")).collect()}
+    assert got == {("r00", "r12"): [f"l{k:02d}" for k in range(n)], ("r03", "r01"): ["l02", "l01"]}
+
+
+def test_answers_and_relations(spark):
+    closure = kind_closure(kinds_frame(spark, {"org.Unit": "Team"}))
+    ends = spark.createDataFrame([("1", "Team", "owned_by"), ("2", "org.Unit", "owned_by"), ("3", "Person", "owned_by"), ("4", "", "owned_by"), ("5", "", "mixed"), ("6", "", "unknown")], "id string, kind string, predicate string")
+    allowed = spark.createDataFrame([("owned_by", ["Team", "org.Unit"]), ("mixed", ["Team", "Person"])], "predicate string, kinds array<string>")
+    assert sorted(r.id for r in graph.answers(ends, closure, allowed, "Team").collect()) == ["1", "2", "4"]
+    links = spark.createDataFrame([("p", "u", "v", "same_as", "proposed", None), ("d", "v", "u", "distinct_from", "asserted", None), ("s", "u", "v", "same_as", "asserted", None), ("o", "u", "w", "same_as", "asserted", day(1)), ("q", "u", "w", "same_as", "proposed", None)], "id string, a string, b string, kind string, status string, valid_to timestamp_ntz")
+    c = spark.createDataFrame([("u", "U"), ("v", "V"), ("w", "W")], "record_id string, cluster_id string")
+    assert {(r.x, r.y, r.relation, tuple(r.links)) for r in graph.relations(links, c).collect()} == {("U", "V", "distinct", ("d", "s", "p")), ("U", "W", "proposed", ("q",))}
+    some = spark.createDataFrame([("U",), ("V",)], "cluster_id string")
+    assert [r.y for r in graph.relations(links, c, some).collect()] == ["V"]
 
 
 def test_merge_of_intervals(spark):
@@ -364,3 +406,25 @@ def test_times():
     assert parse_when("2026-01-02T03:04:05+02:00", now) == dt.datetime(2026, 1, 2, 1, 4, 5) and canonical(dt.datetime(2026, 1, 2)) == "2026-01-02T00:00:00.000000Z"
     with pytest.raises(ValueError):
         parse_when("soon", now)
+
+
+def test_intermediates_never_go_to_one_machine_of_a_cluster(spark):
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "none"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        Written(Cluster, "x")
+    assert Written(spark, "x").root
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    from factloom.operators.components import connected_components
+
+    path = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    assert connected_components(path, Written(spark, "t")).where("component <> 0").count() == 0
+    with pytest.raises(RuntimeError, match="settle"):
+        connected_components(path, Written(spark, "t"), most_rounds=2)
