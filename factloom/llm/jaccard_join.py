@@ -44,8 +44,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import NOT_SPACE, U64, Scratch, Words, binaries, mix, slices, small_batches, texts_of
-from .components import connected_components
 
 RUN_BYTES = 1 << 19
 #: Members of a region, or of a cluster, that one task joins by itself, and bytes of a cluster's sets.
