@@ -169,3 +169,19 @@ def clip_utf8(s: Column, most: int) -> Column:
 def visible(s: Column) -> Column:
     """Control characters become spaces."""
     return F.regexp_replace(s, r"[\p{Cc}\p{Cf}]+", " ")
+
+
+def snake_case(name: Column) -> Column:
+    """``SyncRequested`` as ``sync_requested``: every capital after the first character begins a word."""
+    return F.lower(F.regexp_replace(name, r"(?<!^)(\p{Lu})", "_$1"))
+
+
+def event_type(name: Column, prefix: str, known: list[str], version: str = "v1") -> Column:
+    """``<prefix>.<name in snake case>.<version>`` of a message that is an event (one of ``known``), else null."""
+    return F.when(name.isin(known), F.concat(F.lit(f"{prefix}."), snake_case(name), F.lit(f".{version}")))
+
+
+def short_name(value: Column, zero: Column) -> Column:
+    """An enum value's name without its enum's prefix, in lower case; ``zero`` is the name of the value 0, which ends in UNSPECIFIED."""
+    prefix = F.regexp_replace(zero, "UNSPECIFIED$", "")
+    return F.lower(F.when(F.startswith(value, prefix), F.substring(value, F.length(prefix) + 1, F.length(value))).otherwise(value))

@@ -473,7 +473,9 @@ def link_promotion(spark, sf_dir):
     return identity.promotions(model(spark, sf_dir, "proposal"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT a, b, status AS source, at FROM proposal), r AS (SELECT a, b, source, min(at) AS at FROM p GROUP BY a, b, source
+      UNION ALL SELECT r.a, r.b, r.source, min(p.at) FROM r JOIN p ON p.a = r.a AND p.b = r.b AND p.source = r.source WHERE p.at >= r.at + INTERVAL 1 DAY GROUP BY r.a, r.b, r.source)
+    SELECT a, b, source, at FROM r""")
 def deposit_throttle(spark, sf_dir):
     p = model(spark, sf_dir, "proposal").select("a", "b", F.col("status").alias("source"), "at")
     return identity.throttle(p, 86_400)

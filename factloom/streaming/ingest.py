@@ -6,6 +6,7 @@ deduplicated for ever by an anti-join with the log.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,49 @@ def ingest(spark: SparkSession, inbox: str, log: str, *, checkpoint: str, reject
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Coalesced:
+    """Runs ``work`` after requests, one run at a time and at most one more pending: what asks during a run shares the next one.
+
+    For ``after`` of :func:`ingest`: matching then never holds up a batch. A run that fails is told to ``failed`` and does not end the worker.
+    """
+
+    def __init__(self, work: Callable[[], None], failed: Callable[[Exception], None] | None = None):
+        self._work, self._failed = work, failed
+        self._wake, self._stop, self._idle = threading.Event(), threading.Event(), threading.Condition()
+        self._asked = self._done = 0
+        self._thread = threading.Thread(target=self._loop, daemon=True)
+        self._thread.start()
+
+    def __call__(self, batch_id: int | None = None) -> None:
+        with self._idle:
+            self._asked += 1
+        self._wake.set()
+
+    def _loop(self) -> None:
+        while self._wake.wait() and not self._stop.is_set():
+            self._wake.clear()
+            with self._idle:
+                upto = self._asked
+            try:
+                self._work()
+            except Exception as e:  # the next request may do better
+                if self._failed is not None:
+                    self._failed(e)
+            with self._idle:
+                self._done = upto
+                self._idle.notify_all()
+
+    def drain(self, timeout: float | None = None) -> bool:
+        """Wait until a run has begun after the last request and ended."""
+        with self._idle:
+            return self._idle.wait_for(lambda: self._done >= self._asked, timeout)
+
+    def close(self) -> None:
+        self._stop.set()
+        self._wake.set()
+        self._thread.join()
+
+
 def completions(kept: DataFrame, rejected: DataFrame) -> DataFrame:
     """(source, started) of complete reads: the earliest time that was kept, unless anything of the source was rejected."""
     whole = kept.groupBy("source").agg(F.min("observed_at").alias("started"))

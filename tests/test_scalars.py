@@ -154,3 +154,38 @@ def test_observations(spark, tmp_path):
         ("o1", 2, 0, "gh:repo/1", "gone", None, None, "close", 1.0), ("o1", 2, 0, "gh:repo/1", "topic", None, "t", "assert", 1.0),
         ("o1", 3, 0, "gh:repo/1", "versions", None, "1", "assert", 1.0), ("o2", 0, 0, "gh:repo/4", "*", None, None, "delete", 1.0),
     ]
+
+
+def test_names_of_events_and_enums(spark):
+    rows = [("SyncRequested", "KIND_PERSON", "KIND_UNSPECIFIED"), ("X", "TEAM", "KIND_UNSPECIFIED"), ("ÄrgerÜber", "KIND_UNSPECIFIED", "KIND_UNSPECIFIED"), ("Header", "", "UNSPECIFIED")]
+    df = spark.createDataFrame(rows, "n string, v string, z string")
+    got = df.select(text.snake_case(F.col("n")), text.event_type(F.col("n"), "org.events", ["SyncRequested", "X"]), text.short_name(F.col("v"), F.col("z"))).collect()
+    assert [tuple(r) for r in got] == [("sync_requested", "org.events.sync_requested.v1", "person"), ("x", "org.events.x.v1", "team"), ("ärger_über", None, "unspecified"), ("header", None, "")]
+
+
+def test_requests_during_a_run_share_the_next_one():
+    import threading
+
+    from factloom.streaming.ingest import Coalesced
+
+    gate, begun, runs, errors = threading.Semaphore(0), threading.Semaphore(0), [], []
+
+    def work():
+        begun.release()
+        gate.acquire()
+        runs.append(1)
+        if len(runs) == 2:
+            raise ValueError("once")
+
+    after = Coalesced(work, errors.append)
+    after(1)
+    begun.acquire()
+    for k in range(5):
+        after(k)
+    gate.release()
+    gate.release()
+    assert after.drain(20) and len(runs) == 2 and len(errors) == 1
+    after(9)
+    gate.release()
+    assert after.drain(20) and len(runs) == 3
+    after.close()
