@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model.declaration import Declaration, predicates_frame
 from ..model.vocabulary import kind_closure, kinds_frame
 from ..operators import temporal
 from ..sources import observations
-from . import answers, ingest, match_run
+from . import answers, ingest, match_run, screening
 from .driver_model import table
 from .registry import query
 
@@ -166,3 +167,51 @@ def match_run_deposits(spark, sf_dir):
 def match_run_review(spark, sf_dir):
     """What awaits review, by evidence for and against that fades with the half-life of its kind."""
     return _run(spark, sf_dir).review.select("id", F.round("strength", 9).alias("strength"))
+
+
+# -- screening: one observation for each event, of which eleven in twelve have one defect, by the event's number --------------------
+
+#: remainder of the event's number -> (code, scope)
+_DEFECTS = {
+    1: ("malformed", "observation"), 2: ("not_declared", "observation"), 3: ("not_declared", "claim"), 4: ("invalid_value", "claim"), 5: ("invalid_interval", "claim"), 6: ("core_predicate", "claim"),
+    7: ("type_mismatch", "claim"), 8: ("malformed", "observation"), 9: ("malformed", "observation"), 10: ("duplicate_claim", "observation"), 11: ("domain_mismatch", "claim"),
+}
+
+
+def _flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, source, type, time, observed_at, data), with the defect that ``_DEFECTS`` names."""
+    n = F.col("event_id") % 12
+    key = F.when(n == 1, F.concat(F.lit("repository "), "number")).otherwise(F.concat(F.lit("github:repository/"), "number"))
+    entity = F.struct(F.when(n == 2, "Nothing").otherwise("Repository").alias("kind"), key.alias("key"), F.struct(F.when(n == 7, "high").alias("score"), F.lit("text").alias("description")).alias("attributes"))
+    kind = F.when(n == 3, "likes").when(n == 6, "same_as").when(n == 11, "member_of").otherwise("approves_changes")
+    relation = lambda ppm: F.struct(
+        kind.alias("type"), F.concat(F.lit("github:team/"), (F.col("event_id") % 5).cast("string")).alias("to"), ppm.cast("int").alias("confidence_ppm"),
+        F.when(n == 5, "2024-02-01T00:00:00Z").alias("valid_from"), F.when(n == 5, "2024-01-01T00:00:00Z").alias("valid_to"),
+    )
+    one, two = relation(F.when(n == 4, 0).otherwise(900_000)), relation(F.lit(5))
+    data = F.to_json(F.struct(entity.alias("entity"), F.when(n == 10, F.array(one, two)).otherwise(F.array(one)).alias("relations")))
+    return table(spark, sf_dir, "events").withColumn("number", F.col("event_id").cast("string")).select(
+        F.concat(F.lit("o"), "number").alias("id"), F.lit("s").alias("source"), F.lit("t").alias("type"), F.when(n != 9, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("time"), F.col("ts").alias("observed_at"),
+        F.when(n == 8, F.lit("{")).otherwise(data).alias("data"),
+    )
+
+
+def _screened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    decoded, kinds = observations.decode(_flawed(spark, sf_dir)), kinds_frame(spark)
+    p = predicates_frame(spark, [Declaration("x", {"Repository": "r"}, {"Repository": {"score": "FLOAT"}})])
+    p = p.withColumn("domain", F.when(F.col("name") == "member_of", F.array(F.lit("Person")))).withColumn("range", F.lit(None).cast("array<string>"))
+    return decoded, screening.screen(decoded, p, kinds, kind_closure(kinds), spark.createDataFrame([], "key string, kind string"))
+
+
+_CODES = ", ".join(f"({n}, '{code}', '{scope}')" for n, (code, scope) in _DEFECTS.items())
+
+
+@query(f"SELECT concat('o', CAST(event_id AS STRING)) AS obs_id, code, scope FROM events JOIN (VALUES {_CODES}) v(n, code, scope) ON event_id % 12 = n")
+def screening_problems(spark, sf_dir):
+    """Each observation's codes; a key that is no key is told of the entity and of the claims about it."""
+    return _screened(spark, sf_dir)[1].select("obs_id", "code", "scope").distinct()
+
+
+@query(f"SELECT concat('o', CAST(event_id AS STRING)) AS id FROM events LEFT JOIN (VALUES {_CODES}) v(n, code, scope) ON event_id % 12 = n WHERE scope IS DISTINCT FROM 'observation'")
+def screening_kept(spark, sf_dir):
+    return screening.kept(*_screened(spark, sf_dir)).select("id")
