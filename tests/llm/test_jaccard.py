@@ -213,3 +213,15 @@ def test_windows_hold_whatever_is_near_a_member_that_left(similarity):
                 assert d[1] <= NEAR / float(1 - r) + 1 + 1e-9
             if d[1] <= NEAR:
                 assert d[0] <= NEAR / float(1 - r) + 1 + 1e-9
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(8)
+    long = [f"w{rnd.randrange(30_000)}" for _ in range(120_000)]
+    near, far = list(long), list(long)
+    for k in range(0, len(long), 120):
+        near[k] = "changed"
+    for k in range(0, len(long), 20):
+        far[k] = "changed"
+    rows = [(k, " ".join(x)) for k, x in enumerate((long, near, far, ["the"] * 200_000, ["the"] * 3, ["the"] * 2))]
+    assert components(spark, rows) == brute(rows)

@@ -79,6 +79,15 @@ def test_repeated_rows_do_not_crowd_out_a_language(spark):
     assert all(got[i] == lang for i, _, lang in rows)
 
 
+def test_ties_and_texts_without_features(spark):
+    """Languages that cannot be told apart get the same answer every time, in the order of their names; scores stay within 0 and 1."""
+    rows = [(k, "same words here", ("xx", "yy")[k % 2]) for k in range(40)] + [(100, "\u4e00", None), (101, "1 2 3", "xx"), (102, "z" * 3_000_000, "xx")]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
+    one, two = ([(r.doc_id, r.lang_pred, r.score) for r in langid.identify(spark, d).orderBy("doc_id").collect()] for d in (df, df.repartition(7)))
+    assert one == two and len({x[1] for x in one if x[0] < 40}) == 1
+    assert all(0 <= x[2] <= 1 for x in one) and {x[1] for x in one if x[0] == 101} == {"und"}
+
+
 # -- licenses ---------------------------------------------------------------------------------------
 
 

@@ -358,3 +358,24 @@ def test_labels(spark):
     rows = [(1, 0, 0), (2, 1, 1), (3, 1, 0), (4, None, None), (5, None, 1)]
     got = {r.page_id: r.bad for r in labels_of(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()}
     assert got == {1: True, 2: True, 3: False, 4: None, 5: True}
+
+
+def test_repeated_pages_and_outcomes(spark):
+    """Outcomes of one page count once, bad if any is; every row of a page that repeats is judged, and counts."""
+    pages = [(1, "http://a.com/"), (1, "http://a.com/"), (2, "http://b.com/"), (None, None), (None, "http://a.com/")]
+    df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, host string, bad int")
+    out = [(1, False), (1, True), (1, None), (2, False), (None, True)]
+    got = sorted((str(r.page_id), r.host, r.verdict, r.posterior) for r in judge(spark, df, spark.createDataFrame(out, "page_id long, bad boolean"), rules=()).collect())
+    once = judge(spark, df.where("page_id IS NOT NULL"), spark.createDataFrame([(1, True), (2, False)], "page_id long, bad boolean"), rules=())
+    assert [x[:2] for x in got] == [("1", "a.com"), ("1", "a.com"), ("2", "b.com"), ("None", ""), ("None", "a.com")]
+    assert {(i, p) for i, _, _, p in got if i != "None"} == {(str(r.page_id), r.posterior) for r in once.collect()}
+
+
+def test_very_long_messages(spark):
+    body = "\n".join(f"line {k} of a very long message" for k in range(20_000))
+    quote = "\n".join(f"> line {k} of a very long message" for k in range(5_000, 15_000))
+    rows = [(1, 0, "a", body), (1, 1, "b", "short"), (1, 2, "a", quote + "\nI agree."), (2, 0, "a", "word " * 200_000), (2, 1, "b", "> " + "word " * 200_000 + "\nyes")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, branch string")
+    got = {(r.conv_id, r.turn): r for r in reply_order(spark, df).collect()}
+    assert (got[1, 2].parent_turn, got[1, 2].quoted, got[1, 2].text) == (0, True, "I agree.")
+    assert (got[2, 1].parent_turn, got[2, 1].quoted, got[2, 1].text) == (0, True, "yes") and len(got[1, 0].text) == len(body)
