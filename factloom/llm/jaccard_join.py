@@ -24,7 +24,7 @@ they hold less than half that share of its own shingles; a common leaf kept by b
 *Regions by pivots.* Within a region, documents are points of the L1 space of count sketches, a contraction of the
 symmetric difference. Two documents within r differ in at most r/(2-r) (|A|+|B|) shingles, the bound; so the triangle
 inequality never loses a pair. A region of a few members takes pivots greedily in one task. A hot region is dealt out
-over many tasks, each with all of the region's pivots: members within two bounds of a pivot leave the region, and
+over many tasks, each with all of the region's pivots: members within a bound of a pivot leave the region, and
 all members within the window (those, and one bound more) are replicated to that pivot's candidate cluster. What no
 pivot holds is joined again: small remainders as any other region, hot ones by a further projection with
 other hash bits, and so on; see :func:`_candidates`.
@@ -41,6 +41,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +50,9 @@ from .common import NOT_SPACE, U64, Scratch, Words, binaries, mix, slices, small
 
 RUN_BYTES = 1 << 19
 #: Members of a region, or of a cluster, that one task joins by itself, and bytes of a cluster's sets.
-CLUSTER, CLUSTER_BYTES = 128, 16 << 20
+CLUSTER, CLUSTER_BYTES = 128, 4 << 20
 #: Pivots of a hot region, how many bounds from a pivot a member leaves the region, and further projections at most.
-PIVOTS, NEAR, PROJECTIONS = 16, 2, 4
+PIVOTS, NEAR, PROJECTIONS = 16, 1, 4
 #: Parts in which the members of large clusters are joined with what is known of the cluster.
 SALTS = 32
 #: Rows of one key that a task holds before it passes them on as they come.
@@ -243,47 +244,56 @@ class _Union:
         return made
 
 
-def _fold(cells: np.ndarray, width: int) -> np.ndarray:
-    return cells.reshape(width, -1).sum(axis=1) if len(cells) > width else cells
+def bounds_from(sizes: np.ndarray, sketches: list[bytes], pivots: list[bytes], r: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, whole), both (members, pivots): distances in the sketch space, in bounds of the member.
+
+    A member's bound is the most shingles in which it differs from any set within r of it. Distances are taken at the
+    width of the pivot's sketch, where they obey the triangle inequality (``whole``), or at the member's, if that is narrower: then they are
+    too small if anything. So what is whole and within ``NEAR`` bounds of a pivot may leave: anything within r of it is seen in
+    the window.
+    """
+    out, whole = np.zeros((len(sizes), len(pivots))), np.zeros((len(sizes), len(pivots)), bool)
+    bound = sizes * float(r / (2 - r) * (1 + 1 / (1 - r)))
+    widths = np.array([len(x) for x in sketches])
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        cells = np.frombuffer(b"".join(sketches[k] for k in rows), np.uint8).reshape(len(rows), width).astype(np.int32)
+        folded = {width: cells}
+        for j, p in enumerate(pivots):
+            w = min(width, len(p))
+            if w not in folded:
+                folded[w] = cells.reshape(len(rows), w, -1).sum(axis=2)
+            own = np.frombuffer(p, np.uint8).astype(np.int32).reshape(w, -1).sum(axis=1)
+            out[rows, j] = np.abs(folded[w] - own).sum(axis=1) / bound[rows]
+            whole[rows, j] = w == len(p)
+    return out, whole
+
+
+def _window(r: Fraction) -> float:
+    """Bounds from a pivot within which anything is that is near a member that left; bounds differ by 1/(1-r) at most."""
+    return NEAR / float(1 - r) + 1 + 1e-9
 
 
 def candidate_links(ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes], r: Fraction) -> list[tuple[int, int]]:
     """Links that join, in one region, all members that can lie within distance r of one another.
 
-    Two sets with similarity 1 - r differ in at most r/(2-r) (|A| + |B|) shingles. The clusters may
+    The smallest member that is free becomes a pivot; members near it leave, and what is in its window is linked with it. The clusters may
     be larger than needed; they are never smaller.
     """
     order = np.lexsort((ids, sizes))
-    ids, sizes = ids[order], sizes[order]
-    raw = [np.frombuffer(sketches[k], np.uint8).astype(np.int32) for k in order]
-    n, links = len(ids), []
-    share = float(r / (2 - r)) * (1 + 1e-9)
-    ratio = float(1 - r) * (1 - 1e-9)
-    # runs of sizes in which neighbours can match; others never can
-    gaps = np.flatnonzero(sizes[:-1] < ratio * sizes[1:]) + 1
-    for a, b in zip(np.append(0, gaps), np.append(gaps, n), strict=True):
-        if b - a < 2:
-            continue
-        width = min(len(x) for x in raw[a:b])
-        cells = np.array([_fold(x, width) for x in raw[a:b]], np.int32)
-        size = sizes[a:b]
-        free = np.ones(b - a, bool)
-        union = _Union(b - a)
-        pivots: list[int] = []
-        while free.any():
-            p = int(np.argmax(free))
-            free[p] = False
-            gap = np.abs(cells - cells[p]).sum(axis=1)
-            bound = share * (size + size[p])
-            fits = (size >= ratio * size[p]) & (size[p] >= ratio * size) & (gap <= bound)
-            fits[p] = False
-            if pivots:  # pivots whose members may touch this one's
-                q = np.array(pivots)
-                fits[q[gap[q] <= share * (size[q] + size[p]) * (1 + 2 / ratio)]] = True
+    ids, sizes, links = ids[order], sizes[order], []
+    marks = [sketches[k] for k in order]
+    union, free = _Union(len(ids)), np.ones(len(ids), bool)
+    while free.any():
+        p = int(np.argmax(free))
+        free[p] = False
+        # whatever is within r of a member that leaves now is not larger than this
+        rest = np.flatnonzero(free & (sizes * float(1 - r) ** 2 <= sizes[p] * (1 + 1e-9)))
+        if len(rest):
+            d, whole = bounds_from(sizes[rest], [marks[k] for k in rest], [marks[p]], r)
             # only links that connect something: a forest, whatever the number of pairs
-            links += [(int(ids[a + p]), int(ids[a + x])) for x in union.join(p, np.flatnonzero(fits))]
-            free &= ~fits
-            pivots.append(p)
+            links += [(int(ids[p]), int(ids[x])) for x in union.join(p, rest[d[:, 0] <= _window(r)])]
+            free[rest[whole[:, 0] & (d[:, 0] <= NEAR) & (sizes[rest] * float(1 - r) <= sizes[p] * (1 + 1e-9))]] = False
     return links
 
 
@@ -314,30 +324,6 @@ def _cluster_links(regions: DataFrame, sketches: DataFrame, r: Fraction) -> Data
     return dealt.mapInArrow(join, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def bounds_from(sizes: np.ndarray, sketches: list[bytes], pivot_sizes: np.ndarray, pivots: list[bytes], r: Fraction) -> np.ndarray:
-    """(members, pivots): distances in the sketch space, in bounds of the member.
-
-    A member's bound is the most shingles in which it differs from any set within r of it. Distances to one pivot
-    are all taken at half the width of its sketch, so they obey the triangle inequality. A member whose own sketch is narrower
-    has less than half of the pivot's shingles, which is further than any window: infinite.
-    """
-    out = np.full((len(sizes), len(pivots)), np.inf)
-    bound = sizes * float(r / (2 - r) * (1 + 1 / (1 - r)))
-    widths = np.array([len(x) for x in sketches])
-    for width in np.unique(widths).tolist():
-        rows = np.flatnonzero(widths == width)
-        cells = np.frombuffer(b"".join(sketches[k] for k in rows), np.uint8).reshape(len(rows), width).astype(np.int32)
-        folded: dict[int, np.ndarray] = {}
-        for j, p in enumerate(pivots):
-            w = max(64, len(p) // 2)
-            if w <= width:
-                if w not in folded:
-                    folded[w] = cells.reshape(len(rows), w, -1).sum(axis=2)
-                own = np.frombuffer(p, np.uint8).astype(np.int32).reshape(w, -1).sum(axis=1)
-                out[rows, j] = np.abs(folded[w] - own).sum(axis=1) / bound[rows]
-    return out
-
-
 def _peel(rows: DataFrame, r: Fraction, cap: int) -> DataFrame:
     """(region, id, pivot): for hot regions, links to pivots in whose window a member is; and null for those that stay.
 
@@ -346,7 +332,6 @@ def _peel(rows: DataFrame, r: Fraction, cap: int) -> DataFrame:
     window it is, and pivots that share a member with one another: a forest, not all pairs. The order of pivots hangs on their ids
     alone, so a group that makes many hot regions has the same pivots in most of them, and links repeat.
     """
-    window = NEAR / float(1 - r) + 1 + 1e-9
     hashed = F.xxhash64("id", F.lit("pivot"))
     first = Window.partitionBy("region").orderBy("hash", "id")
     # about four times as many as are needed are ranked: no region is gathered for its pivots
@@ -363,9 +348,9 @@ def _peel(rows: DataFrame, r: Fraction, cap: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             ids, sizes, sketches = zip(*members, strict=True)
             ids, region = np.array(ids), now[0]
-            p_ids, p_sizes, p_sketches = zip(*pivots, strict=True) if pivots else ((), (), ())
-            d = bounds_from(np.array(sizes), list(sketches), np.array(p_sizes), list(p_sketches), r)
-            left, held = (d <= NEAR).any(axis=1), d <= window
+            p_ids, _, p_sketches = zip(*pivots, strict=True) if pivots else ((), (), ())
+            d, whole = bounds_from(np.array(sizes), list(sketches), list(p_sketches), r)
+            left, held = (whole & (d <= NEAR)).any(axis=1), d <= _window(r)
             links, union = [], _Union(len(p_ids))
             for row in np.unique(held, axis=0):
                 own = np.flatnonzero(row)
@@ -399,8 +384,9 @@ def _project(rest: DataFrame, docs: DataFrame, words: int, leaf: int, spare: Fra
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            ends = np.append(0, np.cumsum(pc.binary_length(batch.column(2)).to_numpy()))
+            for i, j in slices(ends, RUN_BYTES):
+                part = batch.slice(i, j - i)
                 sets = [np.sort(mix(np.frombuffer(x.as_py(), U64) ^ seed)) for x in part.column(2)]
                 key, first = leaf_keys(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), leaf, spare)
                 n = np.diff(first)
@@ -408,7 +394,8 @@ def _project(rest: DataFrame, docs: DataFrame, words: int, leaf: int, spare: Fra
                 yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(np.repeat(part.column(1).to_numpy(), n))], ["key", "id"])
 
     sets = _sets_again(docs, rest.select("id"), words)
-    return _regions(rest.select("region", "id").join(sets, "id").select("region", "id", "hashes").mapInArrow(keys, "key long, id long"))
+    # by a merge: a broadcast would put both Python steps into one stage, two workers for each task
+    return _regions(rest.select("region", "id").hint("merge").join(sets, "id").select("region", "id", "hashes").mapInArrow(keys, "key long, id long"))
 
 
 def _candidates(regions: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, leaf: int, spare: Fraction, r: Fraction, scratch: Scratch, cap: int) -> DataFrame:
