@@ -51,6 +51,8 @@ from .common import NOT_SPACE, U64, Scratch, Words, binaries, mix, slices, small
 RUN_BYTES = 1 << 19
 #: Members of a region, or of a cluster, that one task joins by itself, and bytes of a cluster's sets.
 CLUSTER, CLUSTER_BYTES = 128, 4 << 20
+#: Members without a pivot near them that one task still joins by itself; they are parted by a further projection beyond it.
+REST = 2_000
 #: Pivots of a hot region, how many bounds from a pivot a member leaves the region, and further projections at most.
 PIVOTS, NEAR, PROJECTIONS = 16, 1, 4
 #: Parts in which the members of large clusters are joined with what is known of the cluster.
@@ -402,7 +404,7 @@ def _candidates(regions: DataFrame, sketches: DataFrame, docs: DataFrame, words:
     """(a, b): links that put all members of a region within r of one another into one cluster.
 
     Regions of more than ``cap`` members are parted by pivots (:func:`_peel`); what no pivot holds, if it is still more than
-    ``cap``, by the next projection. After ``PROJECTIONS`` of them a remainder becomes one cluster, which the exact join deals out.
+    ``REST`` (in proportion to ``cap``), by the next projection. After ``PROJECTIONS`` of them a remainder becomes one cluster, which the exact join deals out.
     """
     small, hot, links = regions.where(F.col("n") <= cap), regions.where(F.col("n") > cap), []
     for level in range(PROJECTIONS + 1):
@@ -412,8 +414,8 @@ def _candidates(regions: DataFrame, sketches: DataFrame, docs: DataFrame, words:
         links.append(peeled.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         rest = peeled.where("pivot IS NULL").select("region", "id").distinct()
         rest = scratch.write(rest.join(rest.groupBy("region").agg(F.count("*").alias("n")), "region").where("n > 1"), f"rest-{level}")
-        small = small.unionByName(rest.where(F.col("n") <= cap).select(*small.columns))
-        rest = rest.where(F.col("n") > cap)
+        few = F.col("n") <= REST * cap // CLUSTER
+        small, rest = small.unionByName(rest.where(few).select(*small.columns)), rest.where(~few)
         if rest.isEmpty():
             break
         if level == PROJECTIONS:
