@@ -50,11 +50,13 @@ from .common import NOT_SPACE, U64, Scratch, Words, binaries, mix, slices, small
 
 RUN_BYTES = 1 << 19
 #: Members of a region, or of a cluster, that one task joins by itself, and bytes of a cluster's sets.
-CLUSTER, CLUSTER_BYTES = 128, 4 << 20
+CLUSTER, CLUSTER_BYTES = 512, 4 << 20
 #: Pivots of a hot region, how many bounds from a pivot a member leaves the region, and further projections at most.
 PIVOTS, NEAR, PROJECTIONS = 16, 1, 4
 #: Parts in which the members of large clusters are joined with what is known of the cluster.
 SALTS = 32
+#: Members up to which a region gives its pairs; links up to which one task finds their components (32 MB).
+FEW, ONE_TASK = 8, 2_000_000
 #: Rows of one key that a task holds before it passes them on as they come.
 LONG_RUN = 1 << 16
 #: Bits of the filter that tells which documents the last step reads again (1 MB, whatever the corpus).
@@ -93,7 +95,13 @@ def _shared_bits(x: np.ndarray) -> np.ndarray:
 
 
 def leaf_keys(h: np.ndarray, first: np.ndarray, leaf: int, spare: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, first): the region keys of each row's leaves.
+    """(keys, first): the region keys of each row's leaves; see :func:`leaves`."""
+    key, _, at = leaves(h, first, leaf, spare)
+    return key, at
+
+
+def leaves(h: np.ndarray, first: np.ndarray, leaf: int, spare: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, masses, first): the region keys of each row's leaves, and how many shingles each leaf holds.
 
     Among ascending hashes a node of more than ``leaf`` shingles shows as ``leaf + 1`` in a row that
     share its bits, so the depth of a shingle's leaf is 1 + the most bits any such run around
@@ -114,7 +122,7 @@ def leaf_keys(h: np.ndarray, first: np.ndarray, leaf: int, spare: Fraction) -> t
     head[first[:-1][size > 0]] = True
     start = np.flatnonzero(head)
     if not len(start):
-        return np.zeros(0, U64), np.zeros(rows + 1, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
     held = np.diff(np.append(start, n))
     key = mix(np.add.reduceat(mix(h), start) + depth[start].astype(U64) * U64(0x9E3779B97F4A7C15))
     row = np.searchsorted(first, start, "right") - 1
@@ -124,7 +132,7 @@ def leaf_keys(h: np.ndarray, first: np.ndarray, leaf: int, spare: Fraction) -> t
     small = np.cumsum(by_size, axis=1) * spare.denominator < size[:, None] * spare.numerator
     least = np.where(small.all(axis=1), leaf + 1, small.argmin(axis=1))  # sizes below it are left out
     keep = held >= least[row]
-    return key[keep], np.searchsorted(row[keep], np.arange(rows + 1))
+    return key[keep], held[keep], np.searchsorted(row[keep], np.arange(rows + 1))
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -137,38 +145,172 @@ def sketch(h: np.ndarray) -> bytes:
 
 
 def _stage(docs: DataFrame, words: int, leaf: int, spare: Fraction) -> DataFrame:
+    """Per row: size and two sums of hashes of its set, ``node``, a hash of all three that names the set, a sketch and its leaves."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = texts_of(batch.column(1))
             for a, b in slices(offsets, RUN_BYTES):
                 h, first = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                keys, at = leaf_keys(h, first, leaf, spare)
+                keys, held, at = leaves(h, first, leaf, spare)
                 size = np.diff(first)
                 some = np.append(np.zeros(1, U64), np.cumsum(mix(h), dtype=U64))
                 more = np.append(np.zeros(1, U64), np.cumsum(mix(h ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64))
-                marks = [(x[first[1:]] - x[first[:-1]]).view(np.int64) for x in (some, more)]
+                x, y = (x[first[1:]] - x[first[:-1]] for x in (some, more))
+                node = mix(mix(x + size.astype(U64)) + y)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), *map(pa.array, marks),
+                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(node.view(np.int64)),
                      pa.array([sketch(h[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary()),
-                     binaries(keys.view(np.uint8), at * 8)],
-                    ["doc_id", "n_shingles", "mark_a", "mark_b", "sketch", "keys"],
+                     binaries(keys.view(np.uint8), at * 8), binaries(held.astype("<u2").view(np.uint8), at * 2)],
+                    ["doc_id", "n_shingles", "node", "sketch", "keys", "masses"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        sets, "doc_id long, n_shingles long, mark_a long, mark_b long, sketch binary, keys binary"
+        sets, "doc_id long, n_shingles long, node long, sketch binary, keys binary, masses binary"
     )
 
 
 def _explode_keys(staged: DataFrame) -> DataFrame:
+    """(key, id, held): for each leaf its key, the set's node, and size * 65536 + mass. Copies that stand together count once."""
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2_000):
                 part = batch.slice(i, 2_000)
-                keys = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else []).cast(pa.int64()), pa.array(ids).cast(pa.int64())], ["key", "id"])
+                part = part.take(pa.array(np.unique(part.column(0).to_numpy(), return_index=True)[1]))
+                node, size = (part.column(k).to_numpy() for k in (0, 1))
+                n = pc.binary_length(part.column(2)).to_numpy() // 8
+                key = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int64)
+                mass = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u2").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(node, n)), pa.array(np.repeat(size, n) * 65536 + mass)], ["key", "id", "held"])
+
+    return staged.select("node", "n_shingles", "keys", "masses").mapInArrow(explode, "key long, id long, held long")
+
+
+def _meet(keyed: DataFrame, order: list[str], most: int, r: Fraction, *, stars: bool) -> DataFrame:
+    """(a, b, na, nb, mass) of regions with more than one member, by one sort of ``keyed(key, id, held, ...)``.
+
+    Regions of at most ``most`` members give their pairs, unless the sizes na and nb rule out a link. Those of more give one
+    row for each member, with nb = 0: (member, key, size, 0, mass), or with ``stars`` (first member, member, size, 0, mass).
+    """
+    keep = 1 - r
 
-    return staged.select("doc_id", "keys").mapInArrow(explode, "key long, id long")
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre: tuple[np.int64, np.int64] | None = None  # key and first member of a run that goes on
+        held = np.zeros((3, 0), np.int64)
+
+        def rows(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "na", "nb", "mass"])
+
+        def hot(x: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+            n, mass = x[2] >> 16, x[2] & 65535
+            return rows(first, x[1], n, np.zeros(len(n), np.int64), mass) if stars else rows(x[1], x[0], n, np.zeros(len(n), np.int64), mass)
+
+        def out(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            head = np.flatnonzero(np.append(True, x[0, 1:] != x[0, :-1]))
+            m = np.diff(np.append(head, x.shape[1]))
+            run, many = np.repeat(np.arange(len(m)), m), np.repeat(m > most, m)
+            if many.any():
+                yield hot(x[:, many], x[1, head][run[many]])
+            few = np.repeat((m > 1) & (m <= most), m)
+            x, run = x[:, few], run[few]
+            for d in range(1, min(most, x.shape[1])):
+                i = np.flatnonzero(run[:-d] == run[d:])
+                if not len(i):
+                    break
+                p, q = x[:, i], x[:, i + d]
+                swap = p[1] > q[1]
+                p, q = np.where(swap, q, p), np.where(swap, p, q)
+                na, nb = p[2] >> 16, q[2] >> 16
+                near = (na * keep.denominator >= nb * keep.numerator) & (nb * keep.denominator >= na * keep.numerator)
+                yield rows(p[1, near], q[1, near], na[near], nb[near], (p[2] & 65535)[near])
+
+        for batch in batches:
+            x = np.concatenate([held, np.stack([batch.column(k).to_numpy() for k in range(3)])], axis=1)
+            new = np.ones(x.shape[1], bool)
+            new[1:] = (x[:2, 1:] != x[:2, :-1]).any(axis=0)
+            x = x[:, new]
+            if centre is not None:
+                cut = int(np.argmax(x[0] != centre[0])) if (x[0] != centre[0]).any() else x.shape[1]
+                # copies of the last member may follow in this batch; sums of masses only get larger by them
+                if cut:
+                    yield hot(x[:, :cut], np.full(cut, centre[1]))
+                x = x[:, cut:]
+            held = x
+            if not x.shape[1]:
+                continue
+            centre = None
+            cut = int(np.flatnonzero(x[0] != x[0, -1])[-1]) + 1 if (x[0] != x[0, -1]).any() else 0
+            if cut:
+                yield from out(x[:, :cut])
+            held = x[:, cut:]
+            if held.shape[1] > max(most, LONG_RUN):
+                centre = (held[0, 0], held[1, 0])
+                yield hot(held, np.full(held.shape[1], centre[1]))
+                held = held[:, :0]
+        if held.shape[1]:
+            yield from out(held)
+
+    dealt = keyed.repartition("key").sortWithinPartitions("key", *order, "id").select("key", "id", "held")
+    return dealt.mapInArrow(runs, "a long, b long, na long, nb long, mass long")
+
+
+def _close_sets(staged: DataFrame, share: Fraction, r: Fraction, scratch: Scratch) -> DataFrame:
+    """(a, b): links between nodes that put all nodes within r of one another into one component.
+
+    Two sets within r share leaves of at least ``share`` of their union. Each leaves out less than a quarter of that share
+    of itself, so the leaves they both keep hold ``need`` = share (max - (na + nb) / 4) or more, at least half the share of either set.
+    Masses of shared leaves are added up for each pair, in regions of at most ``FEW`` members. In hotter ones a pair
+    shares no more than either set has there. So pairs without enough go, and sets that have less than half their share in
+    hot regions take no part in these: that parts what a common line brings together. The others meet again by themselves; regions
+    still hot become stars around the set that has most of itself in hot regions: within a group of near copies, what they were copied from.
+    """
+    num, den = share.numerator, share.denominator
+    met = scratch.write(_meet(_explode_keys(staged), [], FEW, r, stars=False), "met")
+    hot = met.where("nb = 0").select(F.col("a").alias("id"), F.col("b").alias("key"), F.col("na").alias("n"), "mass")
+    need = lambda mass: 4 * den * mass >= num * (4 * F.greatest("na", "nb") - F.col("na") - F.col("nb"))
+    whole = scratch.write(hot.groupBy("id").agg(F.sum("mass").alias("hot"), F.max("n").alias("n")), "hot")
+    pairs, stars = met.where("nb > 0"), None
+    some = whole.where(2 * den * F.col("hot") >= num * F.col("n"))
+    if any_hot := not whole.isEmpty():
+        again = hot.join(some.select("id", (-F.col("hot") / F.col("n")).alias("rank")), "id")
+        again = again.select("key", "id", (F.col("n") * 65536 + F.col("mass")).alias("held"), "rank")
+        again = scratch.write(_meet(again, ["rank"], FEW, r, stars=True), "met-again")
+        pairs = pairs.unionByName(again.where("nb > 0"))
+        stars = again.where("nb = 0 AND a <> b").select("a", "b").distinct()
+    pairs = pairs.groupBy("a", "b").agg(F.sum("mass").alias("mass"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    if not any_hot:
+        return pairs.where(need(F.col("mass"))).select("a", "b")
+    pairs = scratch.write(pairs, "pairs")
+    side = lambda c: whole.select(F.col("id").alias(c), F.col("hot").alias(f"hot_{c}"))
+    more = pairs.where(~need(F.col("mass"))).join(side("a"), "a").join(side("b"), "b")
+    more = more.where(need(F.col("mass") + F.least("hot_a", "hot_b")))
+    return pairs.where(need(F.col("mass"))).select("a", "b").unionByName(more.select("a", "b")).unionByName(stars)
+
+
+def _components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, component) of the nodes of the written table ``links(a, b)``; up to ``ONE_TASK`` links in one task, which needs no rounds."""
+    if links.count() > ONE_TASK:
+        return scratch.write(connected_components(links, scratch, name=name), f"{name}-found")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([b.column(k).to_numpy() for k in (0, 1)]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        ids, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        up = np.arange(len(ids))
+        while True:  # every root takes the smallest root that it is linked with; ids ascend, so that is the smallest id
+            x, y = up[a], up[b]
+            if (x == y).all():
+                break
+            np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+            while ((z := up[up]) != up).any():
+                up = z
+        for i in range(0, len(ids), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 50_000]), pa.array(ids[up[i : i + 50_000]])], ["id", "component"])
+
+    return scratch.write(links.select("a", "b").coalesce(1).mapInArrow(join, "id long, component long"), f"{name}-found")
 
 
 def _regions(keyed: DataFrame) -> DataFrame:
@@ -402,7 +544,8 @@ def _candidates(regions: DataFrame, sketches: DataFrame, docs: DataFrame, words:
     """(a, b): links that put all members of a region within r of one another into one cluster.
 
     Regions of more than ``cap`` members are parted by pivots (:func:`_peel`); what no pivot holds, if it is still more than
-    ``cap``, by the next projection. After ``PROJECTIONS`` of them a remainder becomes one cluster, which the exact join deals out.
+    ``cap``, by the next projection. After ``PROJECTIONS`` of them, or when one multiplies the members instead of parting them (near
+    copies of one text share leaves of any tree), a remainder becomes one cluster, which the exact join deals out.
     """
     small, hot, links = regions.where(F.col("n") <= cap), regions.where(F.col("n") > cap), []
     for level in range(PROJECTIONS + 1):
@@ -416,10 +559,10 @@ def _candidates(regions: DataFrame, sketches: DataFrame, docs: DataFrame, words:
         rest = rest.where(F.col("n") > cap)
         if rest.isEmpty():
             break
-        if level == PROJECTIONS:
+        now = None if level == PROJECTIONS else scratch.write(_project(rest, docs, words, leaf, spare, level + 1), f"regions-{level + 1}")
+        if now is None or now.count() > 2 * rest.count():
             links.append(rest.join(rest.groupBy("region").agg(F.min("id").alias("a")), "region").select("a", F.col("id").alias("b")))
             break
-        now = scratch.write(_project(rest, docs, words, leaf, spare, level + 1), f"regions-{level + 1}")
         small, hot = small.unionByName(now.where(F.col("n") <= cap)), now.where(F.col("n") > cap)
     out = _cluster_links(small.select("region", "id"), sketches, r)
     for more in links:
@@ -574,7 +717,7 @@ def _join_clusters(members: DataFrame, weights: DataFrame, sets: DataFrame, r: F
     links = scratch.write(_block_links(first.join(sets, "id"), r), "links-0")
     if big.isEmpty():
         return links
-    labels = connected_components(links, scratch, name="blocks-cc")
+    labels = _components(links, scratch, "blocks-cc")
     own = big.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     counts = own.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     main = counts.groupBy("component").agg(F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("g"), F.sum("bytes").alias("bytes"))
@@ -607,28 +750,35 @@ def jaccard_components(
     leaf = int(1 / r) - 2
     if leaf < 1 or similarity < Fraction(4, 5):
         raise ValueError("similarity must be at least 4/5")
-    spare = (1 - r * (leaf + 1)) / 2
+    share = 1 - r * (leaf + 1)
     scratch = Scratch(small_batches(spark), "jaccard")
-    staged = scratch.write(_stage(docs, words, leaf, spare), "staged")
+    staged = scratch.write(_stage(docs, words, leaf, share / 4), "staged")
     some = staged.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("n_shingles", "mark_a", "mark_b").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.write(classes, "classes")
-    first = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    regions = scratch.write(_regions(_explode_keys(first)), "regions")
-    sketches = first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch")
-    links = scratch.write(_candidates(regions, sketches, docs, words, leaf, spare, r, scratch, cluster), "candidates")
-    members = scratch.write(connected_components(links, scratch, name="clusters"), "members")
-    sets = _sets_again(docs, members.select("id"), words).join(members.select("id"), "id", "left_semi")
-    weights = first.groupBy(F.col("doc_id").alias("id")).agg((8 * F.sum("n_shingles")).alias("bytes"))
+    close = scratch.write(_close_sets(some, share, r, scratch), "close")
+    # from here on a set goes by the smallest doc_id that has it
+    found = _components(close, scratch, "close-cc").withColumnRenamed("id", "node")
+    classes = scratch.write(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
+    members = scratch.write(found.join(classes, "node").select(F.col("rep").alias("id"), "component").distinct(), "close-members")
+    rows = some.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").join(members.select("id").distinct(), "id", "left_semi")
+    sketches = scratch.write(rows, "sketches")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    large = scratch.write(members.join(sizes.where(F.col("n") > cluster), "component").select(F.col("component").alias("region"), "id", "n"), "large")
+    if not large.isEmpty():
+        links = scratch.write(_candidates(large, sketches, docs, words, leaf, share / 2, r, scratch, cluster), "candidates")
+        small = members.join(sizes.where(F.col("n") <= cluster), "component", "left_semi").select("id", "component")
+        members = scratch.write(small.unionByName(_components(links, scratch, "clusters")), "members")
+    sets = _sets_again(docs, members.select("id"), words).join(members.select("id").distinct(), "id", "left_semi")
+    weights = sketches.groupBy("id").agg((8 * F.sum("n_shingles")).alias("bytes"))
     exact = _join_clusters(members, weights, scratch.write(sets, "sets"), r, scratch, cluster)
     # a doc_id that repeats with other texts ties their classes together
-    same = ["n_shingles", "mark_a", "mark_b"]
-    named = some.select("doc_id", *same).distinct()
-    twice = named.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
-    tied = named.join(twice, "doc_id", "left_semi").join(classes, same).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    nodes = connected_components(exact.unionByName(tied), scratch, name="nodes")
-    rows = staged.select("doc_id", *same).join(classes, same, "left").join(nodes.withColumnRenamed("id", "rep"), "rep", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    twice = some.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("doc_id")
+    tied = some.select("doc_id", "node").join(twice, "doc_id").distinct().join(classes, "node").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    nodes = _components(scratch.write(exact.select("a", "b").unionByName(tied), "exact"), scratch, "nodes")
+    several = classes.where("rep <> last").select("node", "rep")
+    rows = staged.select("doc_id", "n_shingles", "node").join(several, "node", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    # sets of no shingles are equal, but linked with nothing
+    rows = rows.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))).join(nodes.withColumnRenamed("id", "rep"), "rep", "left")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, *, words: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
