@@ -18,8 +18,10 @@ of its leaves.
 contents always split alike. Where the contents differ, one side has at most ``leaf`` shingles, so the
 restricted similarity is at most leaf/(leaf+1). If w shingles of the union lie in equal leaves,
 |A∩B| <= w + (|A∪B| - w) leaf/(leaf+1), hence w >= |A∪B| (1 - r(leaf+1)) for similarity 1-r:
-a tenth of the union for r = 0.1, leaf = 8. Each document may leave out its smallest leaves as long as
-they hold less than half that share of its own shingles; a common leaf kept by both remains.
+a tenth of the union for r = 0.1, leaf = 8. Each document leaves out its smallest leaves as long as
+they hold less than a quarter of that share of its own shingles; leaves kept by both with half that share remain. So the shingles of
+common leaves are added up by pair, and what a common line alone brings together parts again; see :func:`_close_sets`.
+Pivots are for the large clusters that are left, each one region.
 
 *Regions by pivots.* Within a region, documents are points of the L1 space of count sketches, a contraction of the
 symmetric difference. Two documents within r differ in at most r/(2-r) (|A|+|B|) shingles, the bound; so the triangle
@@ -59,8 +61,8 @@ SALTS = 32
 FEW, ONE_TASK = 8, 2_000_000
 #: Rows of one key that a task holds before it passes them on as they come.
 LONG_RUN = 1 << 16
-#: Bits of the filter that tells which documents the last step reads again (1 MB, whatever the corpus).
-FILTER_BITS = 1 << 23
+#: Bits of the filter that tells which documents the last step reads again (4 MB, whatever the corpus).
+FILTER_BITS = 1 << 25
 
 
 # -- sets -----------------------------------------------------------------------------------------
@@ -767,7 +769,7 @@ def jaccard_components(
         links = scratch.write(_candidates(large, sketches, docs, words, leaf, share / 2, r, scratch, cluster), "candidates")
         small = members.join(sizes.where(F.col("n") <= cluster), "component", "left_semi").select("id", "component")
         members = scratch.write(small.unionByName(_components(links, scratch, "clusters")), "members")
-    sets = _sets_again(docs, members.select("id"), words).join(members.select("id").distinct(), "id", "left_semi")
+    sets = _sets_again(docs, members.select("id"), words)  # the few others fall out when sets meet their blocks
     weights = sketches.groupBy("id").agg((8 * F.sum("n_shingles")).alias("bytes"))
     exact = _join_clusters(members, weights, scratch.write(sets, "sets"), r, scratch, cluster)
     # a doc_id that repeats with other texts ties their classes together

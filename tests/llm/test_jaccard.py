@@ -224,3 +224,17 @@ def test_very_long_texts(spark):
         far[k] = "changed"
     rows = [(k, " ".join(x)) for k, x in enumerate((long, near, far, ["the"] * 200_000, ["the"] * 3, ["the"] * 2))]
     assert components(spark, rows) == brute(rows)
+
+
+def test_a_common_line_brings_no_sets_together(spark, tmp_path):
+    from factloom.llm.common import Scratch
+    from factloom.llm.jaccard_join import _close_sets, _stage
+
+    rnd = random.Random(6)
+    line = " one line that stands in every text"
+    texts = [" ".join(f"w{rnd.randrange(9_000)}" for _ in range(150)) + line for _ in range(300)]
+    rows = list(enumerate([*texts, texts[0] + " more"]))
+    r, share = Fraction(1, 10), Fraction(1, 10)
+    staged = _stage(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, share / 4)
+    links = _close_sets(staged, share, r, Scratch(spark, "test"))
+    assert links.count() == 1
