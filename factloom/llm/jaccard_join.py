@@ -143,6 +143,19 @@ def sketch(h: np.ndarray) -> bytes:
     return np.minimum(np.bincount((h >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def sketch_distances(some: list[bytes], others: list[bytes]) -> np.ndarray:
+    """L1 distance of the sketches of each pair, at the width of the narrower one: never more than the symmetric difference."""
+    out = np.zeros(len(some), np.int64)
+    widths = np.array([(len(x), len(y)) for x, y in zip(some, others, strict=True)], np.int64).reshape(-1, 2)
+    for m, n in np.unique(widths, axis=0).tolist():
+        rows = np.flatnonzero((widths == (m, n)).all(axis=1))
+        for k in range(0, len(rows), 1_000):
+            part = rows[k : k + 1_000]
+            x, y = (np.frombuffer(b"".join(v[i] for i in part), np.uint8).reshape(len(part), min(m, n), -1).sum(axis=2, dtype=np.int32) for v in (some, others))
+            out[part] = np.abs(x - y).sum(axis=1)
+    return out
+
+
 # -- regions --------------------------------------------------------------------------------------
 
 
@@ -281,13 +294,36 @@ def _close_sets(staged: DataFrame, share: Fraction, r: Fraction, scratch: Scratc
         pairs = pairs.unionByName(again.where("nb > 0"))
         stars = again.where("nb = 0 AND a <> b").select("a", "b").distinct()
     pairs = pairs.groupBy("a", "b").agg(F.sum("mass").alias("mass"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    columns = ["a", "b", "na", "nb"]
     if not any_hot:
-        return pairs.where(need(F.col("mass"))).select("a", "b")
+        return _near_pairs(scratch.write(pairs.where(need(F.col("mass"))).select(*columns), "pairs"), staged, r, scratch)
     pairs = scratch.write(pairs, "pairs")
     side = lambda c: whole.select(F.col("id").alias(c), F.col("hot").alias(f"hot_{c}"))
     more = pairs.where(~need(F.col("mass"))).join(side("a"), "a").join(side("b"), "b")
     more = more.where(need(F.col("mass") + F.least("hot_a", "hot_b")))
-    return pairs.where(need(F.col("mass"))).select("a", "b").unionByName(more.select("a", "b")).unionByName(stars)
+    pairs = scratch.write(pairs.where(need(F.col("mass"))).select(*columns).unionByName(more.select(*columns)), "pairs-left")
+    return _near_pairs(pairs, staged, r, scratch).unionByName(stars)
+
+
+def _near_pairs(pairs: DataFrame, staged: DataFrame, r: Fraction, scratch: Scratch) -> DataFrame:
+    """(a, b) of the written table ``pairs(a, b, na, nb)`` whose sketches are no further apart than sets within r of one another can be.
+
+    Sketches are a tenth of the sets' bytes, so that most of what shares leaves without being near goes before any set is read again.
+    """
+    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
+    marks = staged.select("node", "sketch").join(ids, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    marks = scratch.write(marks, "pair-sketches")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            d = sketch_distances(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            keep = d * (2 * r.denominator - r.numerator) <= r.numerator * sizes
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    side = lambda c: marks.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sketch_a", "sketch_b")
+    return rows.mapInArrow(near, "a long, b long")
 
 
 def _components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -730,7 +766,8 @@ def _join_clusters(members: DataFrame, weights: DataFrame, sets: DataFrame, r: F
     stray = own.where("label <> main").select(
         "id", "component", F.pmod(F.xxhash64("id", F.lit(1)), F.col("s")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
     every = own.select("id", "component", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i"), F.col("home").alias("j"))
-    pairs = stray.unionByName(every).select("id", key("i", "j").alias("block")).distinct()
+    # written, so that Spark knows how few these are and need not shuffle all sets for them
+    pairs = scratch.write(stray.unionByName(every).select("id", key("i", "j").alias("block")).distinct(), "block-pairs")
     return links.unionByName(scratch.write(_block_links(pairs.join(sets, "id"), r), "links-1"))
 
 

@@ -238,3 +238,37 @@ def test_a_common_line_brings_no_sets_together(spark, tmp_path):
     staged = _stage(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, share / 4)
     links = _close_sets(staged, share, r, Scratch(spark, "test"))
     assert links.count() == 1
+
+
+def test_pairs_that_share_leaves_but_are_far_go_by_their_sketches(spark):
+    from factloom.llm.common import Scratch
+    from factloom.llm.jaccard_join import _close_sets, _stage
+
+    rnd = random.Random(9)
+    rows, near = [], set()
+    for k in range(60):
+        base = [f"w{rnd.randrange(9_000)}" for _ in range(400)]
+        x = [f"n{rnd.randrange(9_000)}" if j % (12 if k % 2 else 150) == 5 else w for j, w in enumerate(base)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(x))]
+        if k % 2 == 0:
+            near.add((2 * k, 2 * k + 1))
+    r, share = Fraction(1, 10), Fraction(1, 10)
+    staged = _stage(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, share / 4)
+    node = {r.node: r.doc_id for r in staged.select("node", "doc_id").collect()}
+    got = {tuple(sorted((node[x.a], node[x.b]))) for x in _close_sets(staged, share, r, Scratch(spark, "test")).collect()}
+    assert got == near
+
+
+def test_sketches_of_any_widths_are_no_further_apart_than_sets():
+    from factloom.llm.jaccard_join import sketch_distances
+
+    rng = np.random.default_rng(11)
+    some, others, most = [], [], []
+    for n in (1, 5, 63, 64, 127, 128, 700, 2_047, 2_048, 40_000):
+        for out in (0, 1, n // 10, n // 2, n):
+            x = np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
+            y = np.unique(np.append(rng.permutation(x)[out:], rng.integers(0, 2**64, out // 2 + 1, np.uint64)))
+            some.append(sketch(x)), others.append(sketch(y)), most.append(len(np.setxor1d(x, y)))
+    d = sketch_distances(some, others)
+    assert (d <= most).all() and d.max() > 0
+    assert (sketch_distances(some, some) == 0).all() and len(sketch_distances([], [])) == 0
