@@ -20,7 +20,8 @@ restricted similarity is at most leaf/(leaf+1). If w shingles of the union lie i
 |A∩B| <= w + (|A∪B| - w) leaf/(leaf+1), hence w >= |A∪B| (1 - r(leaf+1)) for similarity 1-r:
 a tenth of the union for r = 0.1, leaf = 8. Each document leaves out its smallest leaves as long as
 they hold less than a quarter of that share of its own shingles; leaves kept by both with half that share remain. So the shingles of
-common leaves are added up by pair, and what a common line alone brings together parts again; see :func:`_close_sets`.
+common leaves are added up by pair, and what a common line alone brings together parts again; see :func:`_close_sets`. Pairs
+left must be near by their sketches, too (:func:`_near_pairs`).
 Pivots are for the large clusters that are left, each one region.
 
 *Regions by pivots.* Within a region, documents are points of the L1 space of count sketches, a contraction of the
