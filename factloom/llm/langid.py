@@ -11,6 +11,7 @@ shuffle.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -92,8 +93,7 @@ def linear_svm(x: np.ndarray, y: np.ndarray, *, cost: float = 20.0, rounds: int
 
 
 def fit(x: np.ndarray, langs: list[str]) -> dict:
-    """The model of a sample: families, their machines, and the pairs' machines."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """The model of a sample: families, their machines, and the pairs' machines. The last column of ``x`` is 1, for the bias."""
     names = sorted(set(langs))
     family = {n: _FAMILY.get(n.lower().split("-")[0].split("_")[0], n) for n in names}
     families = sorted(set(family.values()))
@@ -138,6 +138,11 @@ def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]
         yield k, raw[offsets[k] : offsets[k + 1]]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A vector in half precision, compressed: most cells are empty and the others have few values. Empty if all are."""
+    return zlib.compress(x.astype(np.float16).tobytes(), 1) if x.any() else b""
+
+
 def learn(docs: DataFrame, *, folds: int = 5, sample: int = SAMPLE) -> dict | None:
     """Fit on text and lang of the documents outside fold 0; None where no language is to be learned."""
     small_batches(docs.sparkSession)
@@ -153,14 +158,16 @@ def learn(docs: DataFrame, *, folds: int = 5, sample: int = SAMPLE) -> dict | No
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(raw).astype(np.float16).tobytes() if len(raw) else b"" for _, raw in _rows(batch, 2)]
+            x = [packed(features(raw)) for _, raw in _rows(batch, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
     got = some.select("doc_id", "lang", "text").mapInArrow(vectors, "doc_id long, lang string, x binary").toArrow()
-    rows = sorted((i, lang, x) for i, lang, x in zip(*(c.to_pylist() for c in got.columns), strict=True) if any(x))
+    rows = sorted((i, lang, x) for i, lang, x in zip(*(c.to_pylist() for c in got.columns), strict=True) if x)
     if not rows:
         return None
-    x = np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(len(rows), FEATURES).astype(np.float32)
+    x = np.ones((len(rows), FEATURES + 1), np.float32)
+    for k, r in enumerate(rows):  # one by one: the driver holds the sample in full once
+        x[k, :FEATURES] = np.frombuffer(zlib.decompress(r[2]), np.float16)
     return fit(x, [r[1] for r in rows])
 
 

@@ -88,6 +88,20 @@ def test_ties_and_texts_without_features(spark):
     assert all(0 <= x[2] <= 1 for x in one) and {x[1] for x in one if x[0] == 101} == {"und"}
 
 
+def test_language_sample_reaches_the_driver_packed(spark, monkeypatch):
+    """Whole vectors, in less than half of their bytes: the driver's memory is the least there is."""
+    docs, sent = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
+    whole = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sent.append(whole(self)) or sent[-1])
+    model = langid.learn(docs)
+    got = {r["doc_id"]: r["x"] for r in sent[0].to_pylist()}
+    assert len(got) > 50 and sent[0].nbytes < len(got) * langid.FEATURES
+    texts = {r.doc_id: r for r in docs.where("text IS NOT NULL AND lang IS NOT NULL").collect()}
+    x = np.array([langid.features(np.frombuffer(texts[i].text.encode(), np.uint8)).astype(np.float16) for i in sorted(got)], np.float32)
+    want = langid.fit(np.hstack([x, np.ones((len(x), 1), np.float32)]), [texts[i].lang for i in sorted(got)])
+    assert model["members"] == want["members"] and np.allclose(model["family"], want["family"], rtol=1e-3, atol=1e-4)
+
+
 # -- licenses ---------------------------------------------------------------------------------------
 
 
